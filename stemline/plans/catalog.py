@@ -1,9 +1,10 @@
-"""All queries of the core library."""
+"""All queries of the core library, and the SQL that they are checked against."""
 
 from __future__ import annotations
 
-from stemline.plans import problems
+from stemline.plans import lineage, problems, relational, scores
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
-FLAGSHIP = "p4_report"
+PLANS = (problems, lineage, scores, relational)
+QUERIES = {name: f for p in PLANS for name, f in p.QUERIES.items()}
+SQL = {name: text for p in PLANS for name, text in p.SQL.items()}
+FLAGSHIP = "score_report"
