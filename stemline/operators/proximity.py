@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ SCALE = (1.625, 0.40625, 0.40625)
 STRIP, BLOCK_LENGTH = 8.0, 32.0
 #: Boxes that touch more cells than this are joined by frame.
 WIDE = 256
-FAR = 1 << 30
+SIDES = tuple(f"{c}_{s}" for c in "zyx" for s in ("lo", "hi"))
 
 
 def clean_points(points: DataFrame, frame: list[str], key: str = "node_id") -> DataFrame:
@@ -48,18 +49,60 @@ def _cell(um, width):
 
 def near_points(points: DataFrame, distance_um: float, frame: list[str], key: str = "node_id") -> DataFrame:
     """(left_id, right_id): each two different points of one frame at most distance_um apart, the smaller id left."""
+    return neighbourhoods(points, None, distance_um, frame, key).select("left_id", "right_id")
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, frame: list[str], key: str = "node_id", box_key: str = "crop_id", cell_um: float = 26.0) -> DataFrame:
+    """(left_id, right_id): a point and a box of its frame that holds it (lo <= c < hi on each axis)."""
+    return neighbourhoods(points, boxes, cell_um / STRIP, frame, key, box_key, pairs=False).select("left_id", "right_id")
+
+
+def clean_boxes(boxes: DataFrame, frame: list[str], box_key: str = "crop_id") -> DataFrame:
+    """(frame..., id, z_lo, ..., x_hi) of boxes that can hold something, repeated rows once."""
+    crops = boxes.select(*frame, F.col(box_key).alias("id"), *[F.col(c).cast("double").alias(c) for c in SIDES])
+    for c in [*frame, "id", *SIDES]:
+        crops = crops.where(F.col(c).isNotNull())
+    for c in "zyx":
+        crops = crops.where(~F.isnan(f"{c}_hi") & (F.col(f"{c}_lo") < F.col(f"{c}_hi")))
+    return crops.distinct()
+
+
+def neighbourhoods(
+    points: DataFrame, boxes: DataFrame | None, distance_um: float, frame: list[str], key: str = "node_id", box_key: str = "crop_id", pairs: bool = True
+) -> DataFrame:
+    """(is_pair, left_id, right_id): near points as near_points gives them, and points in boxes, in one sweep."""
     height, length = STRIP * distance_um, BLOCK_LENGTH * distance_um
     um = {c: F.col(c) * s for c, s in zip("zyx", SCALE)}
     rows = clean_points(points, frame, key)
 
     def cells(c, width):  # a point's own cell, and the next one if it is within reach of it
         own, next_ = _cell(um[c], width), _cell(um[c] + distance_um, width)
-        return F.when(own == next_, F.array(own)).otherwise(F.array(own, next_))
+        return F.explode(F.when((own == next_) | F.lit(not pairs), F.array(own)).otherwise(F.array(own, next_)))
 
-    placed = rows.withColumn("strip", F.explode(cells("y", height))).withColumn("block", F.explode(cells("x", length)))
+    no_sides = F.lit(None).cast("struct<" + ",".join(f"{c}:double" for c in SIDES) + ">")
     keys = [*frame, "strip", "block"]
-    sorted_ = placed.repartition(*keys).sortWithinPartitions(*keys, "x", "id")
-    return sorted_.mapInArrow(_pair_sweep(frame, distance_um, height, length), "left_id long, right_id long")
+    stream = rows.withColumn("strip", cells("y", height)).withColumn("block", cells("x", length)).select(*keys, F.col("x").alias("at"), no_sides.alias("sides"), "id", "z", "y")
+    wide_rows = None
+    if boxes is not None:
+        crops = clean_boxes(boxes, frame, box_key)
+        lo_s, hi_s = (_cell(F.col(f"y_{s}") * SCALE[1], height) for s in ("lo", "hi"))
+        lo_b, hi_b = (_cell(F.col(f"x_{s}") * SCALE[2], length) for s in ("lo", "hi"))
+        crops = crops.withColumns({"s0": lo_s, "s1": hi_s, "b0": lo_b, "b1": hi_b})
+        # as doubles, so that the product of two spans cannot overflow
+        wide = (F.col("s1") - F.col("s0") + 1).cast("double") * (F.col("b1") - F.col("b0") + 1) > WIDE
+        narrow = crops.where(~wide).withColumn("strip", F.explode(F.sequence("s0", "s1"))).withColumn("block", F.explode(F.sequence("b0", "b1")))
+        none = F.lit(None).cast("double")
+        stream = stream.unionByName(narrow.select(*keys, F.col("x_lo").alias("at"), F.struct(*SIDES).alias("sides"), "id", none.alias("z"), none.alias("y")))
+        wide_rows = crops.where(wide).select(*frame, F.col("id").alias("right_id"), *SIDES)
+    # at one place, boxes come before points
+    sorted_ = stream.repartition(*keys).sortWithinPartitions(*keys, "at", F.col("sides").isNull(), "id")
+    found = sorted_.mapInArrow(_sweep(keys, distance_um, height, length, pairs), "is_pair boolean, left_id long, right_id long")
+    if wide_rows is not None and wide_rows.limit(1).count():
+        by_frame = rows.distinct().join(wide_rows, frame)
+        for c in "zyx":
+            by_frame = by_frame.where((F.col(c) >= F.col(f"{c}_lo")) & (F.col(c) < F.col(f"{c}_hi")))
+        found = found.unionByName(by_frame.select(F.lit(False).alias("is_pair"), F.col("id").alias("left_id"), "right_id"))
+    return found
 
 
 def _runs(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
@@ -76,12 +119,15 @@ def _runs(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
     return np.cumsum(change)
 
 
-def _pair_sweep(frame: list[str], distance: float, height: float, length: float):
-    keys = [*frame, "strip", "block"]
+def _found(is_pair: bool, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(left), is_pair)), pa.array(left), pa.array(right)], ["is_pair", "left_id", "right_id"])
+
+
+def _sweep(keys: list[str], distance: float, height: float, length: float, pairs: bool):
     sz, sy, sx = SCALE
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: pa.Table | None = None  # the rows behind that are still within reach
+        carried: pa.Table | None = None  # the points behind that are still within reach, and the boxes that are still open
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -90,94 +136,45 @@ def _pair_sweep(frame: list[str], distance: float, height: float, length: float)
             if old:
                 table = pa.concat_tables([carried, table]).combine_chunks()
             group = _runs(table, keys)
-            ids = table.column("id").to_numpy()
-            z, y, x = (table.column(c).to_numpy() * s for c, s in zip("zyx", (sz, sy, sx)))
-            strip, block = table.column("strip").to_numpy(), table.column("block").to_numpy()
-            # repeated deliveries stand side by side
-            fresh = np.r_[True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.zeros(0, bool)
-            at = np.flatnonzero(fresh)
-            group, ids, z, y, x, strip, block = (a[at] for a in (group, ids, z, y, x, strip, block))
-            seen = int((at < old).sum())
-            for i, j in forward_pairs(group, x, distance):
-                new = j >= seen  # pairs of two carried rows came out before
-                i, j = i[new], j[new]
-                d = (z[i] - z[j]) ** 2 + (y[i] - y[j]) ** 2 + (x[i] - x[j]) ** 2
-                with np.errstate(invalid="ignore"):
-                    own = (np.floor(np.maximum(y[i], y[j]) / height) == strip[i]) & (np.floor(np.maximum(x[i], x[j]) / length) == block[i])
-                hit = (d <= distance * distance) & own & (ids[i] != ids[j])
-                i, j = i[hit], j[hit]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["left_id", "right_id"])
-            behind = (group == group[-1]) & (x >= x[-1] - distance)
-            carried = table.take(pa.array(at[behind]))
-
-    return sweep
-
-
-def points_in_boxes(points: DataFrame, boxes: DataFrame, frame: list[str], cell_um: float = 26.0, key: str = "node_id", box_key: str = "crop_id") -> DataFrame:
-    """(left_id, right_id): a point and a box of its frame that holds it (lo <= c < hi on each axis)."""
-    height, length = cell_um, 4 * cell_um
-    rows = clean_points(points, frame, key)
-    sides = [f"{c}_{s}" for c in "zyx" for s in ("lo", "hi")]
-    crops = boxes.select(*frame, F.col(box_key).alias("id"), *[F.col(c).cast("double").alias(c) for c in sides])
-    for c in [*frame, "id", *sides]:
-        crops = crops.where(F.col(c).isNotNull())
-    for c in "zyx":
-        crops = crops.where(~F.isnan(f"{c}_hi") & (F.col(f"{c}_lo") < F.col(f"{c}_hi")))
-    crops = crops.distinct()
-    lo_s, hi_s = (_cell(F.col(f"y_{s}") * SCALE[1], height) for s in ("lo", "hi"))
-    lo_b, hi_b = (_cell(F.col(f"x_{s}") * SCALE[2], length) for s in ("lo", "hi"))
-    crops = crops.withColumns({"s0": lo_s, "s1": hi_s, "b0": lo_b, "b1": hi_b})
-    # as doubles, so that the product of two spans cannot overflow
-    wide = (F.col("s1") - F.col("s0") + 1).cast("double") * (F.col("b1") - F.col("b0") + 1) > WIDE
-
-    one = F.lit(None).cast("double")
-    keys = [*frame, "strip", "block"]
-    narrow = crops.where(~wide).withColumn("strip", F.explode(F.sequence("s0", "s1"))).withColumn("block", F.explode(F.sequence("b0", "b1")))
-    events = narrow.select(*keys, F.lit(0).alias("kind"), F.col("x_lo").alias("at"), "id", one.alias("z"), one.alias("y"), *sides)
-    here = rows.select(
-        *frame, _cell(F.col("y") * SCALE[1], height).alias("strip"), _cell(F.col("x") * SCALE[2], length).alias("block"),
-        F.lit(1).alias("kind"), F.col("x").alias("at"), "id", "z", "y", *[one.alias(c) for c in sides],
-    )
-    # only frames that have a box matter
-    here = here.join(crops.select(*frame).distinct(), frame, "left_semi")
-    stream = events.unionByName(here).repartition(*keys).sortWithinPartitions(*keys, "at", "kind", "id")
-    swept = stream.mapInArrow(_box_sweep(keys), "left_id long, right_id long")
-
-    by_frame = rows.join(crops.where(wide).select(*frame, F.col("id").alias("right_id"), *sides), frame)
-    for c in "zyx":
-        by_frame = by_frame.where((F.col(c) >= F.col(f"{c}_lo")) & (F.col(c) < F.col(f"{c}_hi")))
-    # repeated deliveries of one point may lie in two batches
-    return swept.unionByName(by_frame.select(F.col("id").alias("left_id"), "right_id")).distinct()
-
-
-def _box_sweep(keys: list[str]):
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: pa.Table | None = None  # open boxes of the last cell
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if carried is not None and carried.num_rows:
-                table = pa.concat_tables([carried, table]).combine_chunks()
-            group = _runs(table, keys)
-            kind, at, ids = (table.column(c).to_numpy() for c in ("kind", "at", "id"))
-            z, y = (table.column(c).to_numpy() for c in "zy")
-            side = {c: table.column(c).to_numpy() for c in ("z_lo", "z_hi", "y_lo", "y_hi", "x_hi")}
-            box, point = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+            at, ids = table.column("at").to_numpy(), table.column("id").to_numpy()
+            sides = table.column("sides").combine_chunks()
+            is_box = sides.is_valid().to_numpy(zero_copy_only=False)
+            box, point = np.flatnonzero(is_box), np.flatnonzero(~is_box)
+            if len(point):  # repeated deliveries stand side by side
+                point = point[np.r_[True, (group[point][1:] != group[point][:-1]) | (ids[point][1:] != ids[point][:-1])]]
+            seen = int(np.searchsorted(point, old))  # carried points have been tested among themselves and in carried boxes
+            g, i_, x = group[point], ids[point], at[point]
+            z, y = (table.column(c).to_numpy()[point] for c in "zy")
+            strip, block = (table.column(c).to_numpy()[point] for c in ("strip", "block"))
+            if pairs:
+                zu, yu, xu = z * sz, y * sy, x * sx
+                for i, j in forward_pairs(g, xu, distance):
+                    new = j >= seen
+                    i, j = i[new], j[new]
+                    with np.errstate(invalid="ignore"):
+                        d = (zu[i] - zu[j]) ** 2 + (yu[i] - yu[j]) ** 2 + (xu[i] - xu[j]) ** 2
+                        own = (np.floor(np.maximum(yu[i], yu[j]) / height) == strip[i]) & (np.floor(np.maximum(xu[i], xu[j]) / length) == block[i])
+                    hit = (d <= distance * distance) & own & (i_[i] != i_[j])
+                    i, j = i[hit], j[hit]
+                    if len(i):
+                        yield _found(True, np.minimum(i_[i], i_[j]), np.maximum(i_[i], i_[j]))
+            side = {c: pc.struct_field(sides, c).to_numpy(zero_copy_only=False) for c in SIDES} if len(box) else {}
             if len(box) and len(point):
-                # points behind each box, in its cell and short of its far side
-                first = np.searchsorted(point, box)
-                ends = np.searchsorted(group[point], group[box], side="right")
-                px = at[point]
-                stop = np.array([a + np.searchsorted(px[a:b], h, side="left") for a, b, h in zip(first, ends, side["x_hi"][box])], np.int64)
+                # a point is tested in its own cell only
+                home = (np.floor(np.clip(y * sy, -1e15, 1e15) / height) == strip) & (np.floor(np.clip(x * sx, -1e15, 1e15) / length) == block)
+                first = np.maximum(np.searchsorted(point, box), seen)
+                ends = np.searchsorted(g, group[box], side="right")
+                stop = np.array([a + np.searchsorted(x[a:b], h, side="left") for a, b, h in zip(first, ends, side["x_hi"][box])], np.int64)
                 for b, k in expand(box, first, np.maximum(stop, first)):
-                    p = point[k]
-                    hit = (z[p] >= side["z_lo"][b]) & (z[p] < side["z_hi"][b]) & (y[p] >= side["y_lo"][b]) & (y[p] < side["y_hi"][b])
-                    b, p = b[hit], p[hit]
+                    hit = home[k] & (z[k] >= side["z_lo"][b]) & (z[k] < side["z_hi"][b]) & (y[k] >= side["y_lo"][b]) & (y[k] < side["y_hi"][b])
+                    b, k = b[hit], k[hit]
                     if len(b):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[b])], ["left_id", "right_id"])
-            still = (kind == 0) & (group == group[-1]) & ((side["x_hi"] > at[-1]) | (at >= at[-1]))
-            carried = table.filter(pa.array(still))
+                        yield _found(False, i_[k], ids[b])
+            keep = np.zeros(len(at), bool)
+            here = group == group[-1]
+            keep[point] = here[point] & ((at[point] >= at[-1]) | (at[point] * sx >= at[-1] * sx - distance)) if pairs else here[point] & (at[point] >= at[-1])
+            if len(box):
+                keep[box] = here[box] & (side["x_hi"][box] > at[-1])
+            carried = table.filter(pa.array(keep))
 
     return sweep

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stemline.operators import hierarchy, proximity, references
 from stemline.sources.tables import table
@@ -48,11 +49,8 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    nodes, crops = table(spark, folder, "nodes"), table(spark, folder, "crops")
-    pairs = proximity.near_points(nodes, NEAR_UM, FRAME).select(F.lit("node").alias("kind"), "left_id", "right_id")
-    return pairs.unionByName(proximity.points_in_boxes(nodes, crops, FRAME).select(F.lit("crop").alias("kind"), "left_id", "right_id"))
+    found = proximity.neighbourhoods(table(spark, folder, "nodes"), table(spark, folder, "crops"), NEAR_UM, FRAME)
+    return found.select(F.when(F.col("is_pair"), "node").otherwise("crop").alias("kind"), "left_id", "right_id")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_paths, p4_found, p4_report, p5_found)}
