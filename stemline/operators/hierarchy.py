@@ -472,19 +472,31 @@ def paths(table: DataFrame, scratch: Scratch, segment: int = 200_000) -> DataFra
     walked = every.repartition(*keys).sortWithinPartitions(*keys, "at", "depth")
 
     def walk(batches):
-        here, stack = None, []
+        stack: pa.Table | None = None  # the path to the last row
         for b in batches:
-            roots, segs, ids, depths, ats = (b.column(c).to_pylist() for c in ("root_id", "seg", "node_id", "depth", "at"))
-            keep, out = [], []
-            for i, (r, s, v, d, a) in enumerate(zip(roots, segs, ids, depths, ats)):
-                if (r, s) != here:
-                    here, stack = (r, s), []
-                del stack[d:]
-                stack.append(v)
-                if a >= 0:
-                    keep.append(i)
-                    out.append(stack.copy())
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("node_id").take(take), b.column("root_id").take(take), b.column("depth").take(take), pa.array(out, pa.list_(pa.int64()))], ["node_id", "root_id", "depth", "path"])
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            old = 0 if stack is None else stack.num_rows
+            t = pa.concat_tables([stack, t]).combine_chunks() if old else t
+            v, d, at = (t.column(c).to_numpy() for c in ("node_id", "depth", "at"))
+            # the ancestor at a depth is the last row so deep: every path comes in preorder behind its head's
+            start = np.r_[0, np.cumsum(d + 1)].astype(np.int64)
+            flat, rows, k = np.empty(start[-1], np.int64), np.arange(len(v)), 0
+            while len(rows):
+                last = np.maximum.accumulate(np.where(d[rows] == k, rows, -1))
+                flat[start[rows] + k] = v[last]
+                if k <= d[-1]:  # the last row is among these rows
+                    path = [*path, last[-1]] if k else [last[-1]]
+                rows = rows[d[rows] > k]
+                k += 1
+            out = np.flatnonzero((np.arange(len(v)) >= old) & (at >= 0))
+            size = d[out] + 1
+            offsets = np.r_[0, np.cumsum(size)]
+            took = flat[np.repeat(start[out] - offsets[:-1], size) + np.arange(offsets[-1])]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(took))
+            take = pa.array(out)
+            yield pa.RecordBatch.from_arrays([t.column(c).take(take).combine_chunks() for c in ("node_id", "root_id", "depth")] + [lists], ["node_id", "root_id", "depth", "path"])
+            stack = t.take(pa.array(path))
 
     return walked.mapInArrow(walk, "node_id long, root_id long, depth int, path array<long>")
