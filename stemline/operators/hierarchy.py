@@ -17,8 +17,6 @@ siblings ascend by id; empty tables give empty results. Extra columns are not re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stemline.functions.forest import break_cycles, measure, path_sums, strong_components
+from stemline.functions.runs import chunks, whole_groups
 from stemline.skew import lookup
 from stemline.store import Scratch
 
@@ -41,41 +40,6 @@ def existing_links(edges: DataFrame, nodes: DataFrame, source: str = "source_id"
     return lookup(links, ids.withColumnRenamed(key, "c"), "c", F.col("p"), "left_semi")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.Table]:
-    """The rows of a partition in runs of bounded length."""
-    held, n = [], 0
-    for b in batches:
-        while b.num_rows:
-            take = b.slice(0, bound - n)
-            held.append(take)
-            n += take.num_rows
-            b = b.slice(take.num_rows)
-            if n == bound:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 200_000) -> Iterator[pa.Table]:
-    """The rows of a partition, sorted by key, in runs that hold whole groups."""
-    rest: pa.Table | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        rest = t
-        if t.num_rows >= least:
-            k = t.column(key).to_numpy()
-            upto = int(np.searchsorted(k, k[-1]))
-            if upto:
-                yield t.slice(0, upto).combine_chunks()
-                rest = t.slice(upto)
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks()
-
-
 def _ints(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     col = t.column(name)
     known = col.is_valid().to_numpy()
@@ -114,7 +78,7 @@ def _bundles(p, has, lr, size):
 
 def _cut_pieces(bound: int):
     def run(batches):
-        for t in _chunks(batches, bound):
+        for t in chunks(batches, bound):
             v, _ = _ints(t, "v")
             o = np.argsort(v)
             p, has = _ints(t, "p")
@@ -135,7 +99,7 @@ PLACED = "kind int, v long, size long, pre long, boff long"
 
 
 def _place(batches):
-    for t in _groups(batches, "f"):
+    for t in whole_groups(batches, "f"):
         kind = t.column("kind").to_numpy()
         v, _ = _ints(t, "v")
         p, has = _ints(t, "p")
@@ -160,7 +124,7 @@ STEPS = "v long, root long, dist long, pos long, size long, cut boolean, p long,
 
 def _solve_chunk(bound: int):
     def run(batches):
-        for t in _chunks(batches, bound):
+        for t in chunks(batches, bound):
             v, _ = _ints(t, "v")
             o = np.argsort(v)
             p, has = _ints(t, "p")
@@ -478,7 +442,7 @@ def paths(table: DataFrame, scratch: Scratch, segment: int = 200_000) -> DataFra
                 continue
             t = pa.Table.from_batches([b])
             old = 0 if stack is None else stack.num_rows
-            t = pa.concat_tables([stack, t]).combine_chunks() if old else t
+            t = pa.concat_tables([stack, t]).combinechunks() if old else t
             v, d, at = (t.column(c).to_numpy() for c in ("node_id", "depth", "at"))
             # the ancestor at a depth is the last row so deep: every path comes in preorder behind its head's
             start = np.r_[0, np.cumsum(d + 1)].astype(np.int64)
@@ -496,7 +460,7 @@ def paths(table: DataFrame, scratch: Scratch, segment: int = 200_000) -> DataFra
             took = flat[np.repeat(start[out] - offsets[:-1], size) + np.arange(offsets[-1])]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(took))
             take = pa.array(out)
-            yield pa.RecordBatch.from_arrays([t.column(c).take(take).combine_chunks() for c in ("node_id", "root_id", "depth")] + [lists], ["node_id", "root_id", "depth", "path"])
+            yield pa.RecordBatch.from_arrays([t.column(c).take(take).combinechunks() for c in ("node_id", "root_id", "depth")] + [lists], ["node_id", "root_id", "depth", "path"])
             stack = t.take(pa.array(path))
 
     return walked.mapInArrow(walk, "node_id long, root_id long, depth int, path array<long>")

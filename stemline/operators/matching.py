@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemline.functions.runs import whole_groups
 from stemline.store import Scratch
 
 
@@ -84,11 +85,19 @@ def assignment(pairs: DataFrame, left: str = "a_id", right: str = "b_id", cost:
         if not nxt.where("moved").limit(1).count():
             break
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        l, r = pd.factorize(rows[left], sort=True), pd.factorize(rows[right], sort=True)
-        matrix = np.full((len(l[1]), len(r[1])), np.inf)
-        np.minimum.at(matrix, (l[0], r[0]), rows[cost].to_numpy())
-        found = least_cost(matrix)
-        return pd.DataFrame({left: [l[1][i] for i, _ in found], right: [r[1][j] for _, j in found], cost: [matrix[i, j] for i, j in found]})
+    def solve(batches):
+        for t in whole_groups(batches, "comp"):
+            comp, a, b, c = (t.column(x).to_numpy() for x in ("comp", left, right, cost))
+            out = []
+            for at in np.split(np.arange(len(comp)), np.flatnonzero(np.diff(comp)) + 1):
+                ls, i = np.unique(a[at], return_inverse=True)
+                rs, j = np.unique(b[at], return_inverse=True)
+                matrix = np.full((len(ls), len(rs)), np.inf)
+                np.minimum.at(matrix, (i, j), c[at])
+                out += [(ls[x], rs[y], matrix[x, y]) for x, y in least_cost(matrix)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], [left, right, cost])
 
-    return simple.unionByName(label.groupBy("comp").applyInPandas(solve, f"{left} long, {right} long, {cost} double"))
+    # so many partitions even for few rows: the work lies in Python
+    parallel = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crowds = label.select("comp", left, right, cost).repartition(parallel, "comp").sortWithinPartitions("comp")
+    return simple.unionByName(crowds.mapInArrow(solve, f"{left} long, {right} long, {cost} double"))

@@ -9,9 +9,10 @@ from pyspark.sql.window import Window as W
 from stemline.functions.geometry import AXES, clean_probability
 from stemline.operators import divisions as dv
 from stemline.operators import lineage as ln
-from stemline.operators import matching, scoring, smoothing, spatial
+from stemline.operators import matching, relink, repair, scoring, smoothing, spatial
 from stemline.operators import transitions as tr
 from stemline.operators.hierarchy import nested_sets
+from stemline.sources import submission
 from stemline.sources.tables import table
 from stemline.store import Scratch
 
@@ -250,6 +251,17 @@ SQL["submission_rows"] = BASE + """select dataset, 'node' row_type, node_id, t::
  -1::bigint source_id, -1::bigint target_id from n union all select dataset, 'edge', -1, -1, -1, -1, -1, source_id, target_id from fo"""
 
 
+@query
+def submission_roundtrip(spark, d):
+    """The submission rows, written as CSV and read again."""
+    path = f"{Scratch(spark, 'submission').root}/csv"
+    submission.write_submission(submission_rows(spark, d), path)
+    return submission.read_submission(spark, path).drop("id")
+
+
+SQL["submission_roundtrip"] = SQL["submission_rows"]
+
+
 # ---- spatial -----------------------------------------------------------------------------------------------------
 
 PAIRS = lambda r, dt, extra="": f"""pairs as (select a.dataset, a.t, a.node_id a_id, b.node_id b_id, {_um("a", "b")} um from n a join n b on a.dataset = b.dataset and b.t = a.t + {dt}
@@ -496,6 +508,89 @@ def closed_gaps(spark, d):
     return taken.join(got, "a_id", "left").select("dataset", "t", "a_id", "b_id", "middle_id", *[((F.col(f"a_{c}") + F.col(f"b_{c}")) / 2).alias(f"mid_{c}") for c in AXES])
 
 
+@query
+def gap2_candidates(spark, d):
+    """Ends and starts three frames later that may belong together."""
+    n, l = kept(spark, det(spark, d), forest(spark, d))
+    return repair.two_frame_gaps(n, l).select("a_id", "b_id", F.round("um", 6).alias("um"), F.round("cost", 6).alias("cost"))
+
+
+def _steps(p: str) -> str:
+    return f"""case when not ({p}n <= 0.01 or sn <= 0.01) then ({p}z * sz + {p}y * sy + {p}x * sx) / ({p}n * sn + 1e-9) end {p}cos, ({p}n <= 0.01 or sn <= 0.01) {p}still,
+ sqrt(({p}z - sz) ** 2 + ({p}y - sy) ** 2 + ({p}x - sx) ** 2) {p}off"""
+
+
+SQL["gap2_candidates"] = BASE + f""", en as (select * from n where node_id not in (select source_id from fo) and node_id in (select target_id from fo)),
+sta as (select * from n where node_id in (select source_id from fo) and node_id not in (select target_id from fo)),
+g0 as (select a.node_id a_id, b.node_id b_id, {_um("a", "b")} um, (b.z - a.z) * 1.625 / 3 sz, (b.y - a.y) * 0.40625 / 3 sy, (b.x - a.x) * 0.40625 / 3 sx,
+ (a.z - p.z) * 1.625 lz, (a.y - p.y) * 0.40625 ly, (a.x - p.x) * 0.40625 lx, (q.z - b.z) * 1.625 nz, (q.y - b.y) * 0.40625 ny, (q.x - b.x) * 0.40625 nx
+ from en a join sta b on a.dataset = b.dataset and b.t = a.t + 3 left join (select target_id, min(source_id) s from fo group by 1) f on f.target_id = a.node_id left join n p on p.node_id = f.s
+ left join (select source_id, min(target_id) g from fo group by 1) h on h.source_id = b.node_id left join n q on q.node_id = h.g where {_um("a", "b")} <= 10.2 and {_um("a", "b")} / 3 <= 4.4),
+g1 as (select *, sqrt(sz * sz + sy * sy + sx * sx) sn, sqrt(lz * lz + ly * ly + lx * lx) ln, sqrt(nz * nz + ny * ny + nx * nx) nn from g0),
+g2 as (select *, {_steps("l")}, {_steps("n")} from g1)
+select a_id, b_id, round(um, 6) um, round(um + 2 * (coalesce(greatest(0.0, 0.25 - lcos), 0) + coalesce(greatest(0.0, 0.25 - ncos), 0)), 6) as cost from g2
+where coalesce(lstill or (lcos > -0.25 and loff <= 6), false) or coalesce(nstill or (ncos > -0.25 and noff <= 6), false)"""
+
+
+@query
+def gap2_recovered(spark, d):
+    n, l = kept(spark, det(spark, d), forest(spark, d))
+    return repair.recover_two_frame_gaps(n, l)
+
+
+@query
+def filled_gaps(spark, d):
+    """Gaps of one to three frames joined through detections of no track."""
+    n, l = kept(spark, det(spark, d), forest(spark, d))
+    tracked = ln.prune_isolated(n, l)
+    return repair.fill_gaps(tracked, l, n.join(tracked, "node_id", "left_anti"))
+
+
+@query
+def readmitted_detections(spark, d):
+    """Detections of no track that lie near an open end, away from all tracks."""
+    n, l = kept(spark, det(spark, d), forest(spark, d))
+    tracked = ln.prune_isolated(n, l)
+    return repair.readmit(tracked, l, n.join(tracked, "node_id", "left_anti")).select("node_id", "dataset", "t")
+
+
+SQL["readmitted_detections"] = BASE + f""", tk as (select * from n where node_id in (select source_id from fo union select target_id from fo)), pk as (select * from n where node_id not in (select node_id from tk))
+select node_id, dataset, t from pk where not exists (select 1 from tk b where b.dataset = pk.dataset and b.t = pk.t and {_um("pk", "b")} <= 2.0)
+ and (exists (select 1 from tk a where a.dataset = pk.dataset and pk.t = a.t + 1 and {_um("a", "pk")} <= 4.0 and a.node_id not in (select source_id from fo))
+  or exists (select 1 from tk b where b.dataset = pk.dataset and b.t = pk.t + 1 and {_um("pk", "b")} <= 4.0 and b.node_id not in (select target_id from fo)))"""
+
+
+@query
+def stolen_daughters(spark, d):
+    """Forks whose second daughter is another node's only child, a long step away from it."""
+    n, l = kept(spark, det(spark, d), forest(spark, d))
+    return repair.stolen_daughters(n, l, l.select(F.col("source_id").alias("q_id"), F.col("um").alias("error_um")), least_error=1.5).select("p_id", "d1_id", "d2_id", "q_id")
+
+
+SQL["stolen_daughters"] = BASE + f""", ch as (select source_id, min(target_id) target_id, min(um) um from fo group by 1 having count(*) = 1)
+select p.node_id p_id, d1.node_id d1_id, d2.node_id d2_id, q.source_id q_id from ch c join n p on p.node_id = c.source_id join n d1 on d1.node_id = c.target_id
+ join n d2 on d2.dataset = p.dataset and d2.t = p.t + 1 join ch q on q.target_id = d2.node_id
+ where d1.node_id <> d2.node_id and q.um >= 1.5 and {_um("p", "d2")} <= 12 and {_um("d1", "d2")} <= 16 and {_um("p", "d1")} * {_um("p", "d2")} > 1e-8 and
+ degrees(acos(greatest(-1.0, least(1.0, ((d1.z - p.z) * 1.625 * ((d2.z - p.z) * 1.625) + (d1.y - p.y) * 0.40625 * ((d2.y - p.y) * 0.40625) + (d1.x - p.x) * 0.40625 * ((d2.x - p.x) * 0.40625)) / ({_um("p", "d1")} * {_um("p", "d2")}))))) >= 80"""
+
+
+@query
+def applied_forks(spark, d):
+    """The forest before divisions, with the rule-based divisions that its parents and daughters allow."""
+    n, l = kept(spark, det(spark, d), pre_forest(spark, d))
+    (adds,) = kept(spark, dv.safe_divisions(n, l, least_gain=0.25).withColumn("k", F.row_number().over(W.partitionBy("d2_id").orderBy("score", "p_id"))).where("k = 1").withColumn("k", F.row_number().over(W.partitionBy("p_id").orderBy("score", "d2_id"))).where("k = 1"))
+    before = l.select("dataset", "t", "source_id", "target_id", F.lit(0).alias("safe_division"))
+    return repair.apply_forks(before, adds.select("dataset", "t", "p_id", "d2_id"), adds.limit(0).select("p_id", "d2_id"))
+
+
+@query
+def relinked(spark, d):
+    """Links by motion, with the learned probabilities as a bonus and the shifts of jumps as a prior."""
+    n, l = kept(spark, det(spark, d), forest(spark, d))
+    probs = ln.deliveries(edges(spark, d)).where("edge_prob is not null").groupBy("source_id", "target_id").agg(F.max(clean_probability(F.col("edge_prob"))).alias("prob"))
+    return relink.relink(n, probs, tr.kinds(tr.frozen(n), l))
+
+
 # ---- smoothing -----------------------------------------------------------------------------------------------------
 
 
