@@ -57,20 +57,34 @@ QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_paths, p4_found, p
 
 _REFS = """
 with par as (select node_id, min(recorded_at) a, min(deleted_at) d from nodes group by 1),
-e as (select edge_id id, source_id, target_id, min(recorded_at) at from edges group by all),
-f as (select fork_id id, p_id, d1_id, d2_id, min(recorded_at) at from forks group by all),
-r as (select 'edges' ref_table, id row_id, 'source_id' ref_field, source_id k, at from e
-  union all select 'edges', id, 'target_id', target_id, at from e
-  union all select 'forks', id, 'p_id', p_id, at from f
-  union all select 'forks', id, 'd1_id', d1_id, at from f
-  union all select 'forks', id, 'd2_id', d2_id, at from f),
-j as (select r.*, par.*, coalesce(strftime(at, '%Y-%m'), 'none') period from r left join par on k = node_id where k >= 0),
+e as (select edge_id id, source_id, target_id, min(recorded_at) seen from edges group by all),
+f as (select fork_id id, p_id, d1_id, d2_id, min(recorded_at) seen from forks group by all),
+r as (select 'edges' ref_table, id row_id, 'source_id' ref_field, source_id k, seen from e
+  union all select 'edges', id, 'target_id', target_id, seen from e
+  union all select 'forks', id, 'p_id', p_id, seen from f
+  union all select 'forks', id, 'd1_id', d1_id, seen from f
+  union all select 'forks', id, 'd2_id', d2_id, seen from f),
+j as (select r.*, par.*, coalesce(strftime(seen, '%Y-%m'), 'none') period from r left join par on k = node_id where k >= 0),
 o as (select ref_table, row_id, ref_field, 'missing' reason, period from j where node_id is null
-  union all select ref_table, row_id, ref_field, 'deleted', period from j where d <= at
-  union all select ref_table, row_id, ref_field, 'late', period from j where a > at)
+  union all select ref_table, row_id, ref_field, 'deleted', period from j where d <= seen
+  union all select ref_table, row_id, ref_field, 'late', period from j where a > seen)
+"""
+
+_LINKS = """
+with recursive ids as (select distinct node_id from nodes where node_id is not null),
+l as (select distinct source_id p, target_id c from edges where source_id in (from ids) and target_id in (from ids)),
+roots as (select distinct p id from l where p not in (select c from l)),
+reach(root, node, depth) using key (root, node) as (
+  select id, id, 0 from roots
+  union
+  select r.root, l.c, min(r.depth) + 1 from reach r join l on l.p = r.node left join recurring.reach k on k.root = r.root and k.node = l.c where k.root is null group by r.root, l.c),
+below(top, node) as (select p, c from l union select b.top, l.c from below b join l on l.p = b.node),
+cyc as (select distinct node from below where top = node)
 """
 
 SQL = {
+    "p3_found": _LINKS + """select node node_id, root root_id, depth::int depth from reach union all select node, -1, -1 from cyc
+union all select distinct node, -2, -2 from below where top in (from cyc) and node not in (from cyc) and node not in (select node from reach)""",
     "p4_found": _REFS + "select * from o",
     "p4_report": _REFS + "select ref_table, ref_field, reason, period, count(*) n_references from o group by all",
     "p5_found": """
