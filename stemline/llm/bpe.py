@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,7 +89,7 @@ class Encoder:
         """(the number of each word, words of each text)."""
         if len(self.index) > KEPT:
             self.forget()
-        index, fresh, out, count = self.index, [], [], np.zeros(len(texts), np.int64)
+        index, fresh, out, count = self.index, [], array("q"), np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
                 found = self.split(text)

@@ -10,7 +10,7 @@ Components above HEAVY of all records (at most 1 / HEAVY of them) go first, each
 others, in hash order, fill what the splits still lack, by prefix sums over hash buckets.
 
 Defined cases: rows without a first name (dataset) are left out; names are compared in lower case without surrounding
-blanks and tabs; repeated rows count once; no rows give no rows. Extra columns are not read.
+blanks and tabs; repeated rows count once; no rows, or no split with a share, give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -96,6 +96,8 @@ def assign_splits(groups: DataFrame, targets: DataFrame, scratch: Scratch, seed:
     def place(rows: pd.DataFrame) -> pd.DataFrame:  # at most 1 / heavy groups and the splits
         left = rows[rows.group_id.isna()].sort_values("split_name").set_index("split_name").want.to_dict()
         out = []
+        if not left:  # without targets nothing is assigned
+            return pd.DataFrame({"group_id": [], "split_name": [], "want": []})
         for g, n in rows[rows.group_id.notna()].sort_values(["n", "h"], ascending=False)[["group_id", "n"]].itertuples(index=False):
             s = max(left, key=lambda k: (left[k], k))
             left[s] -= n

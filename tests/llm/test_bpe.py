@@ -52,3 +52,9 @@ def test_corpus(spark, rows):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string")
     assert {r.doc_id: r.ids for r in encode_corpus(docs).collect()} == {i: public(t) for i, t in rows}
     assert {r.doc_id: r.n_tokens for r in count_tokens(docs, ["doc_id"]).collect()} == {i: len(public(t)) for i, t in rows}
+
+
+def test_very_long_texts():
+    rnd = random.Random(4)
+    long = [" ".join(rnd.choice(["cell", "Zelle", "細胞", "0x7f", "\n\n"]) for _ in range(120_000)), "q" * 60_000, "".join(rnd.choice("abcdefgh") for _ in range(60_000))]
+    assert encoded(long) == [public(t) for t in long]

@@ -49,3 +49,5 @@ def test_splits_keep_groups_and_shares(spark):
     for name, share in TARGETS:
         assert abs(n[name] / len(rows) - share) < 0.02
     assert assign_splits(groups.limit(0), spark.createDataFrame(TARGETS, "split_name string, share double"), Scratch(spark, "t")).count() == 0
+    none = spark.createDataFrame([("train", None), (None, -1.0)], "split_name string, share double")
+    assert assign_splits(groups, none, Scratch(spark, "t")).count() == 0
