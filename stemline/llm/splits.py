@@ -97,7 +97,7 @@ def assign_splits(groups: DataFrame, targets: DataFrame, scratch: Scratch, seed:
         left = rows[rows.group_id.isna()].sort_values("split_name").set_index("split_name").want.to_dict()
         out = []
         if not left:  # without targets nothing is assigned
-            return pd.DataFrame({"group_id": [], "split_name": [], "want": []})
+            return pd.DataFrame({"group_id": pd.Series(dtype=object), "split_name": pd.Series(dtype=object), "want": pd.Series(dtype=float)})
         for g, n in rows[rows.group_id.notna()].sort_values(["n", "h"], ascending=False)[["group_id", "n"]].itertuples(index=False):
             s = max(left, key=lambda k: (left[k], k))
             left[s] -= n
