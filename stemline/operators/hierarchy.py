@@ -25,7 +25,7 @@ from pyspark.sql.window import Window as W
 
 from stemline.functions.forest import break_cycles, measure, path_sums, strong_components
 from stemline.functions.runs import chunks, whole_groups
-from stemline.skew import lookup
+from stemline.skew import hot_keys, lookup
 from stemline.store import Scratch
 
 #: Rows of a chunk.
@@ -289,7 +289,7 @@ class Hierarchies:
         into = keep(into.unionByName(cut), "into")
         at = self.sets.select(F.col("v").alias("p"), F.col("root").alias("a"), "depth", "pre")
         #: Links into roots of trees: from node p (depth, pre) of the tree of a to the tree of c.
-        self.between = keep(into.join(at, "p").select("p", "c", "a", "depth", "pre"), "between")
+        self.between = keep(lookup(into, at, "p", F.col("c"), "inner").select("p", "c", "a", "depth", "pre"), "between")
 
     def reached(self) -> DataFrame:
         """(c, r, dist): the fewest links from each true root r to each root c of a tree that has parents; r null where no root leads to c."""
@@ -388,7 +388,8 @@ class Hierarchies:
         keep = self.scratch.keep
         reached = self.reached()
         mark = F.lit(True)
-        found = self.sets.select("v", "root", "depth").join(reached.withColumn("known", mark).withColumnRenamed("c", "root"), "root", "left")
+        hot = hot_keys(self.sets, "root")  # trees that hold much of all nodes
+        found = lookup(self.sets.select("v", "root", "depth"), reached.withColumn("known", mark).withColumnRenamed("c", "root"), "root", F.col("v"), hot=hot)
         direct = found.where(F.col("known").isNull() | F.col("r").isNotNull()).select(
             F.col("v").alias("node_id"), F.coalesce("r", "root").alias("root_id"), (F.coalesce("dist", F.lit(0)) + F.col("depth")).cast("int").alias("depth")
         )
@@ -404,7 +405,7 @@ class Hierarchies:
             front = keep(nxt.join(behind, "c", "left_anti"), "behind")
             behind = behind.unionByName(front)
         unrooted = behind.join(reached.where(F.col("r").isNotNull()).select("c").distinct(), "c", "left_anti")
-        after = self.sets.join(unrooted.withColumnRenamed("c", "root"), "root", "left_semi").join(cyclic.select("v"), "v", "left_anti")
+        after = lookup(self.sets.select("v", "root"), unrooted.withColumnRenamed("c", "root"), "root", F.col("v"), "left_semi", hot).join(cyclic.select("v"), "v", "left_anti")
         return direct.unionByName(on).unionByName(after.select(F.col("v").alias("node_id"), F.lit(-2).cast("long").alias("root_id"), F.lit(-2).alias("depth")))
 
 
@@ -426,11 +427,9 @@ def paths(table: DataFrame, scratch: Scratch, segment: int = 200_000) -> DataFra
     Trees are walked in preorder, in segments of bounded length; the path to the head of a segment comes from the
     nested-set ranges that hold it.
     """
-    rows = table.select("node_id", "root_id", "depth", "pre", "last", F.floor(F.col("pre") / segment).alias("seg"))
-    heads = rows.where((F.col("pre") % segment == 0) & (F.col("seg") > 0)).select("root_id", F.col("pre").alias("h_pre"), F.col("seg").alias("h_seg"))
-    big = heads.select("root_id").distinct()
-    above = rows.join(big, "root_id", "left_semi").join(heads, "root_id").where("pre < h_pre and h_pre <= last")
-    above = above.select("root_id", F.col("h_seg").alias("seg"), "node_id", "depth", F.lit(-1).cast("long").alias("at"))
+    rows = table.select("node_id", "root_id", "depth", "pre", F.floor(F.col("pre") / segment).alias("seg"), F.floor(F.col("last") / segment).alias("last_seg"))
+    # a node is above the heads of all segments that start within its range
+    above = rows.where("last_seg > seg").select("root_id", F.explode(F.sequence(F.col("seg") + 1, F.col("last_seg"))).alias("seg"), "node_id", "depth", F.lit(-1).cast("long").alias("at"))
     every = rows.select("root_id", "seg", "node_id", "depth", F.col("pre").alias("at")).unionByName(above)
     keys = ["root_id", "seg"]
     walked = every.repartition(*keys).sortWithinPartitions(*keys, "at", "depth")
