@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemline.llm import bpe, groups, mixing, pieces, splits
+from stemline.skew import lookup
 from stemline.sources.tables import table
 from stemline.store import Scratch
 
@@ -34,7 +35,7 @@ def _splits(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark, "splits")
     related = scratch.keep(_related(spark, folder, scratch), "related")
     assigned = splits.assign_splits(related, table(spark, folder, "split_targets"), scratch)
-    return related.join(assigned, "group_id").select("dataset", "group_id", "split_name")
+    return lookup(related, assigned, "group_id", F.col("dataset"), "inner").select("dataset", "group_id", "split_name")
 
 
 def p2_splits(spark: SparkSession, folder: str) -> DataFrame:

@@ -76,7 +76,7 @@ def consolidate(pairs: DataFrame, a: str = "a", b: str = "b", bound: int = BOUND
     group = levels.pop().withColumnRenamed("parent", "group")
     while levels:
         up = scratch.keep(group, "group").withColumnRenamed("node", "parent")
-        group = levels.pop().join(up, "parent", "left").select("node", F.coalesce("group", "parent").alias("group"))
+        group = lookup(levels.pop(), up, "parent", F.col("node")).select("node", F.coalesce("group", "parent").alias("group"))
     return group
 
 

@@ -64,8 +64,8 @@ class Mix:
         goal = wanted.orderBy("source").limit(MOST_SOURCES + 1).collect()
         if len(goal) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources in the target table")
-        have = self.sizes.join(wanted.select("source", F.lit(1).alias("listed")), "source", "left")
-        have = have.groupBy(F.when(F.col("listed") == 1, F.col("source")).alias("source")).agg(F.sum("n_tokens").alias("n")).collect()
+        have = self.sizes.groupBy("source").agg(F.sum("n_tokens").alias("n")).join(wanted.select("source", F.lit(1).alias("listed")), "source", "left")
+        have = have.groupBy(F.when(F.col("listed") == 1, F.col("source")).alias("source")).agg(F.sum("n").alias("n")).collect()
         tokens = {r.source: r.n or 0 for r in have}
         self.total = sum(tokens.values())
         self.block, self.seed = block, seed

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stemline.llm.groups import consolidate
+from stemline.skew import lookup
 from stemline.store import Scratch
 
 #: A list of neighbours is cut into parts of about this length.
@@ -47,11 +48,11 @@ def names_of(rows: DataFrame, dataset: str = "dataset", embryo: str = "embryo_id
 def frontier_labels(links: DataFrame, scratch: Scratch, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """For links(u, v) between names: (v, label) of each name, and the (a, b) of labels that met."""
     keep = scratch.keep
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
+    both = keep(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "both")
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
     degree = both.groupBy("u").agg(F.count("*").alias("n"), F.min(rank("v")).alias("nearest"))
     long = keep(degree.where(F.col("n") > part).select("u", F.ceil(F.col("n") / part).cast("int").alias("parts")), "long")
-    adjacency = both.join(long, "u", "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int"))
+    adjacency = lookup(both, long, "u", F.col("v")).withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int"))
     adjacency = keep(adjacency.select("u", "salt", "v").repartition("u", "salt").sortWithinPartitions("u", "salt"), "adjacency")
 
     seeds = degree.where(rank("u") < F.col("nearest")).select(F.col("u").alias("v"), F.col("u").alias("label"))
@@ -60,10 +61,11 @@ def frontier_labels(links: DataFrame, scratch: Scratch, part: int = PART) -> tup
     while True:
         out = front.withColumnRenamed("v", "u").join(long, "u", "left")
         out = out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        reached = adjacency.join(out, ["u", "salt"]).groupBy("v", "label").count().drop("count")
-        taken = reached.join(seen.withColumnRenamed("label", "first"), "v", "left")
-        least = F.min("label").over(W.partitionBy("v"))
-        step = keep(taken.select("v", "label", F.coalesce("first", least).alias("own"), F.col("first").isNull().alias("new")), "step")
+        reached = keep(adjacency.join(out, ["u", "salt"]).select("v", "label").distinct(), "reached")
+        # very many labels may meet at one name: its own one is found by a combined minimum, and given back by a salted join
+        own = reached.groupBy("v").agg(F.min("label").alias("least")).join(seen.withColumnRenamed("label", "first"), "v", "left")
+        own = own.select("v", F.coalesce("first", "least").alias("own"), F.col("first").isNull().alias("new"))
+        step = keep(lookup(reached, own, "v", F.col("label"), "inner"), "step")
         pairs = step.where("label <> own").select(F.col("own").alias("a"), F.col("label").alias("b")).distinct()
         met = pairs if met is None else met.unionByName(pairs)
         front = step.where("new and label = own").select("v", "label")
@@ -77,9 +79,9 @@ def related_groups(names: DataFrame, scratch: Scratch, part: int = PART) -> Data
     links = names.select(F.concat(F.lit("d:"), "dataset").alias("u"), F.concat(F.lit("e:"), "embryo").alias("v"))
     labels, met = frontier_labels(scratch.keep(links, "links"), scratch, part)
     merged = consolidate(met).select(F.col("node").alias("label"), "group")
-    labelled = scratch.keep(labels.join(merged, "label", "left").select("v", F.coalesce("group", "label").alias("group")), "labels")
+    labelled = scratch.keep(lookup(labels, merged, "label", F.col("v")).select("v", F.coalesce("group", "label").alias("group")), "labels")
     embryos = labelled.where(F.col("v").startswith("e:")).groupBy("group").agg(F.min(F.substring("v", 3, 1 << 30)).alias("group_id"))
-    return labelled.where(F.col("v").startswith("d:")).join(embryos, "group").select(F.substring("v", 3, 1 << 30).alias("dataset"), "group_id")
+    return lookup(labelled.where(F.col("v").startswith("d:")), embryos, "group", F.col("v"), "inner").select(F.substring("v", 3, 1 << 30).alias("dataset"), "group_id")
 
 
 def assign_splits(groups: DataFrame, targets: DataFrame, scratch: Scratch, seed: int = 0, heavy: float = HEAVY) -> DataFrame:
