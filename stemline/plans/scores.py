@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stemline.functions.geometry import AXES
-from stemline.operators import learning, matching, scoring, spatial
+from stemline.operators import labelling, learning, matching, scoring, spatial
 from stemline.operators import lineage as ln
-from stemline.plans.lineage import BASE, MOVIE, N, det, forest, forks, kept, links, movie_name
+from stemline.plans.lineage import BASE, MOVIE, N, TREE, det, forest, forks, kept, links, movie_name
 from stemline.sources.tables import table
+from stemline.store import Scratch
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -109,6 +110,57 @@ def written_score(spark, d):
     return scoring.score_report(scoring.edge_confusion(pred, truth, match), scoring.division_confusion(pred, truth, match), pn.groupBy("dataset").agg(F.count("*").alias("n")), _expected(spark, d))
 
 
+@query
+def division_proxy(spark, d):
+    """Divisions found, missed and wrong, by the components of the predicted graph."""
+    _, pred, truth, pn, tn = _graphs(spark, d)
+    return labelling.division_proxy(pred, truth, _by_id(pn, tn), Scratch(spark, "proxy"))
+
+
+SQL["division_proxy"] = BASE + f""", {GR}, {TREE}, fk as (select source_id p from fo group by 1 having count(*) >= 2), fc as (select distinct component from tree where node_id in (from fk)),
+pl as (select node_id, component from tree where node_id in (from mt) and component in (from fc)),
+dv as (select dataset, source_id g, min(target_id) c0, max(target_id) c1 from tr group by all having count(*) >= 2),
+ds as (with recursive r(c, node) as (select c0, c0 from dv union select c1, c1 from dv union select c, target_id from r join tr on source_id = node) select * from r),
+hc as (select distinct c, component from ds join pl on pl.node_id = ds.node), an as (select g, g a from dv union select g, source_id from dv join tr on target_id = g),
+ok as (select distinct g from an join pl on node_id = a join dv using (g) where (c0, component) in (select (c, component) from hc) and (c1, component) in (select (c, component) from hc))
+select dataset, g true_id, case when g in (from ok) then 'tp' else 'fn' end outcome from dv
+union all select distinct dataset, source_id, 'fp' from tr where source_id in (from fk) and source_id in (from mt) and source_id not in (from ok)"""
+
+
+@query
+def labelled_forks(spark, d):
+    """What each fork candidate of detections would score if it were added to the forest."""
+    n, pred, truth, pn, tn = _graphs(spark, d)
+    rows = forks(spark, d).where("shape = 'a'").select("fork_id", "p_id", "d1_id", "d2_id")
+    for c in ("p_id", "d1_id", "d2_id"):
+        rows = rows.join(n.select(F.col("node_id").alias(c)), c, "left_semi")
+    return labelling.label_forks(rows, pred, truth, _by_id(pn, tn), Scratch(spark, "labels"))
+
+
+def _evidence_sql(p, c):
+    """Tables named with a prefix on the forks of a table c(f, p, x0, x1): near and fitting divisions, and forks across trees."""
+    return f"""{p}n as (select distinct f, g from (select f, p q from {c} union select f, source_id from {c} join fo on target_id = p) join hd on q = u where q in (from mt)),
+{p}l as (select f, 0 side, x0 v, true own from {c} union all select f, 1, x1, true from {c} union all select f, 0, target_id, false from {c} join fo on source_id = x0 union all select f, 1, target_id, false from {c} join fo on source_id = x1),
+{p}s as (select * from {p}l where v in (from mt)), {p}h as (select distinct f, g, side, k from {p}s join kd using (v)),
+{p}v as (select f, g from {p}n where exists (select 1 from {p}h a, {p}h b where a.f = {p}n.f and b.f = a.f and a.g = {p}n.g and b.g = a.g and a.side = 0 and b.side = 1 and a.k <> b.k)),
+{p}b as (select f, side, coalesce(max(component) filter (own), case when count(distinct component) filter (not own) = 1 then max(component) filter (not own) end) c from {p}s join tt on node_id = v group by all),
+{p}x as (select f from {p}b group by 1 having count(distinct c) >= 2)"""
+
+
+SQL["labelled_forks"] = BASE + f""", {GR}, tt as (with recursive r(node_id, component) as (select distinct source_id, source_id from tr where source_id not in (select target_id from tr) union all select target_id, component from r join tr on source_id = node_id) select * from r),
+dv as (select source_id g, min(target_id) c0, max(target_id) c1 from tr group by 1 having count(*) >= 2), hd as (select g u, g from dv union select source_id, g from dv join tr on target_id = g),
+ki as (select c0 v, g, 0 k from dv union all select c1, g, 1 from dv), kd as (select * from ki union select target_id, g, k from ki join tr on source_id = v),
+fr as (select distinct fork_id f, p_id p, d1_id x0, d2_id x1 from forks where shape = 'a' and p_id in (select node_id from n) and d1_id in (select node_id from n) and d2_id in (select node_id from n)),
+od as (select source_id f, source_id p, min(target_id) x0, max(target_id) x1 from fo group by 1 having count(*) >= 2),
+{_evidence_sql("o_", "od")}, {_evidence_sql("c_", "fr")}, hl as (select g, f from o_v where f not in (from o_x)),
+mf as (select f from fr join fo on target_id in (x0, x1) where source_id <> p union select f from fr where x0 = x1),
+ft as (select f, min(g) fits from c_v join fr using (f) where not exists (select 1 from hl where hl.g = c_v.g and hl.f <> p) group by 1), nr as (select f, min(g) near from c_n group by 1),
+j as (select fr.f, f in (from mf) bad, f in (from c_x) crosses, fits, near, p in (from mt) and p in (select source_id from tr) goes from fr left join ft using (f) left join nr using (f)),
+z as (select *, case when bad then 'malformed' when fits is not null and not crosses then '' when crosses then 'cross' when near is not null then 'near_division' when goes then 'continuing' else '' end reason from j)
+select f fork_id, case when reason <> '' then 'fp' when fits is not null and not crosses then 'tp' else 'ignored' end as label, reason,
+ case when reason = 'near_division' then near when reason = '' and fits is not null and not crosses then fits end divider_id from z"""
+
+
 # ---- thresholds ----------------------------------------------------------------------------------------------------
 
 
