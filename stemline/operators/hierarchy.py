@@ -298,14 +298,71 @@ class Hierarchies:
         steps = keep(self.between.groupBy("a", "c").agg((F.min("depth") + 1).cast("long").alias("len")), "steps")
         inner = keep(trees, "trees")
         new = keep(steps.join(inner.select(F.col("c").alias("a")), "a", "left_anti").select("c", F.col("a").alias("r"), F.col("len").alias("dist")), "new")
+        best = self._relaxed(new, steps)
+        return keep(inner.join(best, "c", "left"), "reached")
+
+    def _relaxed(self, new: DataFrame, steps: DataFrame) -> DataFrame:
+        """(c, r, dist): the fewest links, from the distances new(c, r, dist) on over steps(a, c, len)."""
         known = [new]
         while new.limit(1).count():
             further = new.withColumnsRenamed({"c": "a"}).join(steps, "a").groupBy("c", "r").agg(F.min(F.col("dist") + F.col("len")).alias("dist"))
             best = self._union(known).groupBy("c", "r").agg(F.min("dist").alias("had"))
-            new = keep(further.join(best, ["c", "r"], "left").where(F.col("had").isNull() | (F.col("dist") < F.col("had"))).select("c", "r", "dist"), "new")
+            new = self.scratch.keep(further.join(best, ["c", "r"], "left").where(F.col("had").isNull() | (F.col("dist") < F.col("had"))).select("c", "r", "dist"), "new")
             known.append(new)
-        best = self._union(known).groupBy("c", "r").agg(F.min("dist").alias("dist"))
-        return keep(inner.join(best, "c", "left"), "reached")
+        return self._union(known).groupBy("c", "r").agg(F.min("dist").alias("dist"))
+
+    def _closure(self, trees: DataFrame) -> DataFrame:
+        """(x, c): the trees c that each of trees(c) leads to over any number of links, itself included."""
+        keep = self.scratch.keep
+        steps = keep(self.between.select("a", "c").distinct(), "steps")
+        known = front = keep(trees.select(F.col("c").alias("x"), "c"), "closure")
+        while front.limit(1).count():
+            nxt = front.withColumnRenamed("c", "a").join(steps, "a").select("x", "c").distinct()
+            front = keep(nxt.join(known, ["x", "c"], "left_anti"), "closure")
+            known = known.unionByName(front)
+        return known
+
+    def starts(self) -> DataFrame:
+        """(c, r, dist, rootless, p) for each tree c that has parents and each start r of its paths.
+
+        p is the parent of c on a path of fewest links from r (the least such p). Starts are the roots; for trees that no
+        root leads to (rootless), the least root of a tree on each first cycle above them.
+        """
+        keep = self.scratch.keep
+        reached = self.reached()
+        found = reached.where(F.col("r").isNotNull()).withColumn("rootless", F.lit(False))
+        lost = keep(reached.where(F.col("r").isNull()).select("c"), "lost")
+        if lost.limit(1).count():
+            pairs = keep(self._closure(lost).join(lost, "c", "left_semi"), "lost_pairs")
+            back = pairs.select(F.col("c").alias("x"), F.col("x").alias("c"), F.lit(True).alias("both"))
+            # on a first cycle, whatever leads to a tree is also led to by it
+            tops = pairs.join(back, ["x", "c"], "left").groupBy("c").agg(F.min(F.col("both").isNotNull()).alias("first"), F.min("x").alias("r"))
+            new = keep(tops.where("first").select(F.col("r").alias("c"), "r", F.lit(0).cast("long").alias("dist")).distinct(), "first")
+            steps = self.between.join(lost, "c", "left_semi").groupBy("a", "c").agg((F.min("depth") + 1).cast("long").alias("len"))
+            found = found.unionByName(self._relaxed(new, keep(steps, "lost_steps")).withColumn("rootless", F.lit(True)))
+        found = keep(found, "starts")
+        trees = self.between.select(F.col("c").alias("a")).distinct()
+        direct = self.between.join(trees, "a", "left_anti").select("c", "p", F.col("a").alias("r"), (F.col("depth") + 1).alias("total"))
+        later = self.between.join(found.select(F.col("c").alias("a"), "r", "dist"), "a").select("c", "p", "r", (F.col("dist") + F.col("depth") + 1).alias("total"))
+        via = direct.unionByName(later).join(found.select("c", "r", "dist"), ["c", "r"]).where("total = dist").groupBy("c", "r").agg(F.min("p").alias("p"))
+        return keep(found.join(via, ["c", "r"], "left"), "starts")
+
+    def table(self) -> DataFrame:
+        """(node_id, parent_id, tree_id, depth, pre, last, on_cut, merged): nested sets; merged: the tree's root has parents."""
+        trees = self.between.select(F.col("c").alias("tree_id")).distinct().withColumn("merged", F.lit(True))
+        rows = self.sets.select(
+            F.col("v").alias("node_id"), F.when(F.col("root") != F.col("v"), F.col("p")).alias("parent_id"), F.col("root").alias("tree_id"),
+            F.col("depth").cast("int").alias("depth"), "pre", (F.col("pre") + F.col("size") - 1).alias("last"), F.col("cut").alias("on_cut"),
+        )
+        return self.scratch.keep(lookup(rows, trees, "tree_id", F.col("node_id")).withColumn("merged", F.coalesce("merged", F.lit(False))), "table")
+
+    def exits(self, table: DataFrame, segment: int) -> DataFrame:
+        """(p, a, upto) of each node p with a link into another tree, or back to its tree's root: the path from the root of its tree a."""
+        ends = self.between.select(F.col("p").alias("node_id"), F.lit(True).alias("wanted")).distinct()
+        trees = self.between.select(F.col("a").alias("tree_id")).distinct()
+        rows = lookup(table, trees, "tree_id", F.col("node_id"), "left_semi")
+        rows = lookup(rows, ends, "node_id", F.col("tree_id"), hot=[]).withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+        return self.scratch.keep(paths(rows.withColumnRenamed("tree_id", "root_id"), self.scratch, segment).select(F.col("node_id").alias("p"), F.col("root_id").alias("a"), F.col("path").alias("upto")), "exits")
 
     @staticmethod
     def _union(parts: list[DataFrame]) -> DataFrame:
@@ -412,7 +469,7 @@ class Hierarchies:
 def hierarchy_table(links: DataFrame, bound: int = BOUND) -> DataFrame:
     """(node_id, parent_id, root_id, depth, pre, last, n_descendants, on_cut): the nested sets of the forest of links.
 
-    A node with several parents is the root of its own tree here; Hierarchies.rows() follows all its parents.
+    A node with several parents is the root of its own tree here; full_hierarchy() and full_paths() follow all its parents.
     """
     sets = Hierarchies(links, bound).sets
     return sets.select(
@@ -422,15 +479,16 @@ def hierarchy_table(links: DataFrame, bound: int = BOUND) -> DataFrame:
 
 
 def paths(table: DataFrame, scratch: Scratch, segment: int = 200_000) -> DataFrame:
-    """(node_id, root_id, depth, path): ids from the root down to the node, for a hierarchy_table.
+    """(node_id, root_id, depth, path): ids from the root down to the node, for a hierarchy_table; of rows that are wanted, where it says so.
 
     Trees are walked in preorder, in segments of bounded length; the path to the head of a segment comes from the
     nested-set ranges that hold it.
     """
-    rows = table.select("node_id", "root_id", "depth", "pre", F.floor(F.col("pre") / segment).alias("seg"), F.floor(F.col("last") / segment).alias("last_seg"))
+    wanted = F.col("wanted") if "wanted" in table.columns else F.lit(True)
+    rows = table.select("node_id", "root_id", "depth", "pre", wanted.alias("wanted"), F.floor(F.col("pre") / segment).alias("seg"), F.floor(F.col("last") / segment).alias("last_seg"))
     # a node is above the heads of all segments that start within its range
-    above = rows.where("last_seg > seg").select("root_id", F.explode(F.sequence(F.col("seg") + 1, F.col("last_seg"))).alias("seg"), "node_id", "depth", F.lit(-1).cast("long").alias("at"))
-    every = rows.select("root_id", "seg", "node_id", "depth", F.col("pre").alias("at")).unionByName(above)
+    above = rows.where("last_seg > seg").select("root_id", F.explode(F.sequence(F.col("seg") + 1, F.col("last_seg"))).alias("seg"), "node_id", "depth", F.lit(-1).cast("long").alias("at"), F.lit(False).alias("wanted"))
+    every = rows.select("root_id", "seg", "node_id", "depth", F.col("pre").alias("at"), "wanted").unionByName(above)
     keys = ["root_id", "seg"]
     walked = every.repartition(*keys).sortWithinPartitions(*keys, "at", "depth")
 
@@ -453,7 +511,7 @@ def paths(table: DataFrame, scratch: Scratch, segment: int = 200_000) -> DataFra
                     path = [*path, last[-1]] if k else [last[-1]]
                 rows = rows[d[rows] > k]
                 k += 1
-            out = np.flatnonzero((np.arange(len(v)) >= old) & (at >= 0))
+            out = np.flatnonzero((np.arange(len(v)) >= old) & t.column("wanted").to_numpy())
             size = d[out] + 1
             offsets = np.r_[0, np.cumsum(size)]
             took = flat[np.repeat(start[out] - offsets[:-1], size) + np.arange(offsets[-1])]
@@ -463,3 +521,59 @@ def paths(table: DataFrame, scratch: Scratch, segment: int = 200_000) -> DataFra
             stack = t.take(pa.array(path))
 
     return walked.mapInArrow(walk, "node_id long, root_id long, depth int, path array<long>")
+
+
+def full_hierarchy(links: DataFrame, bound: int = BOUND, segment: int = 200_000) -> DataFrame:
+    """(node_id, parent_id, root_id, depth, rootless, tree_id, pre, last, trees_below, n_descendants, on_cycle): a row for each node and root above it.
+
+    depth is the fewest links from the root, parent_id the parent on such a path. The descendants of a node are the nodes
+    of its tree with pre behind its own up to last, and all nodes of trees_below; n_descendants counts them, without the node itself.
+    on_cycle: the node is its own ancestor. rootless: no root leads to the node, root_id is on a first cycle above it.
+    """
+    h = Hierarchies(links, bound)
+    keep, table = h.scratch.keep, h.table()
+    hot = hot_keys(table, "tree_id")
+    exits = h.exits(table, segment)
+    trees = h.between.select("c").distinct()
+    tops = exits.select("p", "a", F.explode("upto").alias("node_id")).join(h.between.select("p", "c"), "p").select("node_id", "a", "c").distinct()
+    leads = h._closure(trees).select(F.col("x").alias("c"), F.col("c").alias("tree"))
+    below = tops.join(leads, "c").select("node_id", "a", "tree").distinct()
+    sizes = table.where("merged and node_id = tree_id").select(F.col("tree_id").alias("tree"), (F.col("last") - F.col("pre") + 1).alias("size"))
+    below = below.join(sizes, "tree").groupBy("node_id").agg(F.sort_array(F.collect_list("tree")).alias("trees_below"), F.sum("size").alias("more"), F.max(F.col("tree") == F.col("a")).alias("on_cycle"))
+    rows = lookup(table, keep(below, "below"), "node_id", F.col("tree_id"), hot=[])
+    rows = rows.withColumns({"trees_below": F.coalesce("trees_below", F.array().cast("array<long>")), "on_cycle": F.coalesce("on_cycle", F.lit(False))})
+    # a node on a cycle has its whole tree among the trees below it, and so itself
+    own = F.when(F.col("on_cycle"), -1).otherwise(F.col("last") - F.col("pre"))
+    rows = rows.withColumn("n_descendants", F.coalesce("more", F.lit(0)) + own)
+    found = lookup(rows, h.starts().withColumnRenamed("c", "tree_id"), "tree_id", F.col("node_id"), hot=hot)
+    return found.select(
+        "node_id", F.when(F.col("node_id") == F.col("tree_id"), F.col("p")).otherwise(F.col("parent_id")).alias("parent_id"), F.coalesce("r", "tree_id").alias("root_id"),
+        (F.coalesce("dist", F.lit(0)) + F.col("depth")).cast("int").alias("depth"), F.coalesce("rootless", F.lit(False)).alias("rootless"),
+        "tree_id", "pre", "last", "trees_below", "n_descendants", "on_cycle",
+    )
+
+
+def full_paths(links: DataFrame, bound: int = BOUND, segment: int = 200_000) -> DataFrame:
+    """(node_id, root_id, depth, path, rootless): for each node and root above it a path of fewest links, from the root to the node.
+
+    rootless: no root leads to the node, and the path comes from a node on a first cycle above it, as in full_hierarchy().
+    """
+    h = Hierarchies(links, bound)
+    keep, table = h.scratch.keep, h.table()
+    plain = paths(table.where("not merged").withColumnRenamed("tree_id", "root_id"), h.scratch, segment).withColumn("rootless", F.lit(False))
+    if not h.between.limit(1).count():
+        return plain
+    starts = h.starts()
+    via = keep(starts.where(F.col("p").isNotNull()).join(h.exits(table, segment), "p").select("c", "r", "rootless", "a", "upto"), "via")
+    # paths down to the parents of trees, from the start on, a tree in each round
+    front = keep(via.where("a = r").select("c", "r", "rootless", F.col("upto").alias("head")), "heads")
+    heads = [starts.where(F.col("p").isNull()).select("c", "r", "rootless", F.array().cast("array<long>").alias("head")), front]
+    while front.limit(1).count():
+        nxt = via.where("a <> r").join(front.select(F.col("c").alias("a"), "r", "head"), ["a", "r"])
+        front = keep(nxt.select("c", "r", "rootless", F.concat("head", "upto").alias("head")), "heads")
+        heads.append(front)
+    merged = table.where("merged").withColumnRenamed("tree_id", "root_id")
+    hot = hot_keys(merged, "root_id")
+    found = lookup(paths(merged, h.scratch, segment), h._union(heads).withColumnRenamed("c", "root_id"), "root_id", F.col("node_id"), "inner", hot)
+    path = F.concat("head", "path")
+    return plain.unionByName(found.select("node_id", F.col("r").alias("root_id"), (F.size(path) - 1).alias("depth"), path.alias("path"), "rootless"))

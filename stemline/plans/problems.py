@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from stemline.operators import hierarchy, proximity, references
 from stemline.sources.tables import table
-from stemline.store import Scratch
 
 FRAME = ["dataset", "t"]
 NEAR_UM = 3.25
@@ -22,14 +21,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    """Each linked node with its root, depth, nested-set range and number of descendants."""
-    return hierarchy.hierarchy_table(_links(spark, folder))
+    """Each linked node with each root above it, depth, nested-set range, the trees below it and number of descendants."""
+    return hierarchy.full_hierarchy(_links(spark, folder))
 
 
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """The full path of each linked node from its root."""
-    scratch = Scratch(spark, "paths")
-    return hierarchy.paths(scratch.keep(p3_hierarchy(spark, folder), "sets"), scratch)
+    """The full path of each linked node from each root above it."""
+    return hierarchy.full_paths(_links(spark, folder))
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:

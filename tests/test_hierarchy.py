@@ -3,7 +3,7 @@ from collections import defaultdict, deque
 
 import pytest
 
-from stemline.operators.hierarchy import Hierarchies, existing_links, hierarchy_table, paths
+from stemline.operators.hierarchy import Hierarchies, existing_links, full_hierarchy, full_paths, hierarchy_table, paths
 from stemline.store import Scratch
 
 
@@ -108,3 +108,42 @@ def test_empty_nulls_and_extra_columns(spark):
     got = {tuple(r) for r in Hierarchies(existing_links(edges, nodes)).rows().collect()}
     assert got == {(1, 1, 0), (2, 1, 1), (3, -1, -1)}
     assert Hierarchies(existing_links(edges.limit(0), nodes)).rows().count() == 0
+
+
+@pytest.mark.parametrize("kind,seed,bound", [("any", 6, 1_000_000), ("any", 5, 20), ("rings", 2, 1_000_000)])
+def test_full_paths_and_descendants_over_merges(spark, kind, seed, bound):
+    links = graph(kind, seed)
+    # rootless: a cycle, a merge below it, and a second cycle behind both
+    links += [(5000, 5001), (5001, 5000), (5000, 5002), (5001, 5002), (5002, 5003), (5003, 5003), (5003, 5004)]
+    df = spark.createDataFrame(links, "p long, c long").repartition(3)
+    known, below = set(links), defaultdict(set)
+    for v in {v for link in links for v in link}:
+        todo = [v]
+        while todo:
+            at = todo.pop()
+            new = {c for p, c in links if p == at} - below[v]
+            below[v] |= new
+            todo += new
+    want = {r for r in brute(links) if r[1] >= 0}
+    rooted = {r[0] for r in want}
+    got = full_paths(df, bound, segment=4).collect()
+    assert len({(r.node_id, r.root_id) for r in got}) == len(got)
+    assert {(r.node_id, r.root_id, r.depth) for r in got if not r.rootless} == want
+    assert {r.node_id for r in got if r.rootless} == set(below) - rooted
+    for r in got:
+        assert r.path[0] == r.root_id and r.path[-1] == r.node_id and len(r.path) == r.depth + 1
+        assert set(zip(r.path, r.path[1:])) <= known
+        assert not r.rootless or r.root_id in below[r.root_id]
+    table = full_hierarchy(df, bound, segment=4).collect()
+    assert {(r.node_id, r.root_id, r.depth, r.rootless) for r in table} == {(r.node_id, r.root_id, r.depth, r.rootless) for r in got}
+    assert len(table) == len(got)
+    depth = {(r.node_id, r.root_id): r.depth for r in table}
+    for r in table:
+        assert r.n_descendants == len(below[r.node_id] - {r.node_id})
+        assert r.on_cycle == (r.node_id in below[r.node_id])
+        listed = {o.node_id for o in table if (o.tree_id == r.tree_id and r.pre < o.pre <= r.last) or o.tree_id in r.trees_below}
+        assert listed - {r.node_id} == below[r.node_id] - {r.node_id}
+        if r.depth:
+            assert (r.parent_id, r.node_id) in known and depth[r.parent_id, r.root_id] == r.depth - 1
+        else:
+            assert r.parent_id is None
