@@ -94,17 +94,24 @@ def capped(adds: DataFrame, sources: DataFrame, links: DataFrame, score: str = "
     return rows.withColumn("k", F.row_number().over(W.partitionBy("dataset").orderBy(*order))).where("k <= set_cap").drop("k", "frame_cap", "set_cap")
 
 
-def choose_forks(cands: DataFrame, tau: float, frames: int = 1, radius_um: float = 10.0, score: str = "score") -> DataFrame:
+def choose_forks(cands: DataFrame, tau: float, frames: int = 1, radius_um: float = 10.0, score: str = "score", safe: DataFrame | None = None) -> DataFrame:
     """The greedy selection of forks, as rounds over all datasets at once.
 
     In the greedy order (parents by score, then id) a parent takes the free d2 with the least mirror distance, unless an
     accepted parent lies within so many frames and so near. A parent can be settled as soon as no unsettled better parent
     is near it or wants one of its d2; each round settles all such parents, with the same result as one by one.
-    cands: dataset, t, p_id, d2_id, mirror_um, score, p_z, p_y, p_x.
+    cands: dataset, t, p_id, d2_id, mirror_um, score, p_z, p_y, p_x. safe (dataset, t, p_id, d2_id, p_z, p_y, p_x): forks that
+    are there already; their parents and daughters are used, and none is added near them.
     """
     scratch = Scratch(cands.sparkSession, "forks")
     keep = scratch.keep
     pool = keep(cands.where(F.col(score) >= tau).select("dataset", "t", "p_id", "d2_id", "mirror_um", F.col(score).alias("s"), *[f"p_{c}" for c in AXES]).distinct(), "pool")
+    if safe is not None:
+        place = lambda rows: rows.select("dataset", "t", F.col("p_id").alias("node_id"), *[F.col(f"p_{c}").alias(c) for c in AXES]).distinct()
+        beside = safe.select("p_id")
+        for k in range(-frames, frames + 1):
+            beside = beside.union(radius_pairs(place(pool), place(safe), radius_um, k).select("a_id"))
+        pool = keep(pool.join(beside.distinct(), "p_id", "left_anti").join(safe.select("d2_id").distinct(), "d2_id", "left_anti"), "pool")
     parents = pool.groupBy("p_id").agg(F.max("s").alias("s"), *[F.first(c).alias(c) for c in ("dataset", "t", "p_z", "p_y", "p_x")])
     parents = keep(parents.withColumn("rank", F.struct((-F.col("s")).alias("s"), F.col("p_id").alias("p"))), "parents")
     det = parents.select("dataset", "t", F.col("p_id").alias("node_id"), *[F.col(f"p_{c}").alias(c) for c in AXES])

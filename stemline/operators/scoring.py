@@ -109,6 +109,48 @@ def pick_thresholds(add: DataFrame, remove: DataFrame, least_precision=0.40, lea
     return a.select(F.lit("add").alias("kind"), "tau").unionByName(r.select(F.lit("del").alias("kind"), "tau"))
 
 
+def division_sweeps(adds: DataFrame, safe: DataFrame) -> DataFrame:
+    """(kind, embryo, tau, n, tp, fp, ignored, precision_add, kept_tp_frac): additions at or above each threshold, and removals below it.
+
+    adds(embryo, score, label): the forks that the greedy choice at the least threshold adds; safe(embryo, score, label): the
+    safe forks. Rows without score are never removed. The embryo is null for all embryos together.
+    """
+    score = F.coalesce("score", F.lit(float("nan")))  # NaN is above all thresholds
+    step = reduce(lambda a, b: a + b, [F.when(score >= t, 1).otherwise(0) for t in TAUS])
+    label = lambda k: F.sum(F.when(F.col("label") == k, 1).otherwise(0)).alias(k)
+    rows = adds.select(F.lit("add").alias("kind"), "embryo", "label", step.alias("step")).unionByName(safe.select(F.lit("del").alias("kind"), "embryo", "label", step.alias("step")))
+    rows = rows.select("kind", "label", "step", F.explode(F.array("embryo", F.lit(None).cast("string"))).alias("embryo"))
+    parts = rows.groupBy("kind", "embryo", "step").agg(F.count("*").alias("n"), label("tp"), label("fp"), label("ignored"))
+    taus = F.explode(F.array(*[F.struct(F.lit(t).alias("tau"), F.lit(k + 1).alias("k")) for k, t in enumerate(TAUS)])).alias("at")
+    parts = parts.select("*", taus).withColumn("hit", F.when(F.col("kind") == "add", F.col("step") >= F.col("at.k")).otherwise(F.col("step") < F.col("at.k")))
+    sums = [F.sum(F.when(F.col("hit"), F.col(c)).otherwise(0)).alias(c) for c in ("n", "tp", "fp", "ignored")]
+    table = parts.groupBy("kind", "embryo", F.col("at.tau").alias("tau")).agg(*sums, F.sum("tp").alias("all_tp"))
+    scored = F.col("tp") + F.col("fp")
+    precision = F.when(F.col("kind") == "add", F.col("tp") / F.when(scored > 0, scored))
+    kept = F.when(F.col("kind") == "del", F.when(F.col("all_tp") > 0, 1 - F.col("tp") / F.when(F.col("all_tp") > 0, F.col("all_tp"))).otherwise(1.0))
+    return table.withColumn("precision_add", precision).withColumn("kept_tp_frac", kept).drop("all_tp")
+
+
+def division_thresholds(sweeps: DataFrame, embryos: DataFrame, least_precision=0.40, least_adds=3, least_kept=0.95) -> DataFrame:
+    """(kind, fit_embryo, test_embryo, tau, n, tp, fp, ignored, precision_add, kept_tp_frac): thresholds, and what they do where they were not fitted.
+
+    Both embryos are null for all; else thresholds are picked on one embryo and counted on each other one. tau is null where
+    no threshold meets the gates, and then there are no counts.
+    """
+    add = (F.col("kind") == "add") & (F.col("precision_add") >= least_precision) & (F.col("tp") + F.col("fp") >= least_adds)
+    remove = (F.col("kind") == "del") & (F.col("kept_tp_frac") >= least_kept) & (F.col("n") > 0)
+    picks = sweeps.groupBy("kind", F.col("embryo").alias("fit_embryo")).agg(F.coalesce(F.min(F.when(add, F.col("tau"))), F.max(F.when(remove, F.col("tau")))).alias("tau"))
+    kinds = F.explode(F.array(F.lit("add"), F.lit("del"))).alias("kind")
+    every = embryos.select(F.col("embryo").alias("fit_embryo")).crossJoin(embryos.select(F.col("embryo").alias("test_embryo"))).where("fit_embryo <> test_embryo").select("*", kinds)
+    none = F.lit(None).cast("string")
+    whole = embryos.sparkSession.range(1).select(none.alias("fit_embryo"), none.alias("test_embryo"), kinds)
+    rows = every.unionByName(whole).alias("e").join(picks.alias("p"), F.expr("e.kind = p.kind and e.fit_embryo <=> p.fit_embryo"), "left").select("e.*", "p.tau")
+    found = rows.alias("e").join(sweeps.alias("s"), F.expr("e.kind = s.kind and e.test_embryo <=> s.embryo and e.tau = s.tau"), "left").select("e.*", "s.n", "s.tp", "s.fp", "s.ignored", "s.precision_add", "s.kept_tp_frac")
+    # an embryo without additions, or without safe forks, has nothing to count at a threshold
+    zero = {c: F.when(F.col("tau").isNotNull(), F.coalesce(c, F.lit(0))) for c in ("n", "tp", "fp", "ignored")}
+    return found.withColumns(zero | {"kept_tp_frac": F.when(F.col("tau").isNotNull() & (F.col("kind") == "del"), F.coalesce("kept_tp_frac", F.lit(1.0)))})
+
+
 def pr_curve(scored: DataFrame) -> DataFrame:
     """(score, tp, fp, precision, recall) at each score, to four decimals: at most 10,001 rows for scores in [0, 1]."""
     steps = scored.where("label in ('tp', 'fp')").groupBy(F.round("score", 4).alias("score")).agg(F.sum(F.when(F.col("label") == "tp", 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == "fp", 1).otherwise(0)).alias("n"))

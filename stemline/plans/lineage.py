@@ -452,13 +452,23 @@ k1 as (select * from (select ca.*, coalesce(fcap, 1) fcap, coalesce(scap, 1) sca
 select dataset, t, p_id, d2_id from (select *, row_number() over (partition by dataset order by round(mirror_um, 9), p_id, d2_id) k2 from k1) where k2 <= scap"""
 
 
-@query
-def chosen_forks(spark, d):
-    """Greedy selection among the scored fork candidates that are delivered."""
+def fork_pools(spark, d):
+    """Delivered fork candidates that are no safe divisions, and those that are: pairs (p_id, d2_id) with a link of safe_division 1."""
     n = det(spark, d)
     at = n.select(F.col("node_id").alias("p_id"), F.col("dataset").alias("p_dataset"), "t", *[F.col(c).alias(f"p_{c}") for c in AXES])
-    rows = forks(spark, d).where("shape = 'a' and d2_id >= 0 and score is not null and mirror_um is not null").drop("dataset").join(at, "p_id").withColumnRenamed("p_dataset", "dataset")
-    return dv.choose_forks(rows, 0.5)
+    rows = forks(spark, d).drop("dataset").join(at, "p_id").withColumnRenamed("p_dataset", "dataset")
+    links_ = edges(spark, d).where("safe_division = 1").select(F.col("source_id").alias("p_id"), F.col("target_id").alias("d2_id"), F.lit(True).alias("safe")).distinct()
+    rows = rows.withColumn("mirror_um", F.coalesce("mirror_um", F.lit(float("nan")))).join(links_, ["p_id", "d2_id"], "left")  # without one: behind all others
+    rows, first = kept(spark, rows, rows.where("safe").groupBy("p_id", "d2_id").agg(F.min("fork_id").alias("fork_id")).select("fork_id"))
+    cands = rows.where("safe is null and shape = 'a' and d2_id >= 0 and score is not null and not isnan(score)").drop("safe")
+    return cands, rows.join(first, "fork_id", "left_semi").drop("safe")
+
+
+@query
+def chosen_forks(spark, d):
+    """Greedy selection among the scored fork candidates that are delivered, beside the safe divisions."""
+    cands, safe = fork_pools(spark, d)
+    return dv.choose_forks(cands, 0.5, safe=safe)
 
 
 @query

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stemline.functions.geometry import AXES
+from stemline.operators import divisions as dv
 from stemline.operators import labelling, learning, matching, scoring, spatial
 from stemline.operators import lineage as ln
-from stemline.plans.lineage import BASE, MOVIE, N, TREE, det, forest, forks, kept, links, movie_name
+from stemline.plans.lineage import BASE, MOVIE, N, TREE, det, forest, fork_pools, forks, kept, links, movie_name
 from stemline.sources.tables import table
 from stemline.store import Scratch
 
@@ -200,6 +201,29 @@ SQL["picked_thresholds"] = f"""with {SC}, {GRID}, {ADD}, {DEL} select 'add' kind
 union all select 'del', max(tau) from de where removed > 0 and round(1 - removed_tp / (select count(*) from sc where label = 'tp'), 6) >= 0.95"""
 
 
+def _division_sweeps(spark, d):
+    """Sweeps over what the greedy choice adds beside the safe divisions, and over these; and the embryos of both."""
+    cands, safe = fork_pools(spark, d)
+    taken = dv.choose_forks(cands, min(scoring.TAUS), safe=safe).select("p_id", "d2_id")
+    best = cands.where(F.col("score") >= min(scoring.TAUS)).groupBy("p_id", "d2_id").agg(F.min(F.struct("mirror_um", "fork_id", "score", "label", "dataset")).alias("r"))
+    adds = best.join(taken, ["p_id", "d2_id"], "left_semi").select("r.*")
+    embryo = lambda rows: rows.where("dataset is not null").select(F.split("dataset", "_")[0].alias("embryo"), "score", "label")
+    every = embryo(cands).unionByName(embryo(safe)).select("embryo").distinct()
+    return kept(spark, scoring.division_sweeps(embryo(adds), embryo(safe)), every)
+
+
+@query
+def division_sweeps(spark, d):
+    """The sweeps of all embryos together, and of each."""
+    return _division_sweeps(spark, d)[0]
+
+
+@query
+def division_thresholds(spark, d):
+    """Thresholds for additions and removals, and each embryo's counted on the others."""
+    return scoring.division_thresholds(*_division_sweeps(spark, d))
+
+
 @query
 def pr_curve(spark, d):
     return scoring.pr_curve(_scored(spark, d))
