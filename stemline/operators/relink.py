@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from stemline.functions.geometry import AXES, SCALE
 from stemline.functions.sweep import forward_pairs
-from stemline.operators.matching import least_cost
+from stemline.operators.matching import assignment, least_cost
+from stemline.operators.spatial import radius_pairs
 from stemline.store import Scratch
 
 MOST_IN_FRAME = 2600
@@ -144,6 +145,20 @@ def solve_transition(src: np.ndarray, tgt: np.ndarray, prob: np.ndarray, start:
     return out
 
 
+def seed_steps(det: DataFrame, probs: DataFrame | None = None) -> DataFrame:
+    """(dataset, t, um) of the seeds of each transition: detections matched one to one within the seed gate, without motion.
+
+    probs(source_id, target_id, prob): learned probabilities, a bonus.
+    """
+    pairs = radius_pairs(det, det, SEED).select("dataset", "t", "a_id", "b_id", "um")
+    bonus = F.lit(0.0)
+    if probs is not None:
+        pairs = pairs.join(probs.select(F.col("source_id").alias("a_id"), F.col("target_id").alias("b_id"), "prob"), ["a_id", "b_id"], "left")
+        bonus = F.coalesce("prob", F.lit(0.0))
+    pairs = Scratch(det.sparkSession, "seeds").keep(pairs.select("dataset", "t", "a_id", "b_id", "um", (F.col("um") - bonus).alias("cost")), "pairs")
+    return pairs.join(assignment(pairs, cost="cost").select("a_id", "b_id"), ["a_id", "b_id"], "left_semi").select("dataset", "t", "um")
+
+
 ROWS = "dataset string, t int, source_id long, target_id long, um double, motion_um double, motion_pass string, edge_prob double"
 
 

@@ -593,12 +593,27 @@ def applied_forks(spark, d):
     return repair.apply_forks(before, adds.select("dataset", "t", "p_id", "d2_id"), adds.limit(0).select("p_id", "d2_id"))
 
 
+def _probabilities(spark, d):
+    """(source_id, target_id, prob): the learned probability of each link that has one."""
+    return ln.deliveries(edges(spark, d)).where("edge_prob is not null").groupBy("source_id", "target_id").agg(F.max(clean_probability(F.col("edge_prob"))).alias("prob"))
+
+
+def _seed_kinds(n, probs):
+    return tr.kinds(tr.frozen(n), relink.seed_steps(n, probs))
+
+
+@query
+def seed_transition_kinds(spark, d):
+    """The kinds of transitions by the steps of seed matches; transition_kinds has them by the steps of links."""
+    n, probs = kept(spark, det(spark, d), _probabilities(spark, d))
+    return _seed_kinds(n, probs)
+
+
 @query
 def relinked(spark, d):
     """Links by motion, with the learned probabilities as a bonus and the shifts of jumps as a prior."""
-    n, l = kept(spark, det(spark, d), forest(spark, d))
-    probs = ln.deliveries(edges(spark, d)).where("edge_prob is not null").groupBy("source_id", "target_id").agg(F.max(clean_probability(F.col("edge_prob"))).alias("prob"))
-    return relink.relink(n, probs, tr.kinds(tr.frozen(n), l))
+    n, probs = kept(spark, det(spark, d), _probabilities(spark, d))
+    return relink.relink(n, probs, _seed_kinds(n, probs))
 
 
 # ---- smoothing -----------------------------------------------------------------------------------------------------
@@ -626,8 +641,8 @@ select node_id, round(coalesce(0.2 * z + 0.8 * fz, z), 6) z, round(coalesce(0.2
 
 
 def _smooth(spark, d):
-    n, l = kept(spark, det(spark, d), forest(spark, d))
-    (k,) = kept(spark, tr.kinds(tr.frozen(n), l))
+    n, l, probs = kept(spark, det(spark, d), forest(spark, d), _probabilities(spark, d))
+    (k,) = kept(spark, _seed_kinds(n, probs))
     return n, l, k, smoothing.line_fit(n, l, k, _shifts(l, k))
 
 

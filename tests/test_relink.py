@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from stemline.operators.relink import common_shift, relink, solve_transition
+from stemline.operators import transitions
+from stemline.operators.relink import common_shift, relink, seed_steps, solve_transition
 
 SCALE = np.array([1.625, 0.40625, 0.40625])
 
@@ -70,3 +71,18 @@ def test_crowded_and_empty(spark):
     assert relink(n, most=10).count() == relink(n.limit(0)).count() == 0
     probs = spark.createDataFrame([(0, 1000, 1.0), (0, 77, 1.0)], "source_id long, target_id long, prob double")
     assert relink(n, probs).where("source_id = 0 and target_id = 1000 and edge_prob = 1").count() == pytest.approx(1)
+
+
+def test_seed_medians_come_from_detections(spark):
+    # steps of 2 um along x, and of 4.5 um after frame 2; no link is given
+    shift = np.cumsum([0.0, 2.0, 2.0, 4.5, 2.0])
+    rows = [("m_1", t, 10 * t + i, 0.0, 100.0 * i, float(x / SCALE[2])) for t, x in enumerate(shift) for i in range(4)]
+    rows += [("m_1", 1, 99, 0.0, 0.0, float(1.5 / SCALE[2]))]
+    rows = [r for r in rows if r[2] != 43]  # three seeds in the last transition give no median
+    n = spark.createDataFrame(rows, "dataset string, t int, node_id long, z double, y double, x double")
+    got = {t: sorted(round(r.um, 3) for r in seed_steps(n).collect() if r.t == t) for t in range(4)}
+    assert got == {0: [1.5, 2.0, 2.0, 2.0], 1: [2.0] * 4, 2: [4.5] * 4, 3: [2.0] * 3}
+    probs = spark.createDataFrame([(0, 10, 0.9)], "source_id long, target_id long, prob double")
+    assert [round(r.um, 3) for r in seed_steps(n, probs).collect() if r.t == 0] == [2.0] * 4
+    kinds = {r.t: r for r in transitions.kinds(transitions.frozen(n), seed_steps(n)).collect()}
+    assert (kinds[2].kind, kinds[2].reason) == ("jump", "seed_median") and kinds[3].step_um is None and kinds[0].kind == "normal"
