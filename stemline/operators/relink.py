@@ -6,7 +6,8 @@ the field of the transition before, which makes the definition sequential in tim
 
 Here all transitions of all movies are solved at once, each in its own group, and then those again whose predecessor has
 changed, until nothing changes: that fixed point is the sequential result, and few transitions are solved more than twice.
-A group holds two frames; movies with a frame of more than MOST_IN_FRAME detections are left out, as the definition has it.
+A group holds two frames. Movies with a frame of more than MOST_IN_FRAME detections are not relinked, as the definition has
+it; they keep the links that they had, where these are given.
 
 Ties: by detection ids. Where a jump of the whole frame is known (kinds), its common shift is estimated by votes of all
 near pairs and added to the prediction.
@@ -162,14 +163,15 @@ def seed_steps(det: DataFrame, probs: DataFrame | None = None) -> DataFrame:
 ROWS = "dataset string, t int, source_id long, target_id long, um double, motion_um double, motion_pass string, edge_prob double"
 
 
-def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | None = None, most: int = MOST_IN_FRAME) -> DataFrame:
+def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | None = None, most: int = MOST_IN_FRAME, existing: DataFrame | None = None) -> DataFrame:
     """(dataset, t, source_id, target_id, um, motion_um, motion_pass, edge_prob) of the links that motion supports.
 
     probs(source_id, target_id, prob): learned probabilities, a bonus; kinds(dataset, t, kind): transitions of kind jump
-    get the common shift of the frame, frozen and normal ones do not.
+    get the common shift of the frame, frozen and normal ones do not. existing(dataset, t, source_id, target_id, um, edge_prob):
+    links that movies keep which are too crowded to relink, with the pass raw and no motion_um.
     """
     scratch = Scratch(det.sparkSession, "relink")
-    crowded = det.groupBy("dataset", "t").count().where(F.col("count") > most).select("dataset").distinct()
+    crowded = scratch.keep(det.groupBy("dataset", "t").count().where(F.col("count") > most).select("dataset").distinct(), "crowded")
     n = scratch.keep(det.join(crowded, "dataset", "left_anti").select("dataset", "t", "node_id", *[(F.col(c) * SCALE[c]).alias(c) for c in AXES]), "nodes")
     zero = F.lit(0.0)
     role = lambda r, rows: rows.select("dataset", "t", F.lit(r).alias("role"), "id", "other", *AXES, "dz", "dy", "dx")
@@ -223,7 +225,7 @@ def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | No
     while True:
         active = scratch.keep(changed.withColumn("t", F.col("t") + 1).join(whole, ["dataset", "t"], "left_semi"), "active")
         if not active.limit(1).count():
-            return links
+            break
         before = links.withColumn("t", F.col("t") + 1).join(active, ["dataset", "t"], "left_semi").join(a, "source_id").join(b, "target_id")
         prior = before.select("dataset", "t", F.col("target_id").alias("id"), F.lit(-1).cast("long").alias("other"), *AXES, *[(F.col(f"e{c}") - F.col(c)).alias(f"d{c}") for c in AXES])
         fresh = run(parts.join(active, ["dataset", "t"], "left_semi").unionByName(role(2, prior)))
@@ -231,3 +233,7 @@ def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | No
         both = signed(old).withColumnRenamed("sign", "was").join(signed(fresh), ["dataset", "t"], "full")
         changed = scratch.keep(both.where("not (was <=> sign)").select("dataset", "t"), "changed")
         links = scratch.keep(links.join(active, ["dataset", "t"], "left_anti").unionByName(fresh), "links")
+    if existing is None:
+        return links
+    raw = existing.join(crowded, "dataset", "left_semi").select("dataset", "t", "source_id", "target_id", "um", F.lit(None).cast("double").alias("motion_um"), F.lit("raw").alias("motion_pass"), F.coalesce("edge_prob", F.lit(0.0)).alias("edge_prob"))
+    return links.unionByName(raw)

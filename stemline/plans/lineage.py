@@ -611,9 +611,10 @@ def seed_transition_kinds(spark, d):
 
 @query
 def relinked(spark, d):
-    """Links by motion, with the learned probabilities as a bonus and the shifts of jumps as a prior."""
+    """Links by motion, with the learned probabilities as a bonus and the shifts of jumps as a prior; movies too crowded keep the forest's."""
     n, probs = kept(spark, det(spark, d), _probabilities(spark, d))
-    return relink.relink(n, probs, _seed_kinds(n, probs))
+    existing = forest(spark, d).withColumn("edge_prob", clean_probability(F.col("edge_prob")))
+    return relink.relink(n, probs, _seed_kinds(n, probs), existing=existing)
 
 
 # ---- smoothing -----------------------------------------------------------------------------------------------------

@@ -86,3 +86,12 @@ def test_seed_medians_come_from_detections(spark):
     assert [round(r.um, 3) for r in seed_steps(n, probs).collect() if r.t == 0] == [2.0] * 4
     kinds = {r.t: r for r in transitions.kinds(transitions.frozen(n), seed_steps(n)).collect()}
     assert (kinds[2].kind, kinds[2].reason) == ("jump", "seed_median") and kinds[3].step_um is None and kinds[0].kind == "normal"
+
+
+def test_crowded_movies_keep_their_links(spark):
+    rows = [("m_1", t, 10 * t + i, 0.0, 100.0 * i, 0.0) for t in range(2) for i in range(4)] + [("m_2", t, 100 + t, 0.0, 0.0, 0.0) for t in range(2)]
+    n = spark.createDataFrame(rows, "dataset string, t int, node_id long, z double, y double, x double")
+    had = [("m_1", 0, 0, 10, 0.0, None), ("m_1", 0, 1, 12, 40.0, 0.5), ("m_2", 0, 100, 100, 9.0, 0.5)]
+    existing = spark.createDataFrame(had, "dataset string, t int, source_id long, target_id long, um double, edge_prob double")
+    got = {(r.dataset, r.source_id, r.target_id, r.motion_pass, r.edge_prob) for r in relink(n, most=3, existing=existing).collect()}
+    assert got == {("m_1", 0, 10, "raw", 0.0), ("m_1", 1, 12, "raw", 0.5), ("m_2", 100, 101, "tight", 0.0)}
