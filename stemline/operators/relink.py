@@ -151,7 +151,7 @@ def seed_steps(det: DataFrame, probs: DataFrame | None = None) -> DataFrame:
 
     probs(source_id, target_id, prob): learned probabilities, a bonus.
     """
-    pairs = radius_pairs(det, det, SEED).select("dataset", "t", "a_id", "b_id", "um")
+    pairs = radius_pairs(det, det, SEED, width=4).select("dataset", "t", "a_id", "b_id", "um")
     bonus = F.lit(0.0)
     if probs is not None:
         pairs = pairs.join(probs.select(F.col("source_id").alias("a_id"), F.col("target_id").alias("b_id"), "prob"), ["a_id", "b_id"], "left")

@@ -10,7 +10,7 @@ from stemline.functions.geometry import AXES, SCALE, angle, distance
 from stemline.operators.divisions import only_children
 from stemline.operators.lineage import ends_of_tracks
 from stemline.operators.matching import assignment, greedy_matching
-from stemline.operators.spatial import nearest, radius_pairs
+from stemline.operators.spatial import frame_spacing, nearest, radius_pairs
 from stemline.store import Scratch
 
 
@@ -118,6 +118,27 @@ def readmit(det: DataFrame, links: DataFrame, peaks: DataFrame, near_um: float =
     return peaks.join(wanted, "node_id", "left_semi").join(taken, "node_id", "left_anti")
 
 
+def within_gap_gate(pairs: DataFrame, det: DataFrame, gate_um: float = 10.0, frames: int = 2, gain: float = 0.040, normal_um: float = 6.5, most: float = 0.125) -> DataFrame:
+    """Pairs of ends a and starts b within the gate, which is wider in sparse regions and narrower in dense ones."""
+    scratch = Scratch(det.sparkSession, "gate")
+    pairs = scratch.keep(pairs, "pairs")
+    ends = pairs.select(F.col("a_id").alias("node_id")).union(pairs.select("b_id")).distinct()
+    space = scratch.keep(frame_spacing(det.join(ends, "node_id", "left_semi"), det), "spacing")
+    of = lambda p: space.select(F.col("node_id").alias(f"{p}_id"), F.col("spacing_um").alias(f"{p}_space"))
+    rows = pairs.join(of("a"), "a_id").join(of("b"), "b_id")
+    change = F.least(F.lit(most), F.greatest(F.lit(-most), gain * ((F.col("a_space") + F.col("b_space")) / 2 - normal_um)))
+    return rows.where(F.col("um") <= gate_um + frames * change).drop("a_space", "b_space")
+
+
+def motion_errors(det: DataFrame, links: DataFrame) -> DataFrame:
+    """(q_id, error_um): how far each only child lies from where the step into its parent q leads on; without such a step, from q."""
+    at = lambda key, p: det.select(F.col("node_id").alias(key), *[F.col(c).alias(f"{p}{c}") for c in AXES])
+    into = links.groupBy(F.col("target_id").alias("q_id")).agg(F.min("source_id").alias("o_id"), F.count("*").alias("n")).where("n = 1").join(at("o_id", "o_"), "o_id").drop("n", "o_id")
+    rows = only_children(links).select(F.col("source_id").alias("q_id"), F.col("target_id").alias("c_id")).join(at("q_id", "q_"), "q_id").join(at("c_id", "c_"), "c_id").join(into, "q_id", "left")
+    lead = [F.col(f"q_{c}") + F.coalesce(F.col(f"q_{c}") - F.col(f"o_{c}"), F.lit(0.0)) for c in AXES]
+    return rows.select("q_id", "c_id", *[e.alias(f"e_{c}") for c, e in zip(AXES, lead)], *[f"c_{c}" for c in AXES]).select("q_id", distance("e_", "c_").alias("error_um"))
+
+
 def stolen_daughters(det: DataFrame, links: DataFrame, motion: DataFrame, most_pd2: float = 12.0, most_sister: float = 16.0, least_angle: float = 80.0, least_error: float = 3.0) -> DataFrame:
     """(dataset, t, p_id, d1_id, d2_id, q_id): forks whose d2 is the only child of another node q, which its motion does not explain.
 

@@ -13,12 +13,19 @@ from pyspark.sql.window import Window as W
 from stemline.functions.geometry import AXES, SCALE, distance
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius_um: float, frames: int = 1) -> DataFrame:
-    """(dataset, t, a_id, a_z.., b_id, b_z.., um): detections of right at most radius_um from one of left, that many frames later."""
-    cell = lambda p, c, k=0: (F.floor(F.col(f"{p}{c}") * SCALE[c] / radius_um) + k).cast("long")
+def radius_pairs(left: DataFrame, right: DataFrame, radius_um: float, frames: int = 1, width: int = 1) -> DataFrame:
+    """(dataset, t, a_id, a_z.., b_id, b_z.., um): detections of right at most radius_um from one of left, that many frames later.
+
+    width: of a cell, in radii. Wider cells mean fewer copies of left, and more pairs that are compared.
+    """
+    cell = lambda p, c, k=0: (F.floor(F.col(f"{p}{c}") * SCALE[c] / (radius_um * width)) + k).cast("long")
     a = left.select("dataset", "t", F.col("node_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in AXES])
     b = right.select("dataset", (F.col("t") - frames).alias("t"), F.col("node_id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in AXES])
-    around = lambda c: F.explode(F.array(*[cell("a_", c, k) for k in (-1, 0, 1)]))
+    if width == 1:
+        around = lambda c: F.explode(F.array(*[cell("a_", c, k) for k in (-1, 0, 1)]))
+    else:
+        edge = lambda c, by: F.floor((F.col(f"a_{c}") * SCALE[c] + by * (radius_um + 1e-6)) / (radius_um * width)).cast("long")
+        around = lambda c: F.explode(F.sequence(edge(c, -1), edge(c, 1)))
     a = a.withColumn("cy", around("y")).withColumn("cx", around("x"))
     b = b.withColumn("cy", cell("b_", "y")).withColumn("cx", cell("b_", "x"))
     return a.join(b, ["dataset", "t", "cy", "cx"]).withColumn("um", distance("a_", "b_")).where(F.col("um") <= radius_um).drop("cy", "cx")
@@ -46,6 +53,22 @@ def spacing(det: DataFrame, within_um: float = 20.0, k: int = 3, default: float
     return det.select("node_id", "dataset", "t").join(near, "node_id", "left").fillna(default, ["spacing_um"])
 
 
+def frame_spacing(of: DataFrame, det: DataFrame, within_um: float = 20.0, default: float = 6.5) -> DataFrame:
+    """(node_id, spacing_um): for detections of, the median distance to the three nearest ones of det in their frame, however far.
+
+    In frames of four or more it is the distance of the second nearest, and above within_um it stands at within_um.
+    """
+    sizes = det.groupBy("dataset", "t").agg(F.count("*").alias("n"))
+    near = nearest(radius_pairs(of, det, within_um, 0).where("a_id <> b_id"), k=2).where("rank = 2").select(F.col("a_id").alias("node_id"), F.col("um").alias("second"))
+    few = sizes.where("n in (2, 3)").select("dataset", "t")
+    at = lambda rows, p: rows.select("dataset", "t", F.col("node_id").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in AXES])
+    pairs = at(of.join(few, ["dataset", "t"], "left_semi"), "a_").join(at(det, "b_"), ["dataset", "t"]).where("a_id <> b_id").withColumn("um", distance("a_", "b_"))
+    whole = pairs.groupBy(F.col("a_id").alias("node_id")).agg(F.avg("um").alias("mean"))  # of two, and so their median
+    rows = of.select("node_id", "dataset", "t").join(sizes, ["dataset", "t"]).join(near, "node_id", "left").join(whole, "node_id", "left")
+    spacing = F.when(F.col("n") >= 4, F.coalesce("second", F.lit(within_um))).otherwise(F.coalesce("mean", F.lit(default)))
+    return rows.select("node_id", spacing.alias("spacing_um"))
+
+
 def flow(points: DataFrame, samples: DataFrame, k: int = 12, reach_um: float = 40.0, exclude_um: float = 1.5) -> DataFrame:
     """The motion at each point: per axis, the median of the k nearest samples of its transition.
 

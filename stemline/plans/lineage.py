@@ -499,6 +499,13 @@ def gap_candidates(spark, d):
     return _gap_pairs(spark, d)[2].select("a_id", "b_id", F.round("um", 6).alias("um"))
 
 
+@query
+def gap_candidates_by_density(spark, d):
+    """Ends of tracks and starts two frames later within a gate that follows the local spacing of detections."""
+    n, _, pairs = _gap_pairs(spark, d, 10.25)
+    return repair.within_gap_gate(pairs, n).select("a_id", "b_id", F.round("um", 6).alias("um"))
+
+
 GA = f"""en as (select * from n where node_id not in (select source_id from fo) and node_id in (select target_id from fo)),
 sta as (select * from n where node_id in (select source_id from fo) and node_id not in (select target_id from fo)),
 ga as (select a.dataset, a.t, a.node_id a_id, b.node_id b_id, {_um("a", "b")} um from en a join sta b on a.dataset = b.dataset and b.t = a.t + 2 where {_um("a", "b")} <= 10)"""
@@ -508,7 +515,8 @@ SQL["gap_candidates"] = BASE + f", {GA} select a_id, b_id, round(um, 6) um from
 @query
 def closed_gaps(spark, d):
     """Ends and starts matched over one missing frame, with the nearest free detection at the middle, or none."""
-    n, l, pairs = _gap_pairs(spark, d)
+    n, l, pairs = _gap_pairs(spark, d, 10.25)
+    pairs = repair.within_gap_gate(pairs, n)
     (taken,) = kept(spark, matching.assignment(pairs).join(pairs.select("a_id", "b_id", "dataset", "t", *[F.col(f"{p}_{c}") for p in "ab" for c in AXES]), ["a_id", "b_id"]))
     role = ln.ends_of_tracks(n, l)
     free = n.join(role.where("kind = 'isolated'").select("node_id"), "node_id", "left_semi")
@@ -584,6 +592,13 @@ select p.node_id p_id, d1.node_id d1_id, d2.node_id d2_id, q.source_id q_id from
  degrees(acos(greatest(-1.0, least(1.0, ((d1.z - p.z) * 1.625 * ((d2.z - p.z) * 1.625) + (d1.y - p.y) * 0.40625 * ((d2.y - p.y) * 0.40625) + (d1.x - p.x) * 0.40625 * ((d2.x - p.x) * 0.40625)) / ({_um("p", "d1")} * {_um("p", "d2")}))))) >= 80"""
 
 
+@query
+def stolen_daughters_by_motion(spark, d):
+    """Forks whose second daughter is another node's only child, 3 micrometres or more from where that node's last step leads."""
+    n, l = kept(spark, det(spark, d), forest(spark, d))
+    return repair.stolen_daughters(n, l, repair.motion_errors(n, l)).select("p_id", "d1_id", "d2_id", "q_id")
+
+
 @query
 def applied_forks(spark, d):
     """The forest before divisions, with the rule-based divisions that its parents and daughters allow."""
