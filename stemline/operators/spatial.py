@@ -59,7 +59,7 @@ def frame_spacing(of: DataFrame, det: DataFrame, within_um: float = 20.0, defaul
     In frames of four or more it is the distance of the second nearest, and above within_um it stands at within_um.
     """
     sizes = det.groupBy("dataset", "t").agg(F.count("*").alias("n"))
-    near = nearest(radius_pairs(of, det, within_um, 0).where("a_id <> b_id"), k=2).where("rank = 2").select(F.col("a_id").alias("node_id"), F.col("um").alias("second"))
+    near = nearest(radius_pairs(of, det, within_um, 0, width=4).where("a_id <> b_id"), k=2).where("rank = 2").select(F.col("a_id").alias("node_id"), F.col("um").alias("second"))
     few = sizes.where("n in (2, 3)").select("dataset", "t")
     at = lambda rows, p: rows.select("dataset", "t", F.col("node_id").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in AXES])
     pairs = at(of.join(few, ["dataset", "t"], "left_semi"), "a_").join(at(det, "b_"), ["dataset", "t"]).where("a_id <> b_id").withColumn("um", distance("a_", "b_"))
