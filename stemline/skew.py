@@ -16,13 +16,25 @@ SAMPLE = 0.02
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, column: str, share: float = HOT_SHARE, fraction: float = SAMPLE) -> list:
-    """Values of a column that make up at least a share of its sampled rows: at most 1 / share values."""
-    counts = df.where(F.col(column).isNotNull()).sample(fraction, seed=7).groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
+def hot_ends(df: DataFrame, columns: list[str], share: float = HOT_SHARE, fraction: float = SAMPLE) -> dict[str, list]:
+    """For each of some columns of one type, the values that make up at least a share of its sampled rows: at most 1 / share values.
+
+    One pass over a sample; give it a table that is cheap to read, such as a scan or a written table.
+    """
+    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns]))
+    counts = df.select(*columns).sample(fraction, seed=7).select(ends.alias("end")).where("end.v is not null").groupBy("end.c", "end.v").agg(F.count("*").alias("n"))
+    total = counts.groupBy("c").agg(F.sum("n").alias("total"))
     # a sample of a few rows says nothing, and few rows need no salt
-    rows = counts.join(F.broadcast(total)).where((F.col("total") >= 500) & (F.col("n") >= share * F.col("total")))
-    return [r[0] for r in rows.select(column).limit(int(1 / share)).collect()]
+    rows = counts.join(F.broadcast(total), "c").where((F.col("total") >= 500) & (F.col("n") >= share * F.col("total")))
+    hot: dict[str, list] = {c: [] for c in columns}
+    for r in rows.select("c", "v").limit(len(columns) * int(1 / share)).collect():
+        hot[r.c].append(r.v)
+    return hot
+
+
+def hot_keys(df: DataFrame, column: str, share: float = HOT_SHARE, fraction: float = SAMPLE) -> list:
+    """The values of one column that make up at least a share of its sampled rows."""
+    return hot_ends(df, [column], share, fraction)[column]
 
 
 def salted(df: DataFrame, column: str, by: Column, hot: list, salts: int = SALTS) -> DataFrame:

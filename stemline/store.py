@@ -1,13 +1,15 @@
 """Intermediate tables in the folder that the cluster shares.
 
 Iterative operators cut their lineage by writing a table and reading it back. The folder comes from the session's
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary folder of this machine is used.
-A written table survives the loss of any executor.
+``spark.checkpoint.dir``, or from the context's checkpoint directory. Only a local master without either gets a temporary
+folder of its machine; on a cluster that would lose rows without a word, and is an error. A written table survives the loss
+of any executor.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,9 +20,12 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-stemline-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
