@@ -50,3 +50,19 @@ def test_defined_cases(spark):
     assert {tuple(r) for r in consolidate(pairs).collect()} == {(1, 1), (2, 1)}
     assert {tuple(r) for r in group_all(nodes, pairs).collect()} == {(1, 1), (2, 1), (3, 3)}
     assert consolidate(pairs.limit(0)).count() == 0
+
+
+def test_levels_grow_with_the_logarithm(spark):
+    chunks, width = 64, 100
+    pairs = [(k * width + j, (k + 1) * width + j) for k in range(chunks) for j in range(width)]  # ids in the order of frames
+    sizes = []
+    got = {r.node: r.group for r in consolidate(spark.createDataFrame(pairs, "a long, b long"), bound=width, sizes=sizes).collect()}
+    assert got == {v: v % width for v in range((chunks + 1) * width)}
+    assert len(sizes) <= 12 and sum(sizes) <= 3 * len(pairs)
+
+
+def test_hub_among_stars(spark):
+    pairs = [(0, v) for v in range(1, 400)] + [(v, v + 1000) for v in range(1, 400)] + [(v + 1000, v + 2000) for v in range(1, 400)]
+    sizes = []
+    got = {r.node: r.group for r in consolidate(spark.createDataFrame(pairs, "a long, b long"), bound=20, sizes=sizes).collect()}
+    assert set(got.values()) == {0} and len(got) == 1198
