@@ -1,8 +1,8 @@
 """Splitting oversized items at natural boundaries.
 
 Sizes are tokens. An item above the limit is split by a hierarchy of separators: sections, paragraphs and code blocks,
-lines, sentences, words, and at last characters; a part that still is too long is split by the next kind. The parts are
-packed greedily into pieces up to the limit, and each piece after the first starts with the last tokens of the one
+lines, sentences, words, and at last characters; a part that still is too long is split by the next kind. Code blocks
+are told first, so that their comments are no headings and their blank lines no paragraphs. The parts are packed greedily into pieces up to the limit, and each piece after the first starts with the last tokens of the one
 before it.
 
 Defined cases: null and empty texts, and texts up to the limit, give no rows; a text without any boundary is cut between
@@ -20,25 +20,115 @@ from pyspark.sql import DataFrame
 from stemline.llm.bpe import VOCABULARY, Encoder, portions, shared
 
 LIMIT, OVERLAP = 1024, 64
-#: Kinds of boundaries, the strongest first; each pattern ends where a piece may end.
+#: Kinds of boundaries, the strongest first.
 KINDS = ("section", "paragraph", "line", "sentence", "word", "character")
-BOUNDARIES = (
-    regex.compile(r"\n(?=[ ]{0,3}#{1,6}[ \t]|[ ]{0,3}(?:-{3,}|={3,}|\*{3,})[ \t]*(?:\n|$))"),
-    regex.compile(r"\n[ \t\r]*\n[\s]*?(?=[ \t]*\S)|\n(?=[ ]{0,3}(?:```|~~~)\w)|(?<=\n)[ ]{0,3}(?:```|~~~)[ \t]*\n|</(?:pre|code|p)>[ \t]*\n?|\[/code\][ \t]*\n?"),
-    regex.compile(r"\n"),
-    regex.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+"),
-)
+SECTION, PARAGRAPH, LINE, SENTENCE, WORD = range(5)
+SENTENCE_END = regex.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)|[。！？]+")
+HEADING = regex.compile(r"[ ]{0,3}#{1,6}(?:[ \t]|$)")
+UNDERLINE = regex.compile(r"[ ]{0,3}(?:-{2,}|={2,})[ \t]*$")
+RULE = regex.compile(r"[ ]{0,3}(?:-{3,}|={3,}|\*{3,}|_{3,})[ \t]*$")
+FENCE = regex.compile(r"[ ]{0,3}(`{3,}|~{3,})(.*)$")
+CODE_TAG = regex.compile(r"<(/?)pre\b[^<>]*>|\[(/?)code\]", regex.IGNORECASE)
+CODE_INDENT = regex.compile(r"(?:[ ]{4}|\t)[ \t]*\S")
+PARAGRAPH_TAG = regex.compile(r"</p>[ \t]*$", regex.IGNORECASE)
 END = "end"
 
 
+def fenced(lines: list[str]) -> np.ndarray:
+    """The number of the code block that each line belongs to, marks included, 0 outside; a fence that nothing closes is ordinary text.
+
+    Blocks stand between fences, between pre or code tags, or are runs of indented lines behind a blank one.
+    """
+    block = np.zeros(len(lines), np.int64)
+    fences = {i: (m[1][0], len(m[1]), not m[2].strip()) for i, x in enumerate(lines) if (m := FENCE.match(x)) and not (m[1][0] == "`" and "`" in m[2])}
+    order, open_at, unclosed, count = list(fences), None, {}, 0
+    k = 0
+    while k < len(order):
+        sign, width, _ = fences[order[k]]
+        end = None
+        if width < unclosed.get(sign, 1 << 60):  # a wider one that nothing closes says that this one is not closed either
+            end = next((j for j in range(k + 1, len(order)) if fences[order[j]][2] and fences[order[j]][0] == sign and fences[order[j]][1] >= width), None)
+        if end is None:
+            unclosed[sign] = min(width, unclosed.get(sign, width))
+            k += 1
+        else:
+            count += 1
+            block[order[k] : order[end] + 1] = count
+            k = end + 1
+    for i, x in enumerate(lines):
+        if block[i]:
+            continue
+        for m in CODE_TAG.finditer(x):
+            closes, kind = bool(m[1] or m[2]), "pre" if m[0][1:5].lower().lstrip("/").startswith("pre") else "code"
+            if not closes and open_at is None:
+                open_at = (kind, i)
+            elif closes and open_at and open_at[0] == kind:
+                inside = block[open_at[1] : i + 1]
+                count += 1
+                inside[inside == 0] = count
+                open_at = None
+    indented, before = False, True
+    for i, x in enumerate(lines):
+        blank = not x.strip()
+        if block[i]:
+            indented, before = False, False
+        elif CODE_INDENT.match(x) and (indented or before):
+            count += not indented
+            indented, before = True, False
+            block[i] = count
+        elif not blank:
+            indented, before = False, False
+        else:
+            before = True
+            if indented and i + 1 < len(lines) and not block[i + 1] and (CODE_INDENT.match(lines[i + 1]) or not lines[i + 1].strip()):
+                block[i] = count  # a blank line within the run
+            else:
+                indented = False
+    return block
+
+
+def marks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(place, kind) of each boundary: the character in front of which a piece may start, in order, the strongest where several meet.
+
+    A section starts at a heading, at the title above an underline, or at a rule. A paragraph starts behind blank lines, and
+    a code block is one: nothing within it is a section, paragraph or sentence, only its lines are boundaries.
+    """
+    lines = text.split("\n")
+    start = np.r_[0, np.cumsum([len(x) + 1 for x in lines])]
+    block = fenced(lines)
+    blank = np.array([not x.strip() for x in lines])
+    kind = np.full(len(lines), LINE)
+    changes = np.r_[False, block[1:] != block[:-1]]
+    kind[changes] = PARAGRAPH
+    inside = block > 0
+    kind[np.r_[False, blank[:-1]] & ~blank & ~inside] = PARAGRAPH
+    for i in np.flatnonzero(~inside & ~blank):
+        x = lines[i]
+        if HEADING.match(x):
+            kind[i] = SECTION
+        elif UNDERLINE.match(x) and i and not blank[i - 1] and not inside[i - 1] and not any(p.match(lines[i - 1]) for p in (HEADING, UNDERLINE, RULE)):
+            kind[i - 1], kind[i] = SECTION, WORD  # the title and its line stay together
+        elif RULE.match(x):
+            kind[i] = SECTION
+        elif PARAGRAPH_TAG.search(x) and i + 1 < len(lines) and kind[i + 1] > PARAGRAPH:
+            kind[i + 1] = PARAGRAPH
+    place, sort = start[1:-1], kind[1:]
+    ends = np.array([m.end() for m in SENTENCE_END.finditer(text)], np.int64)
+    if len(ends):
+        ends = ends[~inside[np.searchsorted(start, ends - 1, side="right") - 1]]
+        place, sort = np.r_[place, ends], np.r_[sort, np.full(len(ends), SENTENCE)]
+    order = np.lexsort((sort, place))
+    place, sort = place[order], sort[order]
+    first = np.r_[True, place[1:] != place[:-1]] if len(place) else np.zeros(0, bool)
+    return place[first], sort[first]
+
+
 def boundaries(text: str, words: np.ndarray) -> np.ndarray:
     """The kind of the boundary behind each word (4 where only a word ends), from the character at which each word ends."""
-    kind = np.full(len(words), 4, np.int64)
-    for k in (3, 2, 1, 0):
-        ends = np.array([m.end() for m in BOUNDARIES[k].finditer(text)], np.int64)
-        if len(ends):
-            at = np.searchsorted(words, ends, side="right") - 1  # a boundary within a word counts in front of it
-            kind[at[at >= 0]] = k
+    kind = np.full(len(words), WORD, np.int64)
+    place, sort = marks(text)
+    at = np.searchsorted(words, place, side="right") - 1  # a boundary within a word counts in front of it
+    np.minimum.at(kind, at[at >= 0], sort[at >= 0])
     return kind
 
 

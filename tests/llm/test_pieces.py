@@ -4,7 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from stemline.llm.bpe import VOCABULARY
-from stemline.llm.pieces import split_oversized
+from stemline.llm.pieces import KINDS, fenced, marks, split_oversized
 
 PUBLIC = Tokenizer.from_file(VOCABULARY)
 PUBLIC.encode_special_tokens = True
@@ -65,5 +65,36 @@ def test_ends_at_natural_boundaries(spark):
     assert "section" in {r.ends_at for r in whole} and len(whole) > 2
 
 
+def kinds_of(text):
+    place, kind = marks(text)
+    return {text[a:].split("\n")[0][:12]: KINDS[k] for a, k in zip(place, kind)}
+
+
+def test_code_is_told_before_headings():
+    text = "Intro text.\n\n```python\n# step one\n\nx = 1. And\n# step two\ny = 2\n```\nAfter it.\n# Real heading\nLast."
+    got = kinds_of(text)
+    assert got["```python"] == "paragraph" and got["After it."] == "paragraph" and got["# Real headi"] == "section"
+    assert got["# step one"] == got["x = 1. And"] == got["# step two"] == got["y = 2"] == "line" and " And" not in got
+
+
+def test_code_in_other_notations_and_unclosed_fences():
+    lines = ["a", "", "    # indented", "", "    more", "", "text", "<pre>", "# x", "</pre>", "end", "~~~", "# not closed", "```", "```"]
+    assert fenced(lines).tolist() == [0, 0, 3, 3, 3, 0, 0, 2, 2, 2, 0, 0, 0, 1, 1]
+    assert kinds_of("\n".join(lines))["# not closed"] == "section"
+
+
+def test_a_title_stays_with_its_underline():
+    got = kinds_of("Before.\n\nTitle\n-----\nText.\n\n---\nMore.\n# H\n---\nx")
+    assert got["Title"] == "section" and got["-----"] == "word" and got["---"] == "section" and got["More."] == "line"
+
+
+def test_large_code_is_cut_between_lines(spark):
+    code = "```python\n" + "\n\n".join(f"# step {k}\nvalue_{k} = compute({k})" for k in range(120)) + "\n```\n"
+    text = prose(6, 3) + "\n\n" + code + prose(7, 3)
+    rows = split_oversized(spark.createDataFrame([(1, text)], "doc_id long, text string"), 200, 20).collect()
+    inside = [r for r in rows if "# step" in r.text and r.ends_at != "end"]
+    assert len(inside) > 4 and {r.ends_at for r in inside} <= {"line", "paragraph"} and all(r.text.endswith("\n") for r in inside)
+
+
 def test_empty_table(spark):
     assert split_oversized(spark.createDataFrame([], "doc_id long, text string")).count() == 0
