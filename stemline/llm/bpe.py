@@ -226,6 +226,13 @@ def shared(spark: SparkSession, path: str = VOCABULARY):
     return spark.sparkContext.broadcast(load(path))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, over enough partitions where the input has few: one row group is one task however long its texts are."""
+    spark = rows.sparkSession
+    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows if rows.rdd.getNumPartitions() >= 2 * parallel else rows.repartition(parallel, F.xxhash64(*rows.columns))
+
+
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(key, ids) of each row."""
     voc = shared(docs.sparkSession, path)
@@ -239,7 +246,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists], [key, "ids"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def count_tokens(docs: DataFrame, columns: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -254,4 +261,4 @@ def count_tokens(docs: DataFrame, columns: list[str], text: str = "text", path:
             n = [enc.counts(texts.slice(lo, hi - lo).to_pylist()) for lo, hi in portions(texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], [*columns, "n_tokens"])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return spread(docs.select(*columns, F.col(text).alias("_text"))).mapInArrow(run, schema)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemline.llm import bpe, groups, mixing, pieces, splits
-from stemline.skew import lookup
 from stemline.sources.tables import table
 from stemline.store import Scratch
 
@@ -35,7 +34,8 @@ def _splits(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark, "splits")
     related = scratch.keep(_related(spark, folder, scratch), "related")
     assigned = splits.assign_splits(related, table(spark, folder, "split_targets"), scratch)
-    return lookup(related, assigned, "group_id", F.col("dataset"), "inner").select("dataset", "group_id", "split_name")
+    units = related.withColumn("unit", splits.unit(F.col("group_id")))
+    return units.join(F.broadcast(assigned), "unit").select("dataset", "group_id", "split_name")  # at most splits.UNITS rows
 
 
 def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
     got = _splits(spark, folder).groupBy("split_name").agg(F.count("*").alias("n_datasets"), F.countDistinct("group_id").alias("n_groups"))
     total = got.agg(F.sum("n_datasets").alias("total"))
     out = table(spark, folder, "split_targets").join(got, "split_name", "left").fillna(0).crossJoin(F.broadcast(total))
-    return out.select("split_name", "share", (F.col("n_datasets") / F.col("total")).alias("actual_share"), "n_datasets", "n_groups")
+    return out.select("split_name", "share", F.round(F.col("n_datasets") / F.col("total"), 9).alias("actual_share"), "n_datasets", "n_groups")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,8 +96,22 @@ g(node, least) using key (node) as (
   union
   select l.b, min(g.least) from g join both_ways l on l.a = g.node join recurring.g r on r.node = l.b where g.least < r.least group by l.b)
 """
+_SPLITS = _NAMES + """,
+related as (select node[3:] dataset, least[3:] group_id, ('0x' || substr(md5(least[3:]), 1, 4))::int unit from g where node like 'd:%'),
+units as (select unit, count(*) n from related group by 1),
+spans as (select split_name, share / sum(share) over () want, round(sum(share) over (order by split_name) / sum(share) over (), 12) hi from split_targets where share > 0),
+tried as (select unit, n, seed, round((2 * sum(n) over (partition by seed order by md5(seed || ':' || unit), unit) - n) / (2 * sum(n) over (partition by seed)), 12) mid from units, range(32) r(seed)),
+placed as (select seed, unit, n, split_name from tried join (select *, coalesce(lag(hi) over (order by split_name), 0) lo from spans) on mid >= lo and mid < hi),
+error as (select seed, round(sum(abs(coalesce(got, 0) / (select sum(n) from units) - want)), 12) error
+  from (select distinct seed from placed) cross join spans left join (select seed, split_name, sum(n) got from placed group by all) using (seed, split_name) group by 1),
+assigned as (select unit, split_name from placed where seed = (select seed from error order by error, seed limit 1)),
+splits as (select dataset, group_id, split_name from related join assigned using (unit))
+"""
 
 SQL = {
+    "p2_splits": _SPLITS + "select * from splits",
+    "p2_shares": _SPLITS + """select split_name, share, round(count(dataset) / (select count(*) from splits), 9) actual_share, count(dataset) n_datasets, count(distinct group_id) n_groups
+from split_targets left join splits using (split_name) group by all""",
     "p1_found": _GROUPS + "select node node_id, least group_id from g",
     "p1_groups": _GROUPS + "select node_id, coalesce(least, node_id) group_id from ids left join g on node = node_id",
     "p2_found": _NAMES + "select node[3:] dataset, least[3:] group_id from g where node like 'd:%'",

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from stemline.llm.bpe import VOCABULARY, Encoder, portions, shared
+from stemline.llm.bpe import VOCABULARY, Encoder, portions, shared, spread
 
 LIMIT, OVERLAP = 1024, 64
 #: Kinds of boundaries, the strongest first.
@@ -222,4 +222,4 @@ def split_oversized(
                 if rows[key]:
                     yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in out_schema], schema=out_schema)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return spread(docs.select(key, text)).mapInArrow(run, schema)

@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from stemline.llm.splits import assign_splits, names_of, related_groups
+from pyspark.sql import functions as F
+
+from stemline.llm.splits import assign_splits, names_of, related_groups, unit
 from stemline.store import Scratch
 
 TARGETS = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
@@ -43,8 +45,10 @@ def test_splits_keep_groups_and_shares(spark):
     rows = [(f"d{i}", f"g{min(rnd.randrange(400), rnd.randrange(400))}") for i in range(3000)] + [(f"big{i}", "g_big") for i in range(900)]
     groups = spark.createDataFrame(rows, "dataset string, group_id string")
     got = assign_splits(groups, spark.createDataFrame(TARGETS, "split_name string, share double"), Scratch(spark, "t")).collect()
-    split = {r.group_id: r.split_name for r in got}
-    assert len(got) == len(split) == len({g for _, g in rows})
+    assert len(got) == len({r.unit for r in got})
+    where = {r.unit: r.split_name for r in got}
+    split = {r.group_id: where[r.unit] for r in groups.select("group_id", unit(F.col("group_id")).alias("unit")).distinct().collect()}
+    assert len(split) == len({g for _, g in rows})
     n = Counter(split[g] for _, g in rows)
     for name, share in TARGETS:
         assert abs(n[name] / len(rows) - share) < 0.02
