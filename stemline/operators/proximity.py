@@ -2,12 +2,13 @@
 
 The plane of a frame is cut into strips along y (and, across them, into long blocks along x, so that a crowded strip is
 not one task). Strips overlap: a point is also copied to the next strip or block if it lies within the distance of it.
-Spark hash-partitions the cells, and sorts each partition by cell and x. A task then sweeps its rows once with a window
-of the rows within reach along x, so that it never holds a whole cell. Each candidate pair is verified by its distance,
+Spark range-partitions the cells by frame, strip and block, and sorts each partition by cell and x. A task then sweeps its
+rows once with a window of the rows within reach along x, so that it never holds a whole cell. Each candidate pair is verified by its distance,
 and belongs to one cell only: the one that holds the larger y and the larger x of the two.
 
 Regions are boxes, half open. A box is copied to each cell that it touches, a point is only tested in its own cell, so
-each pair comes out once. Boxes over very many cells are joined by frame instead.
+each pair comes out once. Boxes that span more than WIDE cells are copied only to those of them that hold points: these
+are looked up by frame and band of strips, and all boxes go through the same sweep.
 
 Defined cases: points without frame keys or coordinates (null or NaN) take no part; repeated rows of one point count
 once; points at the same place are a pair; empty tables give an empty result; a box with a null or NaN border, or with
@@ -30,8 +31,8 @@ from stemline.functions.sweep import expand, forward_pairs
 SCALE = (1.625, 0.40625, 0.40625)
 #: Strip height and block length in units of the distance.
 STRIP, BLOCK_LENGTH = 8.0, 32.0
-#: Boxes that touch more cells than this are joined by frame.
-WIDE = 256
+#: Boxes that span more cells than this look up the ones that hold points; strips of a band in that lookup.
+WIDE, BAND = 256, 64
 SIDES = tuple(f"{c}_{s}" for c in "zyx" for s in ("lo", "hi"))
 
 
@@ -82,7 +83,6 @@ def neighbourhoods(
     no_sides = F.lit(None).cast("struct<" + ",".join(f"{c}:double" for c in SIDES) + ">")
     keys = [*frame, "strip", "block"]
     stream = rows.withColumn("strip", cells("y", height)).withColumn("block", cells("x", length)).select(*keys, F.col("x").alias("at"), no_sides.alias("sides"), "id", "z", "y")
-    wide_rows = None
     if boxes is not None:
         crops = clean_boxes(boxes, frame, box_key)
         lo_s, hi_s = (_cell(F.col(f"y_{s}") * SCALE[1], height) for s in ("lo", "hi"))
@@ -90,19 +90,22 @@ def neighbourhoods(
         crops = crops.withColumns({"s0": lo_s, "s1": hi_s, "b0": lo_b, "b1": hi_b})
         # as doubles, so that the product of two spans cannot overflow
         wide = (F.col("s1") - F.col("s0") + 1).cast("double") * (F.col("b1") - F.col("b0") + 1) > WIDE
-        narrow = crops.where(~wide).withColumn("strip", F.explode(F.sequence("s0", "s1"))).withColumn("block", F.explode(F.sequence("b0", "b1")))
+        placed = crops.where(~wide).withColumn("strip", F.explode(F.sequence("s0", "s1"))).withColumn("block", F.explode(F.sequence("b0", "b1")))
+        if crops.where(wide).limit(1).count():
+            placed = placed.unionByName(_occupied(crops.where(wide), stream, frame))
         none = F.lit(None).cast("double")
-        stream = stream.unionByName(narrow.select(*keys, F.col("x_lo").alias("at"), F.struct(*SIDES).alias("sides"), "id", none.alias("z"), none.alias("y")))
-        wide_rows = crops.where(wide).select(*frame, F.col("id").alias("right_id"), *SIDES)
+        stream = stream.unionByName(placed.select(*keys, F.col("x_lo").alias("at"), F.struct(*SIDES).alias("sides"), "id", none.alias("z"), none.alias("y")))
     # at one place, boxes come before points
-    sorted_ = stream.repartition(*keys).sortWithinPartitions(*keys, "at", F.col("sides").isNull(), "id")
-    found = sorted_.mapInArrow(_sweep(keys, distance_um, height, length, pairs), "is_pair boolean, left_id long, right_id long")
-    if wide_rows is not None and wide_rows.limit(1).count():
-        by_frame = rows.distinct().join(wide_rows, frame)
-        for c in "zyx":
-            by_frame = by_frame.where((F.col(c) >= F.col(f"{c}_lo")) & (F.col(c) < F.col(f"{c}_hi")))
-        found = found.unionByName(by_frame.select(F.lit(False).alias("is_pair"), F.col("id").alias("left_id"), "right_id"))
-    return found
+    sorted_ = stream.repartitionByRange(*keys).sortWithinPartitions(*keys, "at", F.col("sides").isNull(), "id")
+    return sorted_.mapInArrow(_sweep(keys, distance_um, height, length, pairs), "is_pair boolean, left_id long, right_id long")
+
+
+def _occupied(wide: DataFrame, stream: DataFrame, frame: list[str]) -> DataFrame:
+    """Wide boxes with each strip and block that they span and that holds a point."""
+    cells = stream.select(*frame, F.floor(F.col("strip") / BAND).alias("band"), "strip", "block").distinct()
+    bands = cells.select(*frame, "band").distinct()
+    spans = wide.join(bands, frame).where((F.col("band") >= F.floor(F.col("s0") / BAND)) & (F.col("band") <= F.floor(F.col("s1") / BAND)))
+    return spans.join(cells, [*frame, "band"]).where(F.col("strip").between(F.col("s0"), F.col("s1")) & F.col("block").between(F.col("b0"), F.col("b1"))).drop("band")
 
 
 def _runs(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
