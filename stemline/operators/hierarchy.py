@@ -25,7 +25,7 @@ from pyspark.sql.window import Window as W
 
 from stemline.functions.forest import break_cycles, measure, path_sums, strong_components
 from stemline.functions.runs import chunks, whole_groups
-from stemline.skew import hot_keys, lookup
+from stemline.skew import hot_ends, hot_keys, lookup
 from stemline.store import Scratch
 
 #: Rows of a chunk.
@@ -36,8 +36,9 @@ def existing_links(edges: DataFrame, nodes: DataFrame, source: str = "source_id"
     """(p, c) of links whose ends both exist; repeated links may remain."""
     ids = nodes.where(F.col(key).isNotNull()).select(F.col(key)).distinct()
     links = edges.select(F.col(source).alias("p"), F.col(target).alias("c")).where(F.col("p").isNotNull() & F.col("c").isNotNull())
-    links = lookup(links, ids.withColumnRenamed(key, "p"), "p", F.col("c"), "left_semi")
-    return lookup(links, ids.withColumnRenamed(key, "c"), "c", F.col("p"), "left_semi")
+    hot = hot_ends(links, ["p", "c"])
+    links = lookup(links, ids.withColumnRenamed(key, "p"), "p", F.col("c"), "left_semi", hot["p"])
+    return lookup(links, ids.withColumnRenamed(key, "c"), "c", F.col("p"), "left_semi", hot["c"])
 
 
 def _ints(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -276,6 +277,7 @@ class Hierarchies:
         self.spark: SparkSession = links.sparkSession
         self.scratch, self.bound, self.bucket = Scratch(self.spark, "hierarchies"), bound, bucket
         keep = self.scratch.keep
+        self._hot: list | None = None
         links = keep(links.distinct(), "links")
         none = F.lit(None).cast("long")
         ends = links.select(F.col("c").alias("v"), F.col("p")).unionByName(links.select(F.col("p").alias("v"), none.alias("p")))
@@ -291,6 +293,12 @@ class Hierarchies:
         #: Links into roots of trees: from node p (depth, pre) of the tree of a to the tree of c.
         self.between = keep(lookup(into, at, "p", F.col("c"), "inner").select("p", "c", "a", "depth", "pre"), "between")
 
+    def hot_roots(self) -> list:
+        """Roots of trees that hold much of all nodes."""
+        if self._hot is None:
+            self._hot = hot_keys(self.sets, "root")
+        return self._hot
+
     def reached(self) -> DataFrame:
         """(c, r, dist): the fewest links from each true root r to each root c of a tree that has parents; r null where no root leads to c."""
         keep = self.scratch.keep
@@ -426,7 +434,7 @@ class Hierarchies:
         strong = self._strong(steps)
         ends = self.between.join(strong.select(F.col("v").alias("a"), F.col("comp").alias("x")), "a").join(strong.select(F.col("v").alias("c"), F.col("comp").alias("y")), "c").where("x = y")
         sources = self.scratch.keep(ends.select(F.col("a").alias("root"), F.col("pre").alias("at")).distinct(), "cyclic")
-        nodes = self.sets.join(sources.select("root").distinct(), "root", "left_semi").select("root", "v", F.col("pre").alias("at"), (F.col("pre") + F.col("size") - 1).alias("upto"))
+        nodes = lookup(self.sets, sources.select("root").distinct(), "root", F.col("v"), "left_semi", self.hot_roots()).select("root", "v", F.col("pre").alias("at"), (F.col("pre") + F.col("size") - 1).alias("upto"))
         # a node is above a cyclic link's source if its range holds it: the next source at or behind the node's own place.
         # Buckets of places keep the windows bounded.
         none = F.lit(None).cast("long")
@@ -445,7 +453,7 @@ class Hierarchies:
         keep = self.scratch.keep
         reached = self.reached()
         mark = F.lit(True)
-        hot = hot_keys(self.sets, "root")  # trees that hold much of all nodes
+        hot = self.hot_roots()
         found = lookup(self.sets.select("v", "root", "depth"), reached.withColumn("known", mark).withColumnRenamed("c", "root"), "root", F.col("v"), hot=hot)
         direct = found.where(F.col("known").isNull() | F.col("r").isNotNull()).select(
             F.col("v").alias("node_id"), F.coalesce("r", "root").alias("root_id"), (F.coalesce("dist", F.lit(0)) + F.col("depth")).cast("int").alias("depth")
@@ -523,16 +531,13 @@ def paths(table: DataFrame, scratch: Scratch, segment: int = 200_000) -> DataFra
     return walked.mapInArrow(walk, "node_id long, root_id long, depth int, path array<long>")
 
 
-def full_hierarchy(links: DataFrame, bound: int = BOUND, segment: int = 200_000) -> DataFrame:
-    """(node_id, parent_id, root_id, depth, rootless, tree_id, pre, last, trees_below, n_descendants, on_cycle): a row for each node and root above it.
+def node_ranges(h: Hierarchies, segment: int = 200_000) -> DataFrame:
+    """(node_id, parent_id, tree_id, depth, pre, last, trees_below, n_descendants, on_cycle): a row for each node; depth is within its tree.
 
-    depth is the fewest links from the root, parent_id the parent on such a path. The descendants of a node are the nodes
-    of its tree with pre behind its own up to last, and all nodes of trees_below; n_descendants counts them, without the node itself.
-    on_cycle: the node is its own ancestor. rootless: no root leads to the node, root_id is on a first cycle above it.
+    The descendants of a node are the nodes of its tree with pre behind its own up to last, and all nodes of trees_below;
+    n_descendants counts them, without the node itself. on_cycle: the node is its own ancestor.
     """
-    h = Hierarchies(links, bound)
     keep, table = h.scratch.keep, h.table()
-    hot = hot_keys(table, "tree_id")
     exits = h.exits(table, segment)
     trees = h.between.select("c").distinct()
     tops = exits.select("p", "a", F.explode("upto").alias("node_id")).join(h.between.select("p", "c"), "p").select("node_id", "a", "c").distinct()
@@ -545,7 +550,18 @@ def full_hierarchy(links: DataFrame, bound: int = BOUND, segment: int = 200_000)
     # a node on a cycle has its whole tree among the trees below it, and so itself
     own = F.when(F.col("on_cycle"), -1).otherwise(F.col("last") - F.col("pre"))
     rows = rows.withColumn("n_descendants", F.coalesce("more", F.lit(0)) + own)
-    found = lookup(rows, h.starts().withColumnRenamed("c", "tree_id"), "tree_id", F.col("node_id"), hot=hot)
+    return rows.select("node_id", "parent_id", "tree_id", "depth", "pre", "last", "trees_below", "n_descendants", "on_cycle")
+
+
+def full_hierarchy(links: DataFrame, bound: int = BOUND, segment: int = 200_000) -> DataFrame:
+    """(node_id, parent_id, root_id, depth, rootless, tree_id, pre, last, trees_below, n_descendants, on_cycle): node_ranges() for each root above a node.
+
+    depth is the fewest links from the root, parent_id the parent on such a path (the least, where there are several).
+    rootless: no root leads to the node, root_id is on a first cycle above it.
+    """
+    h = Hierarchies(links, bound)
+    rows = h.scratch.keep(node_ranges(h, segment), "ranges")
+    found = lookup(rows, h.starts().withColumnRenamed("c", "tree_id"), "tree_id", F.col("node_id"))
     return found.select(
         "node_id", F.when(F.col("node_id") == F.col("tree_id"), F.col("p")).otherwise(F.col("parent_id")).alias("parent_id"), F.coalesce("r", "tree_id").alias("root_id"),
         (F.coalesce("dist", F.lit(0)) + F.col("depth")).cast("int").alias("depth"), F.coalesce("rootless", F.lit(False)).alias("rootless"),

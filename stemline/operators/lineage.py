@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stemline.functions.geometry import AXES, clean_probability, distance, written
+from stemline.skew import hot_ends, lookup
 
 MAX_LINK_UM = 14.0
 
@@ -21,7 +22,8 @@ def detections(nodes: DataFrame) -> DataFrame:
     """(dataset, node_id, t, z, y, x, gap_synthetic, readmitted), repeated deliveries once."""
     d = nodes.select("dataset", "node_id", "t", *AXES, "gap_synthetic", "readmitted")
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("dataset", "node_id", "t", *AXES)])
-    return d.where(known & ~F.isnan("z") & ~F.isnan("y") & ~F.isnan("x")).distinct()
+    finite = reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in AXES])  # NaN is above infinity
+    return d.where(known & finite).distinct()
 
 
 def deliveries(edges: DataFrame) -> DataFrame:
@@ -35,9 +37,17 @@ def place(det: DataFrame, prefix: str, key: str) -> DataFrame:
     return det.select(F.col("node_id").alias(key), F.col("dataset").alias(f"{prefix}dataset"), F.col("t").alias(f"{prefix}t"), *[F.col(c).alias(f"{prefix}{c}") for c in AXES])
 
 
+def with_ends(edges: DataFrame) -> tuple[DataFrame, dict[str, list]]:
+    """Deliveries with two ends that can be nodes (ids are not negative, -1 is filler), and the ends that are frequent."""
+    both = edges.where("source_id >= 0 and target_id >= 0")
+    return deliveries(both), hot_ends(both, ["source_id", "target_id"])
+
+
 def links(edges: DataFrame, det: DataFrame, most_um: float | None = MAX_LINK_UM) -> DataFrame:
     """Links between detections of one dataset in neighbouring frames, no longer than most_um (None: any length)."""
-    both = deliveries(edges).where("source_id is not null and target_id is not null").join(place(det, "s_", "source_id"), "source_id").join(place(det, "g_", "target_id"), "target_id")
+    once, hot = with_ends(edges)
+    both = lookup(once, place(det, "s_", "source_id"), "source_id", F.col("edge_id"), "inner", hot["source_id"], merge=False)
+    both = lookup(both, place(det, "g_", "target_id"), "target_id", F.col("edge_id"), "inner", hot["target_id"], merge=False)
     both = both.where("s_dataset = g_dataset and g_t = s_t + 1").withColumn("um", distance("s_", "g_"))
     if most_um is not None:
         both = both.where(F.col("um") <= most_um)
@@ -98,10 +108,15 @@ def degrees(rows: DataFrame) -> DataFrame:
 def violations(edges: DataFrame, det: DataFrame) -> DataFrame:
     """(kind, id) of what a forest must not have: merge, multi_branch (node), dt, self_loop, dangling (edge)."""
     once = deliveries(edges).where("source_id is not null and target_id is not null").select("edge_id", "source_id", "target_id")
-    at = det.select("node_id", "t")
-    known = once.join(at.select(F.col("node_id").alias("source_id"), F.col("t").alias("s_t")), "source_id", "left").join(at.select(F.col("node_id").alias("target_id"), F.col("t").alias("g_t")), "target_id", "left")
+    real, hot = with_ends(edges)
+    known = real.select("edge_id", "source_id", "target_id")
+    for key, name in (("source_id", "s_t"), ("target_id", "g_t")):
+        known = lookup(known, det.select(F.col("node_id").alias(key), F.col("t").alias(name)), key, F.col("edge_id"), "left", hot[key], merge=False)
+    none = F.lit(None).cast("int")
+    filler = once.where("source_id < 0 or target_id < 0").withColumns({"s_t": none, "g_t": none})
     loop, lost = F.col("source_id") == F.col("target_id"), F.col("s_t").isNull() | F.col("g_t").isNull()
-    per_edge = known.select(F.explode(F.array_compact(F.array(F.when(loop, "self_loop"), F.when(lost, "dangling"), F.when(~lost & ~loop & (F.col("g_t") != F.col("s_t") + 1), "dt")))).alias("kind"), F.col("edge_id").alias("id"))
+    found = F.array_compact(F.array(F.when(loop, "self_loop"), F.when(lost, "dangling"), F.when(~lost & ~loop & (F.col("g_t") != F.col("s_t") + 1), "dt")))
+    per_edge = known.unionByName(filler).select(F.explode(found).alias("kind"), F.col("edge_id").alias("id"))
     count = degrees(once.select("source_id", "target_id").distinct())
     per_node = count.select(F.explode(F.array_compact(F.array(F.when(F.col("n_in") > 1, "merge"), F.when(F.col("n_out") > 2, "multi_branch")))).alias("kind"), F.col("node_id").alias("id"))
     return per_edge.unionByName(per_node)
@@ -120,9 +135,46 @@ def keep_and_fill(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def single_links(rows: DataFrame) -> DataFrame:
-    """Links that are the only one of their source and of their target."""
-    n_out, n_in = F.count("*").over(W.partitionBy("source_id")), F.count("*").over(W.partitionBy("target_id"))
-    return rows.withColumn("_o", n_out).withColumn("_i", n_in).where("_o = 1 and _i = 1").drop("_o", "_i")
+    """Links that are the only one of their source and of their target; counts are combined before the shuffle."""
+    alone = lambda key: rows.groupBy(key).agg(F.count("*").alias("n"), F.min("edge_id").alias("edge_id")).where("n = 1").select("edge_id")
+    return rows.join(alone("source_id").join(alone("target_id"), "edge_id"), "edge_id", "left_semi")
+
+
+def next_free_id(det: DataFrame, start: int = 0) -> DataFrame:
+    """(next_id): one more than the largest node id, at least start; start where there are no nodes."""
+    return det.agg(F.greatest(F.lit(start).cast("long"), F.coalesce(F.max("node_id") + 1, F.lit(start).cast("long"))).alias("next_id"))
+
+
+def aligned(det: DataFrame, cache: DataFrame, most: int = 200) -> DataFrame:
+    """(dataset, aligned): whether the first nodes of each dataset (by id) lie where a cache of detections has them.
+
+    Ids count as positions in the cache (dataset, row, t, z, y, x). Negative ids and ids behind the end of the cache pass;
+    others must agree in t and, within 1e-8 + 1e-5 of the cached value, in position.
+    """
+    first = det.where("node_id >= 0").withColumn("k", F.row_number().over(W.partitionBy("dataset").orderBy("node_id"))).where(F.col("k") <= most)
+    kept = cache.select("dataset", F.col("row").alias("node_id"), *[F.col(c).alias(f"c_{c}") for c in ("t", *AXES)])
+    near = [F.abs(F.col(c) - F.col(f"c_{c}")) <= 1e-8 + 1e-5 * F.abs(F.col(f"c_{c}")) for c in ("t", *AXES)]
+    checked = first.join(kept, ["dataset", "node_id"], "left").withColumn("ok", F.col("c_t").isNull() | reduce(lambda a, b: a & b, near))
+    return det.select("dataset").distinct().join(checked.groupBy("dataset").agg(F.bool_and("ok").alias("aligned")), "dataset", "left").fillna({"aligned": True})
+
+
+def track_lengths(rows: DataFrame, most: int = 10) -> DataFrame:
+    """(node_id, back, forward): how many single links lead up to a node and away from it, counted up to most.
+
+    Back goes over nodes with one parent, forward over nodes with one child. Four rounds of doubled steps reach ten.
+    """
+    def chain(start: str, end: str, name: str) -> DataFrame:
+        one = rows.groupBy(start).agg(F.count("*").alias("n"), F.min(end).alias("to")).where("n = 1").select(F.col(start).alias("at"), "to", F.lit(1).alias("steps"))
+        reach = 1
+        while reach < most:
+            further = one.select(F.col("at").alias("to"), F.col("to").alias("then"), F.col("steps").alias("more"))
+            one = one.join(further, "to", "left").select("at", F.coalesce("then", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+            reach *= 2
+        return one.select(F.col("at").alias("node_id"), F.least("steps", F.lit(most)).cast("int").alias(name))
+
+    nodes = rows.select(F.col("source_id").alias("node_id")).union(rows.select("target_id")).distinct()
+    both = nodes.join(chain("target_id", "source_id", "back"), "node_id", "left").join(chain("source_id", "target_id", "forward"), "node_id", "left")
+    return both.fillna(0, ["back", "forward"])
 
 
 def submission(det: DataFrame, rows: DataFrame) -> DataFrame:

@@ -151,18 +151,73 @@ def division_thresholds(sweeps: DataFrame, embryos: DataFrame, least_precision=0
     return found.withColumns(zero | {"kept_tp_frac": F.when(F.col("tau").isNotNull() & (F.col("kind") == "del"), F.coalesce("kept_tp_frac", F.lit(1.0)))})
 
 
+#: Buckets of a score of one, for prefix sums over all scores.
+SCORE_BUCKETS = 4096
+
+
+def _ranked(scored: DataFrame) -> DataFrame:
+    """(score, p, n, tp, fp): true and false ones at each score that occurs, and at or above it.
+
+    Prefix sums in two levels, over buckets of scores and within them, so that the scores are never one task.
+    """
+    count = lambda k: F.sum(F.when(F.col("label") == k, 1).otherwise(0))
+    steps = scored.where("label in ('tp', 'fp') and score is not null and not isnan(score)").groupBy("score").agg(count("tp").alias("p"), count("fp").alias("n"))
+    bucket = F.floor(F.least(F.lit(1e3), F.greatest(F.lit(-1e3), F.col("score"))) * SCORE_BUCKETS)
+    steps = steps.withColumn("bucket", bucket)
+    above = W.orderBy(F.col("bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
+    parts = steps.groupBy("bucket").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))  # one row for each bucket in use
+    parts = parts.select("bucket", *[F.coalesce(F.sum(f"b{c}").over(above), F.lit(0)).alias(f"over_{c}") for c in "pn"])
+    here = W.partitionBy("bucket").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = steps.select("*", *[F.sum(c).over(here).alias(f"here_{c}") for c in "pn"])
+    return inside.join(F.broadcast(parts), "bucket").select("score", "p", "n", (F.col("over_p") + F.col("here_p")).alias("tp"), (F.col("over_n") + F.col("here_n")).alias("fp"))
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_fp"))
+
+
 def pr_curve(scored: DataFrame) -> DataFrame:
-    """(score, tp, fp, precision, recall) at each score, to four decimals: at most 10,001 rows for scores in [0, 1]."""
-    steps = scored.where("label in ('tp', 'fp')").groupBy(F.round("score", 4).alias("score")).agg(F.sum(F.when(F.col("label") == "tp", 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == "fp", 1).otherwise(0)).alias("n"))
-    w = W.orderBy(F.col("score").desc())
-    rows = steps.select("score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(W.partitionBy()).alias("pos"))
-    return rows.select("score", "tp", "fp", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.col("tp") / F.col("pos"), 6).alias("recall"))
+    """(score, tp, fp, precision, recall) at each score that occurs; recall is null without true ones."""
+    rows = _ranked(scored)
+    recall = F.col("tp") / F.when(F.col("n_tp") > 0, F.col("n_tp"))
+    rows = rows.crossJoin(F.broadcast(_totals(rows)))  # one row
+    return rows.select("score", "tp", "fp", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(recall, 6).alias("recall"))
+
+
+#: Recalls at which the best precision is reported.
+RECALLS = (0.3, 0.5, 0.7, 0.9)
 
 
 def ranking_quality(scored: DataFrame) -> DataFrame:
-    """(n_tp, n_fp, roc_auc, average_precision) of the scores, to four decimals."""
-    steps = scored.where("label in ('tp', 'fp')").groupBy(F.round("score", 4).alias("score")).agg(F.sum(F.when(F.col("label") == "tp", 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == "fp", 1).otherwise(0)).alias("n"))
-    w = W.orderBy(F.col("score").desc())
-    rows = steps.select("p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
-    total = rows.agg(F.sum("p").alias("n_tp"), F.sum("n").alias("n_fp"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("wins"), F.sum(F.col("p") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"))
-    return total.select("n_tp", "n_fp", F.round(F.col("wins") / (F.col("n_tp") * F.col("n_fp")), 6).alias("roc_auc"), F.round(F.col("ap") / F.col("n_tp"), 6).alias("average_precision"))
+    """(n_tp, n_fp, roc_auc, average_precision, p_at_r30, ..): of all scores, exactly; null where there are no true or no false ones.
+
+    p_at_r: the highest precision of a threshold that reaches the recall.
+    """
+    rows = _ranked(scored)
+    total = _totals(rows)
+    rows = rows.crossJoin(F.broadcast(total))  # one row
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    best = [F.round(F.max(F.when(F.col("tp") >= F.lit(r) * F.col("n_tp"), precision)), 6).alias(f"p_at_r{round(100 * r)}") for r in RECALLS]
+    sums = rows.agg(F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("wins"), F.sum(F.col("p") * precision).alias("ap"), *best)
+    out = total.crossJoin(sums)  # one row each
+    both = (F.col("n_tp") > 0) & (F.col("n_fp") > 0)
+    auc, ap = F.col("wins") / (F.col("n_tp") * F.col("n_fp")), F.col("ap") / F.col("n_tp")
+    return out.select("n_tp", "n_fp", F.when(both, F.round(auc, 6)).alias("roc_auc"), F.when(both, F.round(ap, 6)).alias("average_precision"), *[F.when(both, F.col(f"p_at_r{round(100 * r)}")).alias(f"p_at_r{round(100 * r)}") for r in RECALLS])
+
+
+def node_ratios(n_pred: DataFrame, n_true: DataFrame) -> DataFrame:
+    """(dataset, n_pred, n_true, node_ratio): the relative surplus of nodes; null without an estimate, or where it is 0."""
+    both = n_pred.withColumnRenamed("n", "n_pred").join(n_true.withColumnRenamed("n", "n_true"), "dataset", "left")
+    return both.select("dataset", "n_pred", "n_true", ((F.col("n_pred") - F.col("n_true")) / F.when(F.col("n_true") != 0, F.col("n_true"))).alias("node_ratio"))
+
+
+def report_summary(report: DataFrame, pred_names: DataFrame, true_names: DataFrame) -> DataFrame:
+    """(score, worst_embryo, worst_score, n_datasets, n_skipped, skipped): the overall score, the embryo of the lowest one, and annotated names without prediction.
+
+    report: as score_report gives it. Equal scores of embryos go to the lesser name.
+    """
+    worst = report.where("level = 'embryo'").agg(F.min(F.struct("score", "name")).alias("worst")).select("worst.*").withColumnsRenamed({"score": "worst_score", "name": "worst_embryo"})
+    whole = report.agg(F.max(F.when(F.col("level") == "all", F.col("score"))).alias("score"), F.sum(F.when(F.col("level") == "dataset", 1).otherwise(0)).alias("n_datasets"))
+    skipped = true_names.select("dataset").distinct().join(pred_names.select("dataset").distinct(), "dataset", "left_anti")
+    skipped = skipped.agg(F.count("*").alias("n_skipped"), F.coalesce(F.array_join(F.sort_array(F.collect_list("dataset")), ","), F.lit("")).alias("skipped"))
+    return whole.crossJoin(worst).crossJoin(skipped).select("score", "worst_embryo", "worst_score", "n_datasets", "n_skipped", "skipped")  # one row each

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stemline.functions.geometry import AXES, SCALE, distance
+from stemline.store import Scratch
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_um: float, frames: int = 1, width: int = 1) -> DataFrame:
@@ -40,16 +41,37 @@ def nearest(pairs: DataFrame, key: str = "a_id", other: str = "b_id", k: int = 1
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_anywhere(left: DataFrame, right: DataFrame, frames: int = 1, k: int = 1, start_um: float = 12.0, growth: float = 4.0) -> DataFrame:
+    """The k nearest partners of each detection of left, however far, with their rank; a detection is no partner of itself.
+
+    Rings grow: who has k partners within the radius, or all that the frame has, is settled; the others look further.
+    """
+    scratch = Scratch(left.sparkSession, "nearest")
+    there = right.groupBy("dataset", (F.col("t") - frames).alias("t")).agg(F.count("*").alias("there"))
+    own = F.lit(1) if frames == 0 else F.lit(0)
+    open_ = left.select("dataset", "t", "node_id", *AXES).join(there, ["dataset", "t"]).where(F.col("there") > own)
+    open_, radius, done = scratch.keep(open_, "open"), start_um, None
+    while open_.limit(1).count():
+        pairs = radius_pairs(open_, right, radius, frames, width=2).where("a_id <> b_id").select("dataset", "t", "a_id", "b_id", "um")
+        near = scratch.keep(nearest(pairs, k=k), "near")
+        got = near.groupBy(F.col("a_id").alias("node_id")).agg(F.count("*").alias("got"))
+        rows = scratch.keep(open_.join(got, "node_id", "left").withColumn("settled", F.coalesce("got", F.lit(0)) >= F.least(F.lit(k), F.col("there") - own)).drop("got"), "rows")
+        part = near.join(rows.where("settled").select(F.col("node_id").alias("a_id")), "a_id", "left_semi")
+        done = part if done is None else done.unionByName(part)
+        open_, radius = rows.where("not settled").drop("settled"), radius * growth
+    empty = left.limit(0).select("dataset", "t", F.col("node_id").alias("a_id"), F.col("node_id").alias("b_id"), F.lit(0.0).alias("um"), F.lit(0).alias("rank"))
+    return empty if done is None else done.select("dataset", "t", "a_id", "b_id", "um", "rank")
+
+
 def mutual(pairs: DataFrame) -> DataFrame:
     """Pairs that are each other's nearest."""
     ab, ba = nearest(pairs), nearest(pairs, "b_id", "a_id")
     return ab.join(ba.select("a_id", "b_id"), ["a_id", "b_id"], "left_semi").select("dataset", "t", "a_id", "b_id", "um")
 
 
-def spacing(det: DataFrame, within_um: float = 20.0, k: int = 3, default: float = 6.5) -> DataFrame:
-    """(node_id, spacing_um): the median distance to the k nearest neighbours of the same frame within reach."""
-    pairs = radius_pairs(det, det, within_um, 0).where("a_id <> b_id")
-    near = nearest(pairs, k=k).groupBy(F.col("a_id").alias("node_id")).agg(F.median("um").alias("spacing_um"))
+def spacing(det: DataFrame, k: int = 3, default: float = 6.5) -> DataFrame:
+    """(node_id, dataset, t, spacing_um): the median distance to the k nearest neighbours of the same frame; default without any."""
+    near = nearest_anywhere(det, det, 0, k).groupBy(F.col("a_id").alias("node_id")).agg(F.median("um").alias("spacing_um"))
     return det.select("node_id", "dataset", "t").join(near, "node_id", "left").fillna(default, ["spacing_um"])
 
 
@@ -70,10 +92,13 @@ def frame_spacing(of: DataFrame, det: DataFrame, within_um: float = 20.0, defaul
 
 
 def flow(points: DataFrame, samples: DataFrame, k: int = 12, reach_um: float = 40.0, exclude_um: float = 1.5) -> DataFrame:
-    """The motion at each point: per axis, the median of the k nearest samples of its transition.
+    """The motion at each point: per axis, the median of up to k samples of its transition within reach.
+
+    Of the k + 1 nearest, those below exclude_um are a point's own ones and leave; then the first k count.
 
     samples(dataset, t, node_id, z, y, x, dz, dy, dx): where a step starts, and the step in micrometres.
     """
-    pairs = radius_pairs(points, samples, reach_um, 0).where(F.col("um") >= exclude_um)
-    near = nearest(pairs, k=k).join(samples.select(F.col("node_id").alias("b_id"), "dz", "dy", "dx"), "b_id")
+    near = nearest(radius_pairs(points, samples, reach_um, 0), k=k + 1).where(F.col("um") >= exclude_um)
+    rank = F.row_number().over(W.partitionBy("a_id").orderBy("um", "b_id"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= k).join(samples.select(F.col("node_id").alias("b_id"), "dz", "dy", "dx"), "b_id")
     return near.groupBy(F.col("a_id").alias("node_id")).agg(F.count("*").alias("n_samples"), *[F.median(f"d{c}").alias(f"flow_{c}") for c in AXES])

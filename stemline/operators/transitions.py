@@ -10,10 +10,11 @@ from stemline.functions.geometry import AXES
 
 
 def digests(det: DataFrame) -> DataFrame:
-    """(dataset, t, n, m1.., m2..): whole-number moments of the positions (sixteenths of a voxel) of each frame."""
-    part = {c: F.round(F.col(c) * 16).cast("long") for c in AXES}
-    moments = [f(part[c]).alias(f"{n}{c}") for c in AXES for n, f in (("m1_", F.sum), ("m2_", lambda v: F.sum(v * v)))]
-    return det.groupBy("dataset", "t").agg(F.count("*").alias("n"), *moments)
+    """(dataset, t, n, d1, d2): the number of detections of each frame, and two digests of its positions that no order changes."""
+    at = [F.col(c) + 0.0 for c in AXES]
+    return det.groupBy("dataset", "t").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64(*at).cast("decimal(38,0)")).alias("d1"), F.bit_xor(F.xxhash64(*at, F.lit(1))).alias("d2")
+    )
 
 
 def frozen(det: DataFrame) -> DataFrame:
@@ -45,5 +46,5 @@ def kinds(table: DataFrame, links: DataFrame, factor: float = 2.0, least: int =
     rows = rows.join(movie, "dataset", "left")
     wide = (F.col("movie_um") > 0) & (F.col("step_um") >= factor * F.col("movie_um"))
     kind = F.when(F.col("frozen"), "frozen").when((F.col("k") >= 1) | F.coalesce(wide, F.lit(False)), "jump").otherwise("normal")
-    reason = F.when(F.col("frozen"), "").when(F.col("k") >= 1, "after_frozen").when(F.coalesce(wide, F.lit(False)), "seed_median").otherwise("")
+    reason = F.when(F.col("frozen"), "frozen").when(F.col("k") >= 1, "after_frozen").when(F.coalesce(wide, F.lit(False)), "seed_median").otherwise("")
     return rows.select("dataset", "t", kind.alias("kind"), reason.alias("reason"), "k", "step_um")

@@ -280,21 +280,21 @@ SQL["radius_pairs_12um"] = f"with {N}, {PAIRS(12.0, 1)} select a_id, b_id, round
 
 @query
 def nearest_next(spark, d):
-    """The nearest detection of the next frame within 12 micrometres."""
-    n = det(spark, d)
-    return spatial.nearest(spatial.radius_pairs(n, n, 12.0)).select("a_id", "b_id", F.round("um", 6).alias("um"))
+    """The nearest detection of the next frame, however far."""
+    (n,) = kept(spark, det(spark, d))
+    return spatial.nearest_anywhere(n, n).select("a_id", "b_id", F.round("um", 6).alias("um"))
 
 
-SQL["nearest_next"] = f"with {N}, {PAIRS(12.0, 1)} select a_id, b_id, round(um, 6) um from pairs qualify row_number() over (partition by a_id order by um, b_id) = 1"
+SQL["nearest_next"] = f"with {N}, {PAIRS(1e300, 1)} select a_id, b_id, round(um, 6) um from pairs qualify row_number() over (partition by a_id order by um, b_id) = 1"
 
 
 @query
 def knn3_spacing(spark, d):
-    """The median distance to the three nearest neighbours in the frame, within 20 micrometres."""
-    return spatial.spacing(det(spark, d)).select("node_id", F.round("spacing_um", 6).alias("spacing_um"))
+    """The median distance to the three nearest neighbours in the frame, however far."""
+    return spatial.spacing(*kept(spark, det(spark, d))).select("node_id", F.round("spacing_um", 6).alias("spacing_um"))
 
 
-SQL["knn3_spacing"] = f"""with {N}, {PAIRS(20.0, 0, "and a.node_id <> b.node_id")}, k as (select * from pairs qualify row_number() over (partition by a_id order by um, b_id) <= 3),
+SQL["knn3_spacing"] = f"""with {N}, {PAIRS(1e300, 0, "and a.node_id <> b.node_id")}, k as (select * from pairs qualify row_number() over (partition by a_id order by um, b_id) <= 3),
 m as (select a_id, median(um) s from k group by 1) select node_id, round(coalesce(s, 6.5), 6) spacing_um from n left join m on a_id = node_id"""
 
 
@@ -310,7 +310,7 @@ SQL["mutual_nn_7um"] = f"""with {N}, {PAIRS(7.0, 1)} select a_id, b_id, round(um
 
 @query
 def flow_knn_median(spark, d):
-    """The motion at each detection: the median step of up to 12 nearest links of the same frame."""
+    """The motion at each detection: the median step of 12 links near it, of the 13 nearest without its own ones."""
     n = det(spark, d)
     step = ln.single_links(links(spark, d))
     samples = step.select("dataset", "t", F.col("source_id").alias("node_id"), *[F.col(f"s_{c}").alias(c) for c in AXES], *[((F.col(f"g_{c}") - F.col(f"s_{c}")) * spatial.SCALE[c]).alias(f"d{c}") for c in AXES])
@@ -320,8 +320,9 @@ def flow_knn_median(spark, d):
 
 SQL["flow_knn_median"] = BASE + f""", s as (select dataset, t, source_id, target_id from l qualify count(*) over (partition by source_id) = 1 and count(*) over (partition by target_id) = 1),
 q as (select a.*, (b.z - a.z) * 1.625 dz, (b.y - a.y) * 0.40625 dy, (b.x - a.x) * 0.40625 dx from s join n a on a.node_id = source_id join n b on b.node_id = target_id),
-k as (select a.node_id, q.dz, q.dy, q.dx from n a join q on q.dataset = a.dataset and q.t = a.t where {_um("a", "q")} between 1.5 and 40.0
- qualify row_number() over (partition by a.node_id order by {_um("a", "q")}, q.node_id) <= 12)
+k13 as (select a.node_id, q.node_id other, {_um("a", "q")} um, q.dz, q.dy, q.dx from n a join q on q.dataset = a.dataset and q.t = a.t where {_um("a", "q")} <= 40.0
+ qualify row_number() over (partition by a.node_id order by {_um("a", "q")}, q.node_id) <= 13),
+k as (select * from k13 where um >= 1.5 qualify row_number() over (partition by node_id order by um, other) <= 12)
 select node_id, count(*) n_samples, round(median(dz), 6) flow_z, round(median(dy), 6) flow_y, round(median(dx), 6) flow_x from k group by 1"""
 
 
@@ -339,6 +340,43 @@ def greedy_links(spark, d):
     return matching.greedy_matching(spatial.radius_pairs(n, n, 10.0).select("dataset", "t", "a_id", "b_id", "um"))
 
 
+@query
+def track_lengths(spark, d):
+    """Single links up to each node and away from it, up to ten."""
+    return ln.track_lengths(*kept(spark, links(spark, d)))
+
+
+_CHAIN = lambda a, b, name: f"""{name}1 as (select {a} s, min({b}) g from l group by 1 having count(*) = 1),
+{name} as (with recursive r(s, v, k) as (select s, g, 1 from {name}1 union all select r.s, g, k + 1 from r join {name}1 c on c.s = r.v where k < 10) select s, max(k) k from r group by 1)"""
+SQL["track_lengths"] = BASE + f""", {_CHAIN("target_id", "source_id", "bk")}, {_CHAIN("source_id", "target_id", "fw")}
+select node_id, coalesce(bk.k, 0)::int back, coalesce(fw.k, 0)::int forward from (select source_id node_id from l union select target_id from l) left join bk on bk.s = node_id left join fw on fw.s = node_id"""
+
+
+@query
+def next_free_id(spark, d):
+    """The id that the next new node gets."""
+    return ln.next_free_id(det(spark, d))
+
+
+SQL["next_free_id"] = f"with {N} select coalesce(max(node_id) + 1, 0) next_id from n"
+
+
+@query
+def cache_alignment(spark, d):
+    """Whether the first nodes of each dataset lie where its detections, numbered by frame and place, say so."""
+    (n,) = kept(spark, det(spark, d))
+    row = F.row_number().over(W.partitionBy("dataset", "t").orderBy(*AXES, "node_id")) - 1
+    before = n.groupBy("dataset", "t").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(W.partitionBy("dataset").orderBy("t")) - F.col("k"))
+    cache = n.withColumn("at", row).join(before, ["dataset", "t"]).select("dataset", (F.col("before") + F.col("at")).alias("row"), "t", *AXES)
+    return ln.aligned(n, cache)
+
+
+SQL["cache_alignment"] = f"""with {N}, c as (select dataset, row_number() over (partition by dataset order by t, z, y, x, node_id) - 1 node_id, t, z, y, x from n),
+f as (select * from n where node_id >= 0 qualify row_number() over (partition by dataset order by node_id) <= 200)
+select dataset, coalesce(bool_and(c.t is null or (c.t = f.t and abs(f.z - c.z) <= 1e-8 + 1e-5 * abs(c.z) and abs(f.y - c.y) <= 1e-8 + 1e-5 * abs(c.y) and abs(f.x - c.x) <= 1e-8 + 1e-5 * abs(c.x))), true) aligned
+from f left join c using (dataset, node_id) group by 1"""
+
+
 # ---- transitions ---------------------------------------------------------------------------------------------------
 
 
@@ -347,9 +385,8 @@ def frozen_transitions(spark, d):
     return tr.frozen(det(spark, d))
 
 
-DIG = ", ".join(f"sum(round({c} * 16)::bigint) {c}1, sum(round({c} * 16)::bigint * round({c} * 16)::bigint) {c}2" for c in "zyx")
-FR = f"""dg as (select dataset, t, count(*) k, {DIG} from n group by all),
-fr as (select dataset, t, coalesce(lead(t) over w = t + 1 and lead(k) over w = k and {" and ".join(f"lead({c}{m}) over w = {c}{m}" for c in "zyx" for m in "12")}, false) frozen from dg window w as (partition by dataset order by t))"""
+FR = """dg as (select dataset, t, list((z, y, x) order by z, y, x) pts from n group by all),
+fr as (select dataset, t, coalesce(lead(t) over w = t + 1 and lead(pts) over w = pts, false) frozen from dg window w as (partition by dataset order by t))"""
 SQL["frozen_transitions"] = f"with {N}, {FR} select * from fr"
 
 
@@ -372,7 +409,7 @@ def transition_kinds(spark, d):
 KI = """st as (select dataset, t, median(um) step from l group by all having count(*) >= 4), j as (select rl.*, step from rl left join st using (dataset, t)),
 mv as (select dataset, median(step) mv from j where not frozen and step is not null group by 1),
 ki as (select dataset, t, case when frozen then 'frozen' when k >= 1 or coalesce(mv > 0 and step >= 2 * mv, false) then 'jump' else 'normal' end kind,
- case when frozen then '' when k >= 1 then 'after_frozen' when coalesce(mv > 0 and step >= 2 * mv, false) then 'seed_median' else '' end reason, k, step from j left join mv using (dataset))"""
+ case when frozen then 'frozen' when k >= 1 then 'after_frozen' when coalesce(mv > 0 and step >= 2 * mv, false) then 'seed_median' else '' end reason, k, step from j left join mv using (dataset))"""
 SQL["transition_kinds"] = BASE + f", {FR}, {RL}, {KI} select dataset, t, kind, reason, k, round(step, 6) step_um from ki"
 
 

@@ -21,8 +21,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    """Each linked node with each root above it, depth, nested-set range, the trees below it and number of descendants."""
-    return hierarchy.full_hierarchy(_links(spark, folder))
+    """Each linked node with each root above it, its depth and parent from there, its number of descendants, and whether it is its own ancestor."""
+    return hierarchy.full_hierarchy(_links(spark, folder)).select("node_id", "parent_id", "root_id", "depth", "rootless", "n_descendants", "on_cycle")
+
+
+def p3_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """All descendants of each linked node: a nested-set range of its tree, and the trees below."""
+    return hierarchy.node_ranges(hierarchy.Hierarchies(_links(spark, folder))).select("node_id", "tree_id", "pre", "last", "trees_below", "n_descendants")
 
 
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +56,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.when(F.col("is_pair"), "node").otherwise("crop").alias("kind"), "left_id", "right_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_paths, p4_found, p4_report, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_ranges, p3_paths, p4_found, p4_report, p5_found)}
 
 _REFS = """
 with par as (select node_id, min(recorded_at) a, min(deleted_at) d from nodes group by 1),
@@ -79,8 +84,30 @@ reach(root, node, depth) using key (root, node) as (
 below(top, node) as (select p, c from l union select b.top, l.c from below b join l on l.p = b.node),
 cyc as (select distinct node from below where top = node)
 """
+#: Starts of paths: the roots, and for nodes without any the least root of a tree on each first cycle above them. Trees start
+#: at nodes with several parents or their own one, and at the least node of a cycle of nodes with one parent each.
+_STARTS = _LINKS + """,
+par as (select c, min(p) lo, max(p) hi from l group by 1), tops as (select c from par where lo <> hi or lo = c),
+ring(top, node) as (select c, lo from par where lo = hi and lo <> c union select top, p.lo from ring join par p on p.c = node where p.lo = p.hi and p.lo <> p.c),
+lost as (select c from l where c not in (select node from reach)),
+cut as (select top c from ring where top = node and top = (select min(r.node) from ring r where r.top = ring.top)),
+trees as (select c from (select c from tops union select c from cut) where c in (from lost)),
+above as (select t.c c, b.top x from trees t join below b on b.node = t.c and b.top in (from trees) union select c, c from trees),
+firsts as (select c, min(x) r from above a group by 1 having bool_and(x = c or exists (select 1 from above b where b.c = a.x and b.x = a.c))),
+loose(root, node, depth) using key (root, node) as (
+  select distinct r, r, 0 from firsts
+  union
+  select r.root, l.c, min(r.depth) + 1 from loose r join l on l.p = r.node left join recurring.loose k on k.root = r.root and k.node = l.c where k.root is null group by r.root, l.c),
+every as (select root, node, depth, false rootless from reach union all select root, node, depth, true from loose where node in (from lost)),
+near as (select e.root, e.node, e.depth, e.rootless, min(b.node) parent from every e left join l on l.c = e.node left join every b on b.root = e.root and b.node = l.p and b.depth = e.depth - 1 group by all)
+"""
 
 SQL = {
+    "p3_hierarchy": _STARTS + """select near.node node_id, parent parent_id, root root_id, depth::int depth, rootless, coalesce(k, 0) n_descendants, near.node in (from cyc) on_cycle
+from near left join (select top, count(*) k from below where node <> top group by 1) on top = near.node""",
+    "p3_paths": _STARTS + """, way(node, root, depth, path, rootless) as (select node, root, depth, [node], rootless from near where depth = 0
+union all select n.node, n.root, n.depth, list_append(w.path, n.node), n.rootless from way w join near n on n.root = w.root and n.parent = w.node)
+select node node_id, root root_id, depth::int depth, path, rootless from way""",
     "p3_found": _LINKS + """select node node_id, root root_id, depth::int depth from reach union all select node, -1, -1 from cyc
 union all select distinct node, -2, -2 from below where top in (from cyc) and node not in (from cyc) and node not in (select node from reach)""",
     "p4_found": _REFS + "select * from o",

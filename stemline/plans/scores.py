@@ -94,6 +94,32 @@ select case gr when 0 then 'dataset' when 1 then 'embryo' else 'all' end as leve
  round(case when d_tp + d_fp + d_fn > 0 then d_tp / (d_tp + d_fp + d_fn) end, 6) division_jaccard, round(s / w + 0.1 * coalesce(case when d_tp + d_fp + d_fn > 0 then d_tp / (d_tp + d_fp + d_fn) end, 0), 6) score from g"""
 
 
+@query
+def node_ratios(spark, d):
+    _, _, _, pn, _ = _graphs(spark, d)
+    rows = scoring.node_ratios(pn.groupBy("dataset").agg(F.count("*").alias("n")), _expected(spark, d))
+    return rows.withColumn("node_ratio", F.round("node_ratio", 6))
+
+
+SQL["node_ratios"] = BASE + f""", {GR}, ex as (select {MOVIE} dataset, max(n_nodes) n_true from per_dataset where dataset is not null group by 1)
+select dataset, n_pred, n_true, round((n_pred - n_true) / nullif(n_true, 0), 6) node_ratio from (select dataset, count(*) n_pred from pn group by 1) left join ex using (dataset)"""
+
+
+@query
+def report_summary(spark, d):
+    """The overall score, the worst embryo, and annotated datasets without prediction."""
+    _, pred, truth, pn, tn = _graphs(spark, d)
+    match = _by_id(pn, tn)
+    report = scoring.score_report(scoring.edge_confusion(pred, truth, match), scoring.division_confusion(pred, truth, match), pn.groupBy("dataset").agg(F.count("*").alias("n")), _expected(spark, d))
+    return scoring.report_summary(*kept(spark, report), pn, _expected(spark, d))
+
+
+SQL["report_summary"] = f"""select (select score from rep where level = 'all') score, arg_min(name, (score, name)) worst_embryo, min(score) worst_score, (select count(*) from rep where level = 'dataset') n_datasets,
+ (select count(*) from sk) n_skipped, (select coalesce(string_agg(dataset, ',' order by dataset), '') from sk) skipped from rep where level = 'embryo'"""
+SQL["report_summary"] = SQL["score_report"].replace("select case gr when", "rep as (select case gr when", 1).replace("score from g", "score from g), sk as (select dataset from ex where dataset not in (select dataset from pn))\n" + SQL["report_summary"], 1)
+SQL["report_summary"] = SQL["report_summary"].replace("group by rollup (embryo, dataset))\nrep", "group by rollup (embryo, dataset)),\nrep")
+
+
 @query
 def written_match(spark, d):
     """Nodes as written (whole voxels) matched to true ones one to one within 7 micrometres in their frames, at least total distance."""
@@ -229,8 +255,8 @@ def pr_curve(spark, d):
     return scoring.pr_curve(_scored(spark, d))
 
 
-PR = "st as (select round(score, 4) score, count(*) filter (label = 'tp') p, count(*) filter (label = 'fp') n from sc where label in ('tp', 'fp') group by 1), cu as (select *, sum(p) over (order by score desc)::bigint tp, sum(n) over (order by score desc)::bigint fp, sum(p) over ()::bigint pos from st)"
-SQL["pr_curve"] = f"with {SC}, {PR} select score, tp, fp, round(tp / (tp + fp), 6) as \"precision\", round(tp / pos, 6) as recall from cu"
+PR = "st as (select score, count(*) filter (label = 'tp') p, count(*) filter (label = 'fp') n from sc where label in ('tp', 'fp') group by 1), cu as (select *, sum(p) over (order by score desc)::bigint tp, sum(n) over (order by score desc)::bigint fp, sum(p) over ()::bigint pos from st)"
+SQL["pr_curve"] = f"with {SC}, {PR} select score, tp, fp, round(tp / (tp + fp), 6) as \"precision\", round(tp / nullif(pos, 0), 6) as recall from cu"
 
 
 @query
@@ -238,10 +264,11 @@ def ranking_quality(spark, d):
     return scoring.ranking_quality(_scored(spark, d))
 
 
-SQL["ranking_quality"] = f"""with {SC}, a as (select label, score, round(score, 4) r from sc where label in ('tp', 'fp')), {PR}
+SQL["ranking_quality"] = f"""with {SC}, a as (select label, score r from sc where label in ('tp', 'fp')), {PR}
 select (select count(*) from a where label = 'tp') n_tp, (select count(*) from a where label = 'fp') n_fp,
  round((select sum(case when p.r > n.r then 1.0::double when p.r = n.r then 0.5::double else 0 end) from a p, a n where p.label = 'tp' and n.label = 'fp') / ((select count(*) from a where label = 'tp') * (select count(*) from a where label = 'fp')), 6) roc_auc,
- round((select sum(p * (tp / (tp + fp))) from cu) / (select count(*) from a where label = 'tp'), 6) average_precision"""
+ round((select sum(p * (tp / (tp + fp))) from cu) / (select count(*) from a where label = 'tp'), 6) average_precision,
+ """ + ", ".join(f"(select round(max(tp / (tp + fp)), 6) from cu where tp >= {r}::double * pos) p_at_r{round(100 * r)}" for r in scoring.RECALLS)
 
 
 # ---- learning ------------------------------------------------------------------------------------------------------

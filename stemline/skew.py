@@ -51,9 +51,12 @@ def spread(df: DataFrame, column: str, hot: list, salts: int = SALTS) -> DataFra
     return df.withColumn("_salt", F.explode(F.when(F.col(column).isin(hot), every).otherwise(F.array(F.lit(0)))))
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "left", hot: list | None = None) -> DataFrame:
-    """Join a long table to one with unique keys (left, inner, left_semi, left_anti), by sort and merge."""
+def lookup(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "left", hot: list | None = None, merge: bool = True) -> DataFrame:
+    """Join a long table to one with unique keys (left, inner, left_semi, left_anti), by sort and merge.
+
+    merge: without it and without hot keys Spark may broadcast the right side, by its own check of the size.
+    """
     hot = hot_keys(left, key) if hot is None else hot
     if not hot:
-        return left.join(right.hint("merge"), key, how)
+        return left.join(right.hint("merge") if merge else right, key, how)
     return salted(left, key, by, hot).join(spread(right, key, hot).hint("merge"), [key, "_salt"], how).drop("_salt")
