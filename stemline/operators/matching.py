@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemline.functions.pairing import best_pairs
 from stemline.functions.runs import whole_groups
 from stemline.store import Scratch
 
@@ -30,72 +31,58 @@ def greedy_matching(pairs: DataFrame, left: str = "a_id", right: str = "b_id", c
     return (open_ if taken is None else taken).drop("_r")
 
 
-def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Rows and columns of a matrix matched as often as possible at least cost (shortest augmenting paths); inf: never."""
-    n, m = cost.shape
-    big = 1 + 2 * np.abs(cost[np.isfinite(cost)]).sum()
-    size = max(n, m)
-    c = np.full((size, size), big)
-    c[:n, :m] = np.where(np.isfinite(cost), cost, big)
-    u, v, owner = np.zeros(size + 1), np.zeros(size + 1), np.full(size + 1, size)
-    for i in range(size):
-        owner[size] = i
-        j, slack, via, done = size, np.full(size + 1, np.inf), np.full(size + 1, size), np.zeros(size + 1, bool)
-        while True:
-            done[j] = True
-            row = owner[j]
-            gap = c[row] - u[row] - v[:size]
-            better = ~done[:size] & (gap < slack[:size])
-            slack[:size][better], via[:size][better] = gap[better], j
-            k = int(np.argmin(np.where(done[:size], np.inf, slack[:size])))
-            step = slack[k]
-            at = np.flatnonzero(done)
-            u[owner[at]] += step
-            v[at] -= step
-            slack[:size][~done[:size]] -= step
-            j = k
-            if owner[j] == size:
-                break
-        while j != size:
-            owner[j] = owner[via[j]]
-            j = via[j]
-    return [(int(owner[j]), j) for j in range(m) if owner[j] < n and np.isfinite(cost[owner[j], j])]
+def _components(pairs: DataFrame, left: str, right: str, cost: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose ends have no other pair, and the others with the least left id of their component.
 
-
-def assignment(pairs: DataFrame, left: str = "a_id", right: str = "b_id", cost: str = "um") -> DataFrame:
-    """The one-to-one pairs that are most in number and, among these, least in total cost.
-
-    Pairs whose ends have no other pair are settled at once. The rest falls into connected components, found by spreading
-    least ids; each is solved by itself, as the optimum of the whole is that of its components. Components are as large as
-    crowds of detections within the gate, not as frames.
+    Ids spread over the pairs, and each row then takes the label of its label, so that long chains need few rounds.
     """
-    scratch = Scratch(pairs.sparkSession, "assignment")
     pairs = scratch.keep(pairs.select(left, right, cost), "pairs")
     alone_l = pairs.groupBy(left).agg(F.count("*").alias("_nl"))
     alone_r = pairs.groupBy(right).agg(F.count("*").alias("_nr"))
     counted = scratch.keep(pairs.join(alone_l, left).join(alone_r, right), "counted")
     simple = counted.where("_nl = 1 and _nr = 1").select(left, right, cost)
-    label = scratch.keep(counted.where("_nl > 1 or _nr > 1").select(left, right, cost, F.col(left).alias("comp")), "crowds")
+    crowded = scratch.keep(counted.where("_nl > 1 or _nr > 1").select(left, right, cost), "crowded")
+    label = scratch.keep(crowded.select(F.col(left).alias("v"), F.col(left).alias("comp")).distinct(), "labels")
     while True:
-        by_r = label.groupBy(right).agg(F.min("comp").alias("_c"))
-        spread = label.join(by_r, right)
-        by_l = spread.groupBy(left).agg(F.min("_c").alias("_d"))
-        nxt = scratch.keep(spread.join(by_l, left).select(left, right, cost, F.col("_d").alias("comp"), (F.col("_d") < F.col("comp")).alias("moved")), "crowds")
-        label = nxt.drop("moved")
-        if not nxt.where("moved").limit(1).count():
-            break
+        rows = crowded.join(label.select(F.col("v").alias(left), "comp"), left)
+        low = rows.groupBy(right).agg(F.min("comp").alias("low"))
+        near = rows.join(low, right).groupBy(F.col(left).alias("v")).agg(F.min("low").alias("near"))
+        jump = label.select(F.col("v").alias("near"), F.col("comp").alias("then"))
+        new = label.join(near, "v").join(jump, "near").select("v", F.least("near", "then").alias("comp"), (F.least("near", "then") < F.col("comp")).alias("moved"))
+        new = scratch.keep(new, "labels")
+        scratch.drop(label)
+        label = new.select("v", "comp")
+        label._stemline_path = new._stemline_path
+        if not new.where("moved").limit(1).count():
+            return simple, crowded.join(label.select(F.col("v").alias(left), "comp"), left)
+
+
+def crowds(pairs: DataFrame, left: str = "a_id", right: str = "b_id", cost: str = "um") -> DataFrame:
+    """(n_pairs, n_components): how many components of so many pairs an assignment has to solve."""
+    simple, label = _components(pairs, left, right, cost, Scratch(pairs.sparkSession, "crowds"))
+    sizes = label.groupBy("comp").agg(F.count("*").alias("n_pairs")).select("n_pairs").unionByName(simple.select(F.lit(1).cast("long").alias("n_pairs")))
+    return sizes.groupBy("n_pairs").agg(F.count("*").alias("n_components"))
+
+
+def assignment(pairs: DataFrame, left: str = "a_id", right: str = "b_id", cost: str = "um") -> DataFrame:
+    """The one-to-one pairs that are most in number and, among these, least in total cost.
+
+    Pairs whose ends have no other pair are settled at once. The rest falls into connected components, found by spreading
+    least ids; each is solved by itself over its pairs only, as the optimum of the whole is that of its components. They are
+    as large as crowds of detections within the gate, not as frames; crowds() reports them.
+    """
+    scratch = Scratch(pairs.sparkSession, "assignment")
+    simple, label = _components(pairs, left, right, cost, scratch)
 
     def solve(batches):
         for t in whole_groups(batches, "comp"):
-            comp, a, b, c = (t.column(x).to_numpy() for x in ("comp", left, right, cost))
-            out = []
-            for at in np.split(np.arange(len(comp)), np.flatnonzero(np.diff(comp)) + 1):
-                ls, i = np.unique(a[at], return_inverse=True)
-                rs, j = np.unique(b[at], return_inverse=True)
-                matrix = np.full((len(ls), len(rs)), np.inf)
-                np.minimum.at(matrix, (i, j), c[at])
-                out += [(ls[x], rs[y], matrix[x, y]) for x, y in least_cost(matrix)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], [left, right, cost])
+            a, b, c = (t.column(x).to_numpy() for x in (left, right, cost))
+            at = np.lexsort((c, b, a))
+            a, b, c = a[at], b[at], c[at]
+            first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]  # of repeated pairs the cheapest
+            a, b, c = a[first], b[first], c[first]
+            got = best_pairs(np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1], c)
+            yield pa.RecordBatch.from_arrays([pa.array(x[got], kind) for x, kind in zip((a, b, c), (pa.int64(), pa.int64(), pa.float64()))], [left, right, cost])
 
     # so many partitions even for few rows: the work lies in Python
     parallel = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

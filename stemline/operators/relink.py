@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemline.functions.geometry import AXES, SCALE
-from stemline.functions.sweep import forward_pairs
-from stemline.operators.matching import assignment, least_cost
+from stemline.functions.pairing import best_pairs
+from stemline.functions.places import Places, first_of_groups, group_medians
+from stemline.operators.matching import assignment
 from stemline.operators.spatial import radius_pairs
 from stemline.store import Scratch
 
@@ -34,92 +35,79 @@ FLOW_K, FLOW_REACH, FLOW_OWN, FLOW_LEAST = 12, 40.0, 1.5, 4
 OWN_STEP = 0.5
 
 
-def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-
-
 def flow_at(at: np.ndarray, start: np.ndarray, step: np.ndarray, own: float) -> np.ndarray:
     """The median step of the nearest samples at each place; NaN where there is none in reach."""
-    out = np.full((len(at), 3), np.nan)
     if len(start) < FLOW_LEAST:
-        return out
-    for lo in range(0, len(at), 512):
-        gap = _gaps(at[lo : lo + 512], start)
-        near = np.argsort(gap, axis=1, kind="stable")[:, : FLOW_K + 1]
-        for i, row in enumerate(near):
-            d = gap[i, row]
-            row = row[(d >= own) & (d <= FLOW_REACH)][:FLOW_K]
-            if len(row):
-                out[lo + i] = np.median(step[row], axis=0)
-    return out
+        return np.full((len(at), 3), np.nan)
+    i, j, d = Places(start, FLOW_REACH).pairs(at, FLOW_REACH)
+    keep = np.flatnonzero(first_of_groups(i, FLOW_K + 1) & (d >= own))  # one's own is among the nearest
+    keep = keep[first_of_groups(i[keep], FLOW_K)]
+    i, j = i[keep], j[keep]
+    return group_medians(len(at), i, step[j], FLOW_K)
 
 
-def assign(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
-    """Least-cost matching of the allowed pairs, component by component."""
-    i, j = np.nonzero(allowed)
-    label = np.arange(cost.shape[0] + cost.shape[1])
-    while True:  # spread least labels over the pairs
-        low = np.minimum(label[i], label[cost.shape[0] + j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, cost.shape[0] + j, low)
-        if np.array_equal(new, label):
-            break
-        label = new
-    out, order = [], np.argsort(label[i], kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(label[i][order])) + 1) if len(order) else []:
-        if len(part) == 1:
-            out.append((int(i[part[0]]), int(j[part[0]])))
-            continue
-        rows, cols = np.unique(i[part]), np.unique(j[part])
-        sub = np.where(allowed[np.ix_(rows, cols)], cost[np.ix_(rows, cols)], np.inf)
-        out += [(int(rows[a]), int(cols[b])) for a, b in least_cost(sub)]
-    return out
+def densest(votes: np.ndarray, band: float) -> np.ndarray:
+    """The median of the votes around the one that has most others within the band; of equal ones the least by z, y, x."""
+    votes = votes[np.lexsort((votes[:, 2], votes[:, 1], votes[:, 0]))]
+    near, count = Places(votes, band), np.zeros(len(votes), np.int64)
+    for i, _, _ in near.around(votes, band):
+        count += np.bincount(i, minlength=len(votes))
+    _, j, _ = near.pairs(votes[[int(count.argmax())]], band)
+    return np.median(votes[j], axis=0)
+
+
+def agreed_step(src: np.ndarray, tgt: np.ndarray, shift: np.ndarray, reach: float, least: int) -> np.ndarray | None:
+    """The median step of those that are each other's nearest once src is shifted; None where they are too few."""
+    there = Places(tgt, reach).nearest(src + shift)
+    here = Places(src + shift, reach).nearest(tgt)
+    both = np.flatnonzero(here[there] == np.arange(len(src)))
+    return np.median(tgt[there[both]] - src[both], axis=0) if len(both) >= least else None
 
 
 def common_shift(src: np.ndarray, tgt: np.ndarray, reach: float = 16.0, band: float = 1.5, rounds: int = 6, least: int = 4) -> np.ndarray | None:
-    """The shift that most pairs agree on: the densest vote, refined by the median residual of mutual nearest neighbours."""
-    if len(src) < least or len(tgt) < least:
+    """The step that two point sets agree on best, or None where fewer than least points of each, or pairs, speak for one.
+
+    It is a fixed point: shifting src by it, the median step of mutual nearest neighbours is the same again, to 1e-6. The
+    search starts from the densest of all steps up to reach, and the last of so many rounds stands where none is reached,
+    or where a later one has too few pairs.
+    """
+    if min(len(src), len(tgt)) < least:
         return None
-    votes = (tgt[None, :, :] - src[:, None, :])[_gaps(src, tgt) <= reach]
-    shift = np.zeros(3)
-    if len(votes):
-        votes = votes[np.lexsort((votes[:, 1], votes[:, 0], votes[:, 2]))]
-        count = np.zeros(len(votes), np.int64)
-        for a, b in forward_pairs(np.zeros(len(votes), np.int64), votes[:, 2], band):
-            ok = ((votes[a] - votes[b]) ** 2).sum(axis=1) <= band * band
-            np.add.at(count, a[ok], 1)
-            np.add.at(count, b[ok], 1)
-        best = votes[int(np.argmax(count))]
-        shift = np.median(votes[((votes - best) ** 2).sum(axis=1) <= band * band], axis=0)
-    found = False
-    for _ in range(rounds):
-        gap = _gaps(src + shift, tgt)
-        j, back = gap.argmin(axis=1), gap.argmin(axis=0)
-        mutual = back[j] == np.arange(len(src))
-        if mutual.sum() < least:
-            break
-        new = np.median(tgt[j[mutual]] - src[mutual], axis=0)
-        found, done, shift = True, np.allclose(new, shift, atol=1e-6), new
-        if done:
+    i, j, _ = Places(tgt, reach).pairs(src, reach)
+    steps = [densest(tgt[j] - src[i], band) if len(i) else np.zeros(3)]
+    while len(steps) <= rounds and (new := agreed_step(src, tgt, steps[-1], reach, least)) is not None:
+        steps.append(new)
+        if np.allclose(*steps[-2:][::-1], atol=1e-6):
             break
-    return shift if found else None
+    return steps[-1] if len(steps) > 1 else None
 
 
-def solve_transition(src: np.ndarray, tgt: np.ndarray, prob: np.ndarray, start: np.ndarray, step: np.ndarray, own: np.ndarray, jump: bool):
-    """(source, target, raw, motion, pass) of one transition, as indices and micrometres.
+def solve_transition(src: np.ndarray, tgt: np.ndarray, bonus: tuple[np.ndarray, np.ndarray, np.ndarray], start: np.ndarray, step: np.ndarray, own: np.ndarray, jump: bool):
+    """(source, target, raw, motion, bonus, pass) of one transition, as indices and micrometres.
 
-    start, step: the field of the transition before; own: the last step of each source, NaN without one.
+    bonus: (source, target, value), each pair once; start, step: the field of the transition before; own: the last step of
+    each source, NaN without one.
     """
-    raw = _gaps(src, tgt)
+    m = max(1, len(tgt))
+    order = np.argsort(bonus[0] * m + bonus[1])
+    keys, values = (bonus[0] * m + bonus[1])[order], bonus[2][order]
+    grid = Places(tgt, RELAXED)
 
-    def attempt(s, g, gate, flow, predicted):
-        motion = _gaps(predicted[s], tgt[g])
-        allowed = raw[np.ix_(s, g)] <= gate
+    def attempt(free_s, free_g, gate, flow, predicted):
+        i, j, _ = grid.pairs(src, gate)
         if flow:
-            allowed |= motion <= gate
-        cost = motion - prob[np.ix_(s, g)]
-        return [(s[a], g[b], motion[a, b]) for a, b in assign(cost, allowed)]
+            k, l, _ = grid.pairs(predicted, gate)
+            i, j = np.divmod(np.unique(np.r_[i * m + j, k * m + l]), m)
+        ok = free_s[i] & free_g[j]
+        i, j = i[ok], j[ok]
+        extra = np.zeros(len(i))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, i * m + j), len(keys) - 1)
+            extra = np.where(keys[at] == i * m + j, values[at], 0.0)
+        motion = np.sqrt(((predicted[i] - tgt[j]) ** 2).sum(axis=1))
+        got = best_pairs(i, j, motion - extra)
+        raw = np.sqrt(((src[i] - tgt[j]) ** 2).sum(axis=1))
+        return i[got], j[got], raw[got], motion[got], extra[got]
 
     alone = src + np.where(np.isnan(own), 0.0, OWN_STEP * own)
     before = flow_at(src, start, step, 0.0)
@@ -129,20 +117,18 @@ def solve_transition(src: np.ndarray, tgt: np.ndarray, prob: np.ndarray, start:
         shift = common_shift(src + base, tgt)
         if shift is not None:
             seed_prediction, has_prior = src + base + shift, True
-    every = np.arange(len(src)), np.arange(len(tgt))
-    seed = attempt(*every, SEED, has_prior, seed_prediction)
-    s0 = np.array([m[0] for m in seed], np.int64)
-    g0 = np.array([m[1] for m in seed], np.int64)
+    free_s, free_g = np.ones(len(src), bool), np.ones(len(tgt), bool)
+    s0, g0, *_ = attempt(free_s, free_g, SEED, has_prior, seed_prediction)
+    o = np.argsort(s0)
+    s0, g0 = s0[o], g0[o]
     field = flow_at(src, src[s0], tgt[g0] - src[s0], FLOW_OWN)
-    known = len(seed) >= FLOW_LEAST
+    known = len(s0) >= FLOW_LEAST
     predicted = np.where(np.isnan(field), alone, src + field)
-    out, s, g = [], *every
+    out = []
     for name, gate in (("tight", TIGHT if known else TIGHT_ALONE), ("relaxed", RELAXED)):
-        if len(s) and len(g):
-            got = attempt(s, g, gate, known, predicted)
-            out += [(a, b, raw[a, b], m, name) for a, b, m in got]
-            s = np.setdiff1d(s, [m[0] for m in got])
-            g = np.setdiff1d(g, [m[1] for m in got])
+        i, j, raw, motion, extra = attempt(free_s, free_g, gate, known, predicted)
+        free_s[i], free_g[j] = False, False
+        out += [(*row, name) for row in zip(i.tolist(), j.tolist(), raw.tolist(), motion.tolist(), extra.tolist())]
     return out
 
 
@@ -166,7 +152,7 @@ ROWS = "dataset string, t int, source_id long, target_id long, um double, motion
 def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | None = None, most: int = MOST_IN_FRAME, existing: DataFrame | None = None) -> DataFrame:
     """(dataset, t, source_id, target_id, um, motion_um, motion_pass, edge_prob) of the links that motion supports.
 
-    probs(source_id, target_id, prob): learned probabilities, a bonus; kinds(dataset, t, kind): transitions of kind jump
+    probs(source_id, target_id, prob), each pair once: learned probabilities, a bonus; kinds(dataset, t, kind): transitions of kind jump
     get the common shift of the frame, frozen and normal ones do not. existing(dataset, t, source_id, target_id, um, edge_prob):
     links that movies keep which are too crowded to relink, with the pass raw and no motion_um.
     """
@@ -198,16 +184,14 @@ def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | No
         if not len(sid) or not len(gid):
             return pd.DataFrame({c.split()[0]: [] for c in ROWS.split(", ")})
         near = lambda ids, x: np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-        prob = np.zeros((len(sid), len(gid)))
         i, j = near(sid, id_[known]), near(gid, other[known])
         ok = (sid[i] == id_[known]) & (gid[j] == other[known])
-        np.maximum.at(prob, (i[ok], j[ok]), at[known][ok, 0])
         own = np.full((len(sid), 3), np.nan)
-        i = near(sid, id_[prior])
-        ok = sid[i] == id_[prior]
-        own[i[ok]] = step[prior][ok]
-        found = solve_transition(at[s], at[g], prob, at[prior], step[prior], own, bool((role_ == 4).any()))
-        return pd.DataFrame([(key[0], key[1], sid[a], gid[b], r, m, name, prob[a, b]) for a, b, r, m, name in found], columns=[c.split()[0] for c in ROWS.split(", ")])
+        k = near(sid, id_[prior])
+        mine = sid[k] == id_[prior]
+        own[k[mine]] = step[prior][mine]
+        found = solve_transition(at[s], at[g], (i[ok], j[ok], at[known][ok, 0]), at[prior], step[prior], own, bool((role_ == 4).any()))
+        return pd.DataFrame([(key[0], key[1], sid[a], gid[b], r, m, name, p) for a, b, r, m, p, name in found], columns=[c.split()[0] for c in ROWS.split(", ")])
 
     # so many partitions even for few rows: the work lies in Python
     parallel = int(det.sparkSession.conf.get("spark.sql.shuffle.partitions"))

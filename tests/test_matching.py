@@ -4,15 +4,22 @@ import random
 import numpy as np
 import pytest
 
+from stemline.functions.pairing import best_pairs
 from stemline.operators.divisions import choose_forks
-from stemline.operators.matching import assignment, greedy_matching, least_cost
+from stemline.operators.matching import assignment, crowds, greedy_matching
+
+
+def least_cost(c):
+    i, j = np.nonzero(np.isfinite(c))
+    got = best_pairs(i, j, c[i, j])
+    return list(zip(i[got].tolist(), j[got].tolist()))
 
 
 @pytest.mark.parametrize("seed", range(30))
 def test_least_cost_as_exhaustive(seed):
     rng = np.random.default_rng(seed)
     n, m = map(int, rng.integers(1, 6, 2))
-    c = rng.integers(1, 20, (n, m)).astype(float)
+    c = rng.integers(-6, 20, (n, m)).astype(float)
     c[rng.random((n, m)) < 0.4] = np.inf
     best = (0, 0.0)
     small, big = (n, m) if n <= m else (m, n)
@@ -50,6 +57,20 @@ def test_greedy_and_assignment_on_tables(spark, seed):
     assert sum(r.um for r in got) == sum(m[i, j] for i, j in best)
 
 
+def test_large_component_of_few_pairs():
+    rng = np.random.default_rng(4)
+    n = 1500  # a ladder: each row may go straight on or to the next column
+    i, j = np.r_[np.arange(n), np.arange(n - 1)], np.r_[np.arange(n), np.arange(1, n)]
+    cost = np.r_[np.full(n, 5.0), rng.uniform(0, 4, n - 1)]
+    got = best_pairs(i, j, cost)
+    assert len(got) == n and cost[got].sum() == 5.0 * n  # most pairs come first
+
+
+def test_crowds(spark):
+    rows = [(1, 11, 1.0), (2, 12, 1.0), (2, 13, 1.0), (3, 13, 2.0), (4, 13, 1.0)]
+    assert {tuple(r) for r in crowds(spark.createDataFrame(rows, "a_id long, b_id long, um double")).collect()} == {(1, 1), (4, 1)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "a_id long, b_id long, um double")
     assert greedy_matching(df).count() == assignment(df).count() == 0
