@@ -81,17 +81,31 @@ def add_gate(cands: DataFrame, edges_with_prob: DataFrame) -> DataFrame:
     return cands.join(seen, ["p_id", "d2_id"], "left_semi").where((F.col("angle_deg") >= 90) & ~F.isnan("angle_deg") & (F.when(F.isnan(gain), -1.0).otherwise(gain) > 0))
 
 
+def top_within(rows: DataFrame, caps: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first rows of each key, up to its cap; caps(keys.., cap) holds each key once.
+
+    The largest cap comes to the driver first (one number), so that each partition passes on no more rows of a key than that.
+    """
+    most = caps.agg(F.max("cap")).first()[0]
+    if most is None or most < 1:
+        return rows.limit(0)
+    ranked = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= int(most))
+    return ranked.join(caps, keys).where(F.col("_k") <= F.col("cap")).drop("_k", "cap")
+
+
 def capped(adds: DataFrame, sources: DataFrame, links: DataFrame, score: str = "score", frame_part: float = 0.0076, edge_part: float = 0.00375) -> DataFrame:
     """Additions within a budget for each frame and then for each dataset, the best first.
 
     The budgets are max(1, part of the frame's sources) and max(1, part of the dataset's links), rounded half to even.
     """
-    per_frame = sources.groupBy("dataset", "t").agg(F.greatest(F.lit(1), F.bround(F.countDistinct("source_id") * frame_part)).alias("frame_cap"))
-    per_set = links.groupBy("dataset").agg(F.greatest(F.lit(1), F.bround(F.count("*") * edge_part)).alias("set_cap"))
+    budget = lambda n, part: F.greatest(F.lit(1), F.bround(n * part)).alias("cap")
+    one = lambda keys: adds.select(*keys, F.lit(1.0).alias("least")).distinct()
+    per_frame = sources.groupBy("dataset", "t").agg(budget(F.countDistinct("source_id"), frame_part))
+    per_set = links.groupBy("dataset").agg(budget(F.count("*"), edge_part))
     order = [F.col(score).desc(), F.col("p_id"), F.col("d2_id")]
-    rows = adds.join(per_frame, ["dataset", "t"], "left").join(per_set, "dataset", "left").fillna(1, ["frame_cap", "set_cap"])
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("dataset", "t").orderBy(*order))).where("k <= frame_cap")
-    return rows.withColumn("k", F.row_number().over(W.partitionBy("dataset").orderBy(*order))).where("k <= set_cap").drop("k", "frame_cap", "set_cap")
+    for keys, caps in ((["dataset", "t"], per_frame), (["dataset"], per_set)):
+        adds = top_within(adds, one(keys).join(caps, keys, "left").select(*keys, F.coalesce("cap", "least").alias("cap")), keys, order)
+    return adds
 
 
 def choose_forks(cands: DataFrame, tau: float, frames: int = 1, radius_um: float = 10.0, score: str = "score", safe: DataFrame | None = None) -> DataFrame:

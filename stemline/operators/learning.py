@@ -32,6 +32,16 @@ def probability(model, rows: DataFrame, name: str = "prob") -> DataFrame:
     return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
+#: Percentiles that are reported.
+PERCENTILES = (1, 20, 50, 99.5, 99.9)
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys.., p1, p20, ..) of the values, exact, by linear interpolation; nulls do not count."""
+    named = [F.round(F.percentile(value, p / 100), 5).alias(f"p{p:g}".replace(".", "_")) for p in PERCENTILES]
+    return rows.groupBy(*keys).agg(*named)
+
+
 def folds(movies: DataFrame, k: int = 5) -> DataFrame:
     """(dataset, embryo, fold): movies of an embryo dealt to k folds in the order of a hash of their names."""
     rows = movies.select("dataset").distinct().withColumn("embryo", F.split("dataset", "_")[0])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stemline.functions.geometry import AXES, SCALE, angle, distance
-from stemline.operators.divisions import only_children
+from stemline.operators.divisions import only_children, top_within
 from stemline.operators.lineage import ends_of_tracks
 from stemline.operators.matching import assignment, greedy_matching
 from stemline.operators.spatial import frame_spacing, nearest, radius_pairs
@@ -68,8 +68,7 @@ def recover_two_frame_gaps(det: DataFrame, links: DataFrame, frame_part: float =
     ends = open_ends(det, links)[0].groupBy("dataset", "t").agg(F.greatest(F.lit(1), F.bround(F.count("*") * frame_part)).alias("frame_cap"))
     caps = links.groupBy("dataset").agg(F.least(F.lit(most), F.greatest(F.lit(1), F.bround(F.count("*") * link_part))).alias("cap"))
     order = ["cost", "a_id", "b_id"]
-    rows = taken.join(ends, ["dataset", "t"]).withColumn("k", F.row_number().over(W.partitionBy("dataset", "t").orderBy(*order))).where("k <= frame_cap")
-    rows = rows.join(caps, "dataset").withColumn("k", F.row_number().over(W.partitionBy("dataset").orderBy(*order))).where("k <= cap")
+    rows = top_within(top_within(taken, ends.withColumnRenamed("frame_cap", "cap"), ["dataset", "t"], order), caps, ["dataset"], order)
     between = [(F.col(f"a_{c}") + (F.col(f"b_{c}") - F.col(f"a_{c}")) * k / 3).alias(f"m{k}_{c}") for k in (1, 2) for c in AXES]
     return rows.select("dataset", "t", "a_id", "b_id", *between)
 
