@@ -6,6 +6,10 @@ import dataclasses
 import json
 
 
+#: Settings that may be off, and the word for that.
+NONE_WORDS = {"add_threshold": "none", "delete_threshold": "none", "cap_scale": "exempt"}
+
+
 @dataclasses.dataclass(frozen=True)
 class Settings:
     max_link_um: float = 14.0
@@ -20,10 +24,15 @@ class Settings:
     division_link_part: float = 0.00375
     smoothing_weight: float = 0.8
     consensus_um: float = 1.625
+    add_threshold: float | None = 0.3
+    delete_threshold: float | None = 0.01
+    cap_scale: float | None = None
 
     def __post_init__(self):
         for f in dataclasses.fields(self):
             value = getattr(self, f.name)
+            if value is None and f.name in NONE_WORDS:
+                continue
             if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or value < 0:
                 raise ValueError(f"{f.name} must be a number of at least 0, not {value!r}")
         if self.smoothing_weight > 1:
@@ -35,12 +44,12 @@ class Settings:
         kinds = {f.name: type(f.default) for f in dataclasses.fields(cls)}
         if unknown := set(values) - set(kinds):
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-        return cls(**{k: kinds[k](v) for k, v in values.items()})
+        return cls(**{k: None if v.strip().lower() == NONE_WORDS.get(k) else (float if k in NONE_WORDS else kinds[k])(v) for k, v in values.items()})
 
     def differs(self, expected: Settings) -> dict[str, tuple[float, float]]:
         """Settings that are not the expected ones: name to both values."""
         pairs = {f.name: (getattr(self, f.name), getattr(expected, f.name)) for f in dataclasses.fields(self)}
-        return {k: v for k, v in pairs.items() if abs(v[0] - v[1]) > 1e-12}
+        return {k: v for k, v in pairs.items() if (None in v and v[0] is not v[1]) or (None not in v and abs(v[0] - v[1]) > 1e-12)}
 
     def manifest(self, **more) -> str:
         return json.dumps(dataclasses.asdict(self) | more, sort_keys=True, indent=1)

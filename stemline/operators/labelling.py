@@ -107,13 +107,15 @@ def _evidence(cands: DataFrame, base: DataFrame, match: DataFrame, comp: DataFra
     return across, near
 
 
-def label_forks(cands: DataFrame, base: DataFrame, truth: DataFrame, match: DataFrame, scratch: Scratch) -> DataFrame:
-    """(fork_id, label, reason, divider_id) of cands(fork_id, p_id, d1_id, d2_id), each taken as added alone to the forest base.
+def label_forks(cands: DataFrame, base: DataFrame, truth: DataFrame, match: DataFrame, scratch: Scratch, times: DataFrame, true_times: DataFrame) -> DataFrame:
+    """(fork_id, label, fp_reason, gt_divider_id, timing_vs_gt, gt_p_id, gt_p_outdeg) of cands(fork_id, p_id, d1_id, d2_id), each taken as added alone to the forest base.
 
     In this order: fp malformed, if a daughter has another parent or is the other daughter; tp, if it fits a true division
-    near the parent that no other fork holds, within one true tree; fp cross, if the branches lie in two true trees; fp
-    near_division, if the parent is at a division that it does not fit; fp continuing, if the parent is matched to a node
-    that goes on; else ignored. divider_id: the least division that it fits or is near. Rows with a null id get no label.
+    near the parent that no other fork holds, within one true tree; fp cross_gt_tracks, if the branches lie in two true trees; fp
+    near_gt_division, if the parent is at a division that it does not fit; fp annotated_continuing, if the parent is matched to a node
+    that goes on; else ignored. gt_divider_id: the least division that it fits or is near, timing_vs_gt the
+    frames from it to the parent; gt_p_id and gt_p_outdeg: the true node of the parent and its children; -1 without one.
+    Rows with a null id get no label. times, true_times (node_id, t): of the predicted and the true nodes.
     """
     keep = scratch.keep
     cands = keep(cands.select("fork_id", "p_id", "d1_id", "d2_id").dropna().distinct(), "cands")
@@ -133,8 +135,15 @@ def label_forks(cands: DataFrame, base: DataFrame, truth: DataFrame, match: Data
     rows = cands.join(malformed, "fork_id", "left").join(across, "fork_id", "left").join(near, "fork_id", "left").join(goes_on, "p_id", "left")
     fits = F.col("fits").isNotNull() & F.col("crosses").isNull()
     reason = (
-        F.when(F.col("malformed"), "malformed").when(fits, "").when(F.col("crosses"), "cross").when(F.col("near").isNotNull(), "near_division").when(F.col("goes_on"), "continuing").otherwise("")
+        F.when(F.col("malformed"), "malformed").when(fits, "").when(F.col("crosses"), "cross_gt_tracks").when(F.col("near").isNotNull(), "near_gt_division").when(F.col("goes_on"), "annotated_continuing").otherwise("")
     )
     label = F.when(F.col("malformed").isNull() & fits, "tp").when(reason != "", "fp").otherwise("ignored")
-    divider = F.when(label == "tp", F.col("fits")).when(reason == "near_division", F.col("near"))
-    return rows.select("fork_id", label.alias("label"), reason.alias("reason"), divider.alias("divider_id"))
+    divider = F.when(label == "tp", F.col("fits")).when(reason == "near_gt_division", F.col("near"))
+    rows = rows.select("fork_id", "p_id", label.alias("label"), reason.alias("fp_reason"), divider.alias("gt_divider_id"))
+    true_p = match.select(F.col("pred_id").alias("p_id"), F.col("true_id").alias("gt_p_id"))
+    degree = truth.groupBy(F.col("source_id").alias("gt_p_id")).agg(F.countDistinct("target_id").cast("int").alias("gt_p_outdeg"))
+    rows = rows.join(true_p, "p_id", "left").join(degree, "gt_p_id", "left")
+    rows = rows.join(times.select(F.col("node_id").alias("p_id"), F.col("t").alias("p_t")), "p_id", "left").join(true_times.select(F.col("node_id").alias("gt_divider_id"), F.col("t").alias("g_t")), "gt_divider_id", "left")
+    outdeg = F.when(F.col("gt_p_id").isNull(), -1).otherwise(F.coalesce("gt_p_outdeg", F.lit(0))).alias("gt_p_outdeg")
+    minus = lambda c: F.coalesce(c, F.lit(-1).cast("long")).alias(c)
+    return rows.select("fork_id", "label", "fp_reason", minus("gt_divider_id"), (F.col("p_t") - F.col("g_t")).cast("int").alias("timing_vs_gt"), minus("gt_p_id"), outdeg)

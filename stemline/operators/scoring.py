@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -221,3 +221,36 @@ def report_summary(report: DataFrame, pred_names: DataFrame, true_names: DataFra
     skipped = true_names.select("dataset").distinct().join(pred_names.select("dataset").distinct(), "dataset", "left_anti")
     skipped = skipped.agg(F.count("*").alias("n_skipped"), F.coalesce(F.array_join(F.sort_array(F.collect_list("dataset")), ","), F.lit("")).alias("skipped"))
     return whole.crossJoin(worst).crossJoin(skipped).select("score", "worst_embryo", "worst_score", "n_datasets", "n_skipped", "skipped")  # one row each
+
+
+def sweep_gates(links: DataFrame, truth: DataFrame, gates: dict[str, Column]) -> DataFrame:
+    """(gate, tp, fp, fn, score) of the forest of the links that pass each gate; all gates in one pass, as a further key.
+
+    links as lineage.links gives them; truth(source_id, target_id), each pair once. The score is the Jaccard index of links.
+    """
+    passed = F.explode(F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in gates.items()]))).alias("gate")
+    rows = links.select(passed, "source_id", "target_id", F.coalesce("edge_prob", F.lit(0.0)).alias("prob"), "um", "edge_id")
+    best = rows.groupBy("gate", "target_id").agg(F.min(F.struct((-F.col("prob")).alias("a"), "um", "edge_id", "source_id")).alias("b")).select("gate", "target_id", "b.*")
+    rank = F.row_number().over(W.partitionBy("gate", "source_id").orderBy("a", "um", "edge_id"))
+    forest = best.withColumn("k", rank).where("k <= 2").select("gate", "source_id", "target_id")
+    pairs = truth.select("source_id", "target_id", F.lit(True).alias("hit")).distinct()
+    marked = forest.join(pairs, ["source_id", "target_id"], "left")
+    for key in ("source_id", "target_id"):
+        marked = marked.join(truth.select(key, F.lit(True).alias(f"near_{key}")).distinct(), key, "left")
+    near = F.col("hit").isNull() & (F.col("near_source_id") | F.col("near_target_id"))
+    sums = marked.groupBy("gate").agg(F.count("hit").alias("tp"), F.sum(F.when(near, 1).otherwise(0)).alias("fp"))
+    names = links.sparkSession.createDataFrame([(g,) for g in gates], "gate string")
+    rows = names.join(sums, "gate", "left").fillna(0, ["tp", "fp"]).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("all"))))  # one row
+    rows = rows.withColumn("fn", F.col("all") - F.col("tp"))
+    total = F.col("tp") + F.col("fp") + F.col("fn")
+    return rows.select("gate", "tp", "fp", "fn", F.round(F.col("tp") / F.when(total > 0, total), 6).alias("score"))
+
+
+def sweep_with_combination(links: DataFrame, truth: DataFrame, gates: dict[str, Column], base: str, margin: float = 0.0005) -> DataFrame:
+    """The sweep with each gate's gain over the base one, whether it is above the margin, and a row of all such gates combined."""
+    rows = sweep_gates(links, truth, gates)
+    scores = {r.gate: r.score for r in rows.select("gate", "score").collect()}  # one row for each gate
+    picked = [g for g, v in scores.items() if g != base and v is not None and scores[base] is not None and v - scores[base] > margin]
+    combined = sweep_gates(links, truth, {"combined": reduce(lambda a, b: a & b, [gates[g] for g in picked], gates[base])})
+    gain = F.round(F.col("score") - F.lit(scores[base]), 6)
+    return rows.unionByName(combined).select("*", gain.alias("gain"), F.col("gate").isin(picked).alias("picked"))

@@ -23,7 +23,7 @@ def query(f):
     return f
 
 
-def _peaks(spark, d, n: DataFrame, l: DataFrame) -> tuple[DataFrame, DataFrame]:
+def division_peaks(spark, d, n: DataFrame, l: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Detections of the forest, and the others as peaks, scored by the best probability of a link that names them."""
     tracked = ln.prune_isolated(n, l)
     best = ln.deliveries(edges(spark, d)).where("edge_prob is not null").select(F.explode(F.array("source_id", "target_id")).alias("node_id"), clean_probability(F.col("edge_prob")).alias("p"))
@@ -33,7 +33,7 @@ def _peaks(spark, d, n: DataFrame, l: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _base(spark, d):
     n, l = kept(spark, det(spark, d), pre_forest(spark, d))
-    tracked, peaks = kept(spark, *_peaks(spark, d, n, l))
+    tracked, peaks = kept(spark, *division_peaks(spark, d, n, l))
     (safe,) = kept(spark, edits.capped_safe_divisions(tracked, l, least_gain=GAIN))
     return tracked, l, peaks, safe
 
@@ -251,4 +251,4 @@ def probability_percentiles(spark, d):
 
 SQL["probability_percentiles"] = BASE + """, p as (select dataset, case when isnan(edge_prob) then 0 when edge_prob < 0 or edge_prob > 1 then 1 / (1 + exp(-greatest(-20, least(20, edge_prob)))) else edge_prob end p
  from e join n on node_id = source_id where edge_prob is not null)
-select dataset, round(quantile_cont(p, 0.01), 5) p1, round(quantile_cont(p, 0.2), 5) p20, round(quantile_cont(p, 0.5), 5) p50, round(quantile_cont(p, 0.995), 5) p99_5, round(quantile_cont(p, 0.999), 5) p99_9 from p group by 1"""
+select dataset, round(quantile_cont(p, 0.01), 9) p1, round(quantile_cont(p, 0.2), 9) p20, round(quantile_cont(p, 0.5), 9) p50, round(quantile_cont(p, 0.995), 9) p99_5, round(quantile_cont(p, 0.999), 9) p99_9 from p group by 1"""

@@ -77,6 +77,16 @@ BASE = f"with {N},\n {E_},\n {L},\n {BP},\n {FO}\n"
 PRE = BASE.replace("where um <= 14.0", "where um <= 14.0 and motion_pass is distinct from 'division'")
 
 
+def _greedy(src: str, cost: str, a: str = "a_id", b: str = "b_id") -> str:
+    """Tables rk and gl: what a greedy choice in each frame takes, pair by pair in the order of the cost."""
+    busy = f"list_contains(ps, {a}) or list_contains(ds, {b})"
+    return f"""rk as (select *, row_number() over (partition by dataset, t order by {cost}, {a}, {b}) k from {src}),
+gr as (with recursive g as (select distinct dataset, t, 0 k, []::bigint[] ps, []::bigint[] ds from rk
+ union all select g.dataset, g.t, g.k + 1, case when {busy} then ps else list_append(ps, {a}) end, case when {busy} then ds else list_append(ds, {b}) end
+ from g join rk on rk.dataset = g.dataset and rk.t = g.t and rk.k = g.k + 1) select * from g),
+gl as (select dataset, t, unnest(ps) {a}, unnest(ds) {b} from (select * from gr qualify row_number() over (partition by dataset, t order by k desc) = 1))"""
+
+
 # ---- relational ------------------------------------------------------------------------------------------------
 
 
@@ -377,6 +387,9 @@ select dataset, coalesce(bool_and(c.t is null or (c.t = f.t and abs(f.z - c.z) <
 from f left join c using (dataset, node_id) group by 1"""
 
 
+SQL["greedy_links"] = f"with {N}, {PAIRS(10.0, 1)}, {_greedy('pairs', 'um')} select gl.dataset, gl.t, a_id, b_id, um from gl join pairs using (a_id, b_id)"
+
+
 # ---- transitions ---------------------------------------------------------------------------------------------------
 
 
@@ -508,6 +521,22 @@ def chosen_forks(spark, d):
     return dv.choose_forks(cands, 0.5, safe=safe)
 
 
+_NEAR = "((a.z - {p}.p_z) * 1.625) ** 2 + ((a.y - {p}.p_y) * 0.40625) ** 2 + ((a.x - {p}.p_x) * 0.40625) ** 2 <= 100"
+SQL["chosen_forks"] = BASE + f""", fk as (select distinct fork_id, p_id, d1_id, d2_id, shape, mirror_um, score from forks), sl as (select distinct source_id p_id, target_id d2_id from e where safe_division = 1),
+fp as (select fk.*, n.dataset, n.t, n.z p_z, n.y p_y, n.x p_x, (fk.p_id, fk.d2_id) in (select (p_id, d2_id) from sl) safe from fk join n on n.node_id = fk.p_id),
+sf as (select * from fp where safe),
+pl as (select distinct dataset, t, p_id, d2_id, coalesce(mirror_um, 'nan'::double) m, score s, p_z, p_y, p_x from fp where not coalesce(safe, false) and shape = 'a' and d2_id >= 0 and score >= 0.5 and not isnan(score)
+ and p_id not in (select p_id from sf) and d2_id not in (select d2_id from sf)
+ and not exists (select 1 from (select dataset, t, p_z z, p_y y, p_x x from sf) a where a.dataset = fp.dataset and abs(a.t - fp.t) <= 1 and {_NEAR.format(p="fp")})),
+pa as (select dataset, t, p_id, p_z, p_y, p_x, max(s) s, list(d2_id order by m, d2_id) ds from pl group by all),
+pk as (select *, row_number() over (partition by dataset order by s desc, p_id) k from pa),
+st as (with recursive g as (select distinct dataset, 0 k, []::struct(t int, z double, y double, x double)[] near, []::bigint[] used, null::bigint p_id, null::bigint d2_id, null::double score, null::int t from pk
+ union all select dataset, k, case when pick is null then near else list_append(near, struct_pack(t := t, z := p_z, y := p_y, x := p_x)) end, case when pick is null then used else list_append(used, pick) end, p_id, pick, s, t
+ from (select g.dataset, pk.k, near, used, pk.p_id, pk.t, p_z, p_y, p_x, s, case when len(list_filter(near, lambda a: abs(a.t - pk.t) <= 1 and {_NEAR.format(p="pk")})) = 0 then list_filter(ds, lambda v: not list_contains(used, v))[1] end pick
+  from g join pk on pk.dataset = g.dataset and pk.k = g.k + 1)) select * from g)
+select dataset, t, p_id, d2_id, score from st where d2_id is not null"""
+
+
 @query
 def fork_choice_probability(spark, d):
     """Each fork candidate's probability among those for the same daughter, none being a choice too."""
@@ -575,22 +604,31 @@ def _steps(p: str) -> str:
  sqrt(({p}z - sz) ** 2 + ({p}y - sy) ** 2 + ({p}x - sx) ** 2) {p}off"""
 
 
-SQL["gap2_candidates"] = BASE + f""", en as (select * from n where node_id not in (select source_id from fo) and node_id in (select target_id from fo)),
+G2 = f""", en as (select * from n where node_id not in (select source_id from fo) and node_id in (select target_id from fo)),
 sta as (select * from n where node_id in (select source_id from fo) and node_id not in (select target_id from fo)),
-g0 as (select a.node_id a_id, b.node_id b_id, {_um("a", "b")} um, (b.z - a.z) * 1.625 / 3 sz, (b.y - a.y) * 0.40625 / 3 sy, (b.x - a.x) * 0.40625 / 3 sx,
+g0 as (select a.dataset, a.t, a.z az, a.y ay, a.x ax, b.z bz, b.y by_, b.x bx, a.node_id a_id, b.node_id b_id, {_um("a", "b")} um, (b.z - a.z) * 1.625 / 3 sz, (b.y - a.y) * 0.40625 / 3 sy, (b.x - a.x) * 0.40625 / 3 sx,
  (a.z - p.z) * 1.625 lz, (a.y - p.y) * 0.40625 ly, (a.x - p.x) * 0.40625 lx, (q.z - b.z) * 1.625 nz, (q.y - b.y) * 0.40625 ny, (q.x - b.x) * 0.40625 nx
  from en a join sta b on a.dataset = b.dataset and b.t = a.t + 3 left join (select target_id, min(source_id) s from fo group by 1) f on f.target_id = a.node_id left join n p on p.node_id = f.s
  left join (select source_id, min(target_id) g from fo group by 1) h on h.source_id = b.node_id left join n q on q.node_id = h.g where {_um("a", "b")} <= 10.2 and {_um("a", "b")} / 3 <= 4.4),
 g1 as (select *, sqrt(sz * sz + sy * sy + sx * sx) sn, sqrt(lz * lz + ly * ly + lx * lx) ln, sqrt(nz * nz + ny * ny + nx * nx) nn from g0),
-g2 as (select *, {_steps("l")}, {_steps("n")} from g1)
-select a_id, b_id, round(um, 6) um, round(um + 2 * (coalesce(greatest(0.0, 0.25 - lcos), 0) + coalesce(greatest(0.0, 0.25 - ncos), 0)), 6) as cost from g2
-where coalesce(lstill or (lcos > -0.25 and loff <= 6), false) or coalesce(nstill or (ncos > -0.25 and noff <= 6), false)"""
+g2 as (select *, {_steps("l")}, {_steps("n")} from g1),
+g3 as (select *, um + 2 * (coalesce(greatest(0.0, 0.25 - lcos), 0) + coalesce(greatest(0.0, 0.25 - ncos), 0)) as cost from g2
+where coalesce(lstill or (lcos > -0.25 and loff <= 6), false) or coalesce(nstill or (ncos > -0.25 and noff <= 6), false))"""
+SQL["gap2_candidates"] = BASE + G2 + " select a_id, b_id, round(um, 6) um, round(cost, 6) as cost from g3"
 
 
 @query
 def gap2_recovered(spark, d):
     n, l = kept(spark, det(spark, d), forest(spark, d))
-    return repair.recover_two_frame_gaps(n, l)
+    rows = repair.recover_two_frame_gaps(n, l)
+    return rows.select("dataset", "t", "a_id", "b_id", *[F.round(f"m{k}_{c}", 6).alias(f"m{k}_{c}") for k in (1, 2) for c in AXES])
+
+
+SQL["gap2_recovered"] = BASE + G2 + f""", {_greedy("g3", "cost")}, fcap as (select dataset, t, greatest(1, round_even(count(*) * 0.006::double, 0)) cap from en group by all),
+dcap as (select dataset, least(180, greatest(1, round_even(count(*) * 0.0045::double, 0))) cap from fo group by 1),
+k1 as (select * from (select g3.*, row_number() over (partition by g3.dataset, g3.t order by cost, a_id, b_id) k from g3 join gl using (a_id, b_id)) join fcap using (dataset, t) where k <= cap),
+k2 as (select * from (select k1.* exclude (cap), row_number() over (partition by dataset order by cost, a_id, b_id) j from k1) join dcap using (dataset) where j <= cap)
+select dataset, t, a_id, b_id, """ + ", ".join(f"round({a} + ({b} - {a}) * {k} / 3, 6) m{k}_{c}" for k in (1, 2) for c, a, b in (("z", "az", "bz"), ("y", "ay", "by_"), ("x", "ax", "bx"))) + " from k2"
 
 
 @query
@@ -645,6 +683,10 @@ def applied_forks(spark, d):
     return repair.apply_forks(before, adds.select("dataset", "t", "p_id", "d2_id"), adds.limit(0).select("p_id", "d2_id"))
 
 
+SQL["applied_forks"] = PRE + f""", {CA}, {SD}, a1 as (select * from sd qualify row_number() over (partition by d2_id order by score, p_id) = 1), a2 as (select * from a1 qualify row_number() over (partition by p_id order by score, d2_id) = 1)
+select dataset, t, source_id, target_id, 0 safe_division from fo union all select dataset, t, p_id, d2_id, 1 from a2"""
+
+
 def _probabilities(spark, d):
     """(source_id, target_id, prob): the learned probability of each link that has one."""
     return ln.deliveries(edges(spark, d)).where("edge_prob is not null").groupBy("source_id", "target_id").agg(F.max(clean_probability(F.col("edge_prob"))).alias("prob"))

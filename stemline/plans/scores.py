@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stemline.functions.geometry import AXES
+from stemline.functions.geometry import AXES, clean_probability
 from stemline.operators import divisions as dv
+from stemline.operators import edits as dedits
 from stemline.operators import labelling, learning, matching, scoring, spatial
 from stemline.operators import lineage as ln
-from stemline.plans.lineage import BASE, MOVIE, N, TREE, det, forest, fork_pools, forks, kept, links, movie_name
+from stemline.plans.divisions import division_peaks
+from stemline.plans.lineage import BASE, MOVIE, N, TREE, det, edges, forest, fork_pools, forks, kept, links, movie_name, pre_forest
 from stemline.sources.tables import table
 from stemline.store import Scratch
 
@@ -161,7 +163,7 @@ def labelled_forks(spark, d):
     rows = forks(spark, d).where("shape = 'a'").select("fork_id", "p_id", "d1_id", "d2_id")
     for c in ("p_id", "d1_id", "d2_id"):
         rows = rows.join(n.select(F.col("node_id").alias(c)), c, "left_semi")
-    return labelling.label_forks(rows, pred, truth, _by_id(pn, tn), Scratch(spark, "labels"))
+    return labelling.label_forks(rows, pred, truth, _by_id(pn, tn), Scratch(spark, "labels"), n, n)
 
 
 def _evidence_sql(p, c):
@@ -183,9 +185,11 @@ od as (select source_id f, source_id p, min(target_id) x0, max(target_id) x1 fro
 mf as (select f from fr join fo on target_id in (x0, x1) where source_id <> p union select f from fr where x0 = x1),
 ft as (select f, min(g) fits from c_v join fr using (f) where not exists (select 1 from hl where hl.g = c_v.g and hl.f <> p) group by 1), nr as (select f, min(g) near from c_n group by 1),
 j as (select fr.f, f in (from mf) bad, f in (from c_x) crosses, fits, near, p in (from mt) and p in (select source_id from tr) goes from fr left join ft using (f) left join nr using (f)),
-z as (select *, case when bad then 'malformed' when fits is not null and not crosses then '' when crosses then 'cross' when near is not null then 'near_division' when goes then 'continuing' else '' end reason from j)
-select f fork_id, case when reason <> '' then 'fp' when fits is not null and not crosses then 'tp' else 'ignored' end as label, reason,
- case when reason = 'near_division' then near when reason = '' and fits is not null and not crosses then fits end divider_id from z"""
+z as (select *, case when bad then 'malformed' when fits is not null and not crosses then '' when crosses then 'cross_gt_tracks' when near is not null then 'near_gt_division' when goes then 'annotated_continuing' else '' end fp_reason from j),
+y as (select z.*, p, case when fp_reason = 'near_gt_division' then near when fp_reason = '' and fits is not null and not crosses then fits end g from z join fr using (f))
+select f fork_id, case when fp_reason <> '' then 'fp' when fits is not null and not crosses then 'tp' else 'ignored' end as label, fp_reason, coalesce(g, -1) gt_divider_id, a.t - b.t timing_vs_gt,
+ case when p in (from mt) then p else -1 end gt_p_id, case when p in (from mt) then coalesce(k, 0) else -1 end::int gt_p_outdeg
+ from y left join n a on a.node_id = p left join n b on b.node_id = g left join (select source_id, count(distinct target_id) k from tr group by 1) on source_id = p"""
 
 
 # ---- thresholds ----------------------------------------------------------------------------------------------------
@@ -271,17 +275,81 @@ select (select count(*) from a where label = 'tp') n_tp, (select count(*) from a
  """ + ", ".join(f"(select round(max(tp / (tp + fp)), 6) from cu where tp >= {r}::double * pos) p_at_r{round(100 * r)}" for r in scoring.RECALLS)
 
 
+#: Gates of links that are tried: a name, and a condition that both engines read.
+GATES = {"base": "true", "um_8": "um <= 8", "um_11": "um <= 11", "prob_0.3": "coalesce(edge_prob, 0) >= 0.3", "prob_0.6": "coalesce(edge_prob, 0) >= 0.6", "not_relaxed": "coalesce(motion_pass, '') <> 'relaxed'", "not_closed": "coalesce(gap_closed, 0) = 0"}
+
+
+@query
+def parameter_sweep(spark, d):
+    """What each gate of links does to the score, and all that help together."""
+    (l,) = kept(spark, links(spark, d))
+    _, _, truth, _, _ = _graphs(spark, d)
+    return scoring.sweep_with_combination(l, truth, {k: F.coalesce(F.expr(v), F.lit(False)) for k, v in GATES.items()}, "base")
+
+
+def _gate_sql(name: str, source: str, ok: str) -> str:
+    return f"""select '{name}' gate, source_id, target_id from (select * from {source} where {ok} qualify row_number() over (partition by target_id order by coalesce(edge_prob, 0) desc, um, edge_id) = 1)
+ qualify row_number() over (partition by source_id order by coalesce(edge_prob, 0) desc, um, edge_id) <= 2"""
+
+
+def _gate_scores(name: str, source: str) -> str:
+    return f"""{name} as (select gate, tp, fp, fn, round(tp / nullif(tp + fp + fn, 0), 6) score from (select gate, count(*) filter (hit) tp, count(*) filter (not hit and near) fp, (select count(*) from tr) - count(*) filter (hit) fn
+ from (select gate, (source_id, target_id) in (select (source_id, target_id) from tr) hit, source_id in (select source_id from tr) or target_id in (select target_id from tr) near from {source}) group by 1))"""
+
+
+_WHOLE = " and ".join(f"((select score from s1 where gate = '{k}') - (select score from s1 where gate = 'base') <= 0.0005 or coalesce({v}, false))" for k, v in GATES.items() if k != "base")
+SQL["parameter_sweep"] = BASE + f""", {GR}, gf as ({" union all ".join(_gate_sql(k, "l", f"coalesce({v}, false)") for k, v in GATES.items())}), {_gate_scores("s1", "gf")},
+lc as (select * from l where {_WHOLE}), cb as ({_gate_sql("combined", "lc", "true")}), {_gate_scores("s2", "cb")}
+select *, round(score - (select score from s1 where gate = 'base'), 6) gain, gate not in ('base', 'combined') and score - (select score from s1 where gate = 'base') > 0.0005 picked from (from s1 union all from s2)"""
+
+
 # ---- learning ------------------------------------------------------------------------------------------------------
 
 
+#: Features of a fork candidate that come without images.
+FEATURES = ["p_d1_um", "p_d2_um", "sister_um", "len_ratio", "angle_deg", "mirror_um", "mirror_rank", "t2_sister_um", "t2_gain_um", "p_back_len", "d1_fwd_len", "d2_fwd_len", "prob_p_d1", "prob_p_d2",
+            "prob_p_d1_observed", "prob_p_d2_observed", "low_score_d2", "d2_is_readmitted", "nearby_10um", "broken_track_d2_um"]
+
+
+def _featured(spark, d):
+    """Fork candidates of both shapes with all features, their movie's fold, and for shape a what they would score."""
+    n, _, truth, _, tn = _graphs(spark, d)
+    (before,) = kept(spark, pre_forest(spark, d))
+    tracked, peaks = kept(spark, *division_peaks(spark, d, n, before))
+    probs = ln.deliveries(edges(spark, d)).where("edge_prob is not null").select("source_id", "target_id", clean_probability(F.col("edge_prob")).alias("prob"))
+    cands = dedits.with_surroundings(dedits.with_probabilities(dedits.enumerate_forks(tracked, before, None, peaks), probs), tracked, before)
+    again = n.where("readmitted = 1").select(F.col("node_id").alias("d2_id"), F.lit(1.0).alias("d2_is_readmitted")).distinct()
+    cands = cands.join(again, "d2_id", "left").fillna(0.0, ["d2_is_readmitted"]).withColumn("t2_sister_um", F.col("t2_gain_um") + F.col("sister_um"))
+    cands = cands.join(learning.folds(n).select("dataset", "embryo", "fold"), "dataset").withColumn("fork_id", F.xxhash64("p_id", "d2_id"))
+    (cands,) = kept(spark, cands.select("fork_id", "dataset", "embryo", "fold", "shape", "p_id", "d1_id", "d2_id", *[F.col(c).cast("double").alias(c) for c in FEATURES]))
+    match = _by_id(tracked, tn)
+    labels = labelling.label_forks(cands.where("shape = 'a'").select("fork_id", "p_id", "d1_id", "d2_id"), before.select("edge_id", "dataset", "source_id", "target_id"), truth, match, Scratch(spark, "labels"), n, n)
+    label = F.when(F.col("label") == "tp", 1).when(F.col("label") == "fp", 0)
+    return kept(spark, cands.join(labels.select("fork_id", label.alias("is_tp")), "fork_id", "left"))[0]
+
+
 @query
 def fork_classifier(spark, d):
-    """Forks scored by a logistic model of angle and mirror distance that is fitted to all labelled ones."""
-    rows = forks(spark, d).select("fork_id", "label", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("angle_deg", "mirror_um")])
-    (rows,) = kept(spark, rows)
-    train = rows.where("label in ('tp', 'fp')").withColumn("is_tp", (F.col("label") == "tp").cast("int"))
-    model = learning.fork_classifier(train, ["angle_deg", "mirror_um"])
-    return learning.probability(model, rows.select("fork_id", "angle_deg", "mirror_um")).select("fork_id", F.round("prob", 6).alias("prob"))
+    """The probability of each fork candidate by a classifier of 20 features, fitted to other movies than its own."""
+    rows = learning.out_of_fold(_featured(spark, d), FEATURES)
+    return rows.select("dataset", "p_id", "d2_id", "is_tp", F.round("prob", 6).alias("prob"))
+
+
+@query
+def classifier_report(spark, d):
+    """How the classifier ranks candidates of movies that it was not fitted to."""
+    (rows,) = kept(spark, fork_classifier(spark, d))
+    return scoring.ranking_quality(rows.select(F.when(F.col("is_tp") == 1, "tp").when(F.col("is_tp") == 0, "fp").alias("label"), F.col("prob").alias("score")))
+
+
+@query
+def fitted_choice(spark, d):
+    """The probability of each delivered fork among those of its daughter, by a conditional logit that is fitted to their labels."""
+    (rows,) = kept(spark, forks(spark, d).where("d2_id is not null and dataset is not null"))
+    features = ["angle_deg", "mirror_um", "score"]
+    train = rows.where("label in ('tp', 'fp')").withColumn("chosen", (F.col("label") == "tp").cast("int"))
+    model = learning.fit_choice(train, features)
+    return dv.conditional_logit(rows, learning.utility(model)).select("fork_id", F.round("prob", 6).alias("prob"))
 
 
 @query
@@ -319,13 +387,43 @@ m as (select distinct dataset, split_part(dataset, '_', 1) embryo, case when dat
 select * from m qualify row_number() over (partition by embryo order by divides desc, dataset) <= 4"""
 
 
+def _head_rows(spark, d):
+    """Feature vectors with a target offset: from the vector to the mean of its label, along the first three axes, in twentieths, and a fold."""
+    rows = table(spark, d, "embeddings").where("embedding is not null and label is not null").select("vec_id", "label", "embedding", (F.pmod(F.xxhash64("vec_id"), F.lit(5))).cast("int").alias("fold"))
+    part = lambda k: F.element_at("embedding", k + 1).cast("double")
+    means = rows.groupBy("label").agg(*[F.avg(part(k)).alias(f"m{c}") for k, c in enumerate(AXES)])  # one row for each label
+    return rows.join(means, "label").select("vec_id", "fold", "embedding", *[((F.col(f"m{c}") - part(k)) * 20).alias(f"t{c}") for k, c in enumerate(AXES)])
+
+
+def _fitted_head(sample):
+    x, y = np.stack(sample.embedding.to_numpy()).astype(float), sample[[f"t{c}" for c in AXES]].to_numpy()
+    start = learning.start_head(x.shape[1])
+    return start, learning.fit_head(x, y, start, keep=0.03, rate=3e-3)
+
+
 @query
 def bounded_offsets(spark, d):
-    """A bounded correction from each feature vector, by a head with fixed weights."""
-    rng = np.random.default_rng(0)
-    hidden, out = rng.normal(size=(65, 32)) / 8, rng.normal(size=(33, 3)) / 6
-    rows = learning.bounded_offset(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", hidden, out)
-    return rows.select("vec_id", *[F.round(f"d{c}", 6).alias(f"d{c}") for c in AXES])
+    """A bounded correction from each feature vector, by a head that is fitted to the other folds."""
+    (rows,) = kept(spark, _head_rows(spark, d))
+    out = None
+    for f in range(5):
+        _, head = _fitted_head(learning.labelled_sample(rows.where(F.col("fold") != f), ["embedding", *[f"t{c}" for c in AXES]], "vec_id"))
+        part = learning.bounded_offset(rows.where(F.col("fold") == f), "embedding", *head).select("vec_id", "fold", *[F.round(f"d{c}", 5).alias(f"d{c}") for c in AXES])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def head_evaluation(spark, d):
+    """The mean error of fitted offsets on vectors of other folds, relative to the head before fitting (below 0: better)."""
+    (rows,) = kept(spark, _head_rows(spark, d))
+    start = learning.start_head(len(rows.select("embedding").first()[0])) if rows.limit(1).count() else learning.start_head(1)
+    (fitted,) = kept(spark, bounded_offsets(spark, d))
+    before = learning.bounded_offset(rows, "embedding", *start).withColumnsRenamed({f"d{c}": f"s{c}" for c in AXES})
+    both = before.join(fitted.drop("fold"), "vec_id")
+    error = lambda p: F.sqrt(sum(((F.col(f"{p}{c}") - F.col(f"t{c}")) * (F.col(f"{p}{c}") - F.col(f"t{c}")) for c in AXES), F.lit(0.0)))
+    g = both.groupBy("fold").agg(F.count("*").alias("n"), F.avg(error("d")).alias("fitted"), F.avg(error("s")).alias("start"))
+    return g.select("fold", "n", F.round("fitted", 6).alias("error_um"), F.round(F.col("fitted") / F.col("start") - 1, 6).alias("relative"))
 
 
 # ---- run statistics ------------------------------------------------------------------------------------------------

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemline.store import Scratch
+
 ARRAYS = {"nodes/ids": "node_id", "nodes/props/t/values": "t", "nodes/props/z/values": "z", "nodes/props/y/values": "y", "nodes/props/x/values": "x"}
 SCHEMA = "dataset string, kind string, node_id long, t int, z double, y double, x double, source_id long, target_id long, estimate double"
 
@@ -83,7 +85,7 @@ def read_geff(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     """(nodes, edges, meta) of all stores in a folder: (dataset, node_id, t, z, y, x), (dataset, source_id, target_id), (dataset, estimate)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     named = files.select(F.regexp_extract("path", r"/([^/]+)\.geff/", 1).alias("dataset"), F.regexp_extract("path", r"\.geff/(.*)$", 1).alias("name"), "content").where("dataset <> ''")
-    rows = named.groupBy("dataset").applyInPandas(_rows, SCHEMA)
+    rows = Scratch(spark, "geff").keep(named.groupBy("dataset").applyInPandas(_rows, SCHEMA), "decoded")  # once for all three
     return (
         rows.where("kind = 'node'").select("dataset", "node_id", "t", "z", "y", "x"),
         rows.where("kind = 'edge'").select("dataset", "source_id", "target_id"),

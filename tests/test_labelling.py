@@ -21,24 +21,30 @@ SAME = [(i, i) for i in (1, 2, 3, 4, 5, 6, 11, 12, 13)]
 
 def _labels(spark, cands, base, match=SAME):
     rows = spark.createDataFrame(cands, "fork_id long, p_id long, d1_id long, d2_id long")
-    out = label_forks(rows, _links(spark, base), _links(spark, TRUTH), _match(spark, match), Scratch(spark, "test"))
-    return {r.fork_id: (r.label, r.reason, r.divider_id) for r in out.collect()}
+    times = spark.createDataFrame([(i, 2 * i) for i in range(200)], "node_id long, t int")
+    out = label_forks(rows, _links(spark, base), _links(spark, TRUTH), _match(spark, match), Scratch(spark, "test"), times, times).collect()
+    there = dict(match)
+    for r in out:  # the columns beside the label
+        p = next(c[1] for c in cands if c[0] == r.fork_id)
+        assert r.gt_p_id == there.get(p, -1) and r.timing_vs_gt in (None, 2 * (p - r.gt_divider_id))
+        assert (r.gt_p_outdeg == -1) == (r.gt_p_id == -1) and (r.timing_vs_gt is None) == (r.gt_divider_id == -1)
+    return {r.fork_id: (r.label, r.fp_reason, None if r.gt_divider_id == -1 else r.gt_divider_id) for r in out}
 
 
 def test_labels(spark):
     base = [(1, 2), (2, 3), (3, 5), (4, 6), (11, 12), (12, 13), (50, 51)]
     got = _labels(spark, [(1, 2, 3, 4), (2, 2, 3, 13), (3, 11, 12, 60), (4, 50, 51, 60), (5, 2, 3, 6), (6, 2, 3, 60), (7, None, 3, 4), (8, 2, 3, 3), (9, 12, 13, 60), (1, 2, 3, 4)], base)
     assert got == {
-        1: ("tp", "", 2), 2: ("fp", "malformed", None), 3: ("fp", "continuing", None), 4: ("ignored", "", None), 5: ("fp", "malformed", None),
-        6: ("fp", "near_division", 2), 8: ("fp", "malformed", None), 9: ("fp", "continuing", None),
+        1: ("tp", "", 2), 2: ("fp", "malformed", None), 3: ("fp", "annotated_continuing", None), 4: ("ignored", "", None), 5: ("fp", "malformed", None),
+        6: ("fp", "near_gt_division", 2), 8: ("fp", "malformed", None), 9: ("fp", "annotated_continuing", None),
     }
 
 
 def test_label_across_trees_and_held_divisions(spark):
-    assert _labels(spark, [(1, 2, 3, 11)], [(1, 2), (2, 3)])[1] == ("fp", "cross", None)
+    assert _labels(spark, [(1, 2, 3, 11)], [(1, 2), (2, 3)])[1] == ("fp", "cross_gt_tracks", None)
     held = [(1, 2), (2, 3), (2, 4), (3, 5), (4, 6)]
     assert _labels(spark, [(1, 2, 3, 4)], held)[1] == ("tp", "", 2)  # the fork itself frees its division
-    assert _labels(spark, [(1, 1, 2, 7)], held)[1] == ("fp", "near_division", 2)
+    assert _labels(spark, [(1, 1, 2, 7)], held)[1] == ("fp", "near_gt_division", 2)
 
 
 def test_empty(spark):

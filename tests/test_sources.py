@@ -63,6 +63,8 @@ def test_submission(spark, tmp_path):
 
 def test_settings():
     s = Settings.of({"fill_longest": "2", "readmit_um": "3.5"})
+    off = Settings.of({"add_threshold": "none", "cap_scale": "Exempt", "delete_threshold": "0.05"})
+    assert off.add_threshold is None and off.cap_scale is None and off.differs(Settings()) == {"add_threshold": (None, 0.3), "delete_threshold": (0.05, 0.01)}
     assert s.fill_longest == 2 and s.differs(Settings()) == {"fill_longest": (2, 3), "readmit_um": (3.5, 4.0)}
     assert json.loads(s.manifest(run="a"))["run"] == "a"
     for bad in ({"nothing": "1"}, {"readmit_um": "nan"}, {"smoothing_weight": "2"}):
