@@ -14,6 +14,10 @@ from stemline.functions.geometry import AXES, SCALE, distance
 from stemline.store import Scratch
 
 
+#: Partners of a frame that are all compared.
+SMALL = 64
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, radius_um: float, frames: int = 1, width: int = 1) -> DataFrame:
     """(dataset, t, a_id, a_z.., b_id, b_z.., um): detections of right at most radius_um from one of left, that many frames later.
 
@@ -44,23 +48,26 @@ def nearest(pairs: DataFrame, key: str = "a_id", other: str = "b_id", k: int = 1
 def nearest_anywhere(left: DataFrame, right: DataFrame, frames: int = 1, k: int = 1, start_um: float = 12.0, growth: float = 4.0) -> DataFrame:
     """The k nearest partners of each detection of left, however far, with their rank; a detection is no partner of itself.
 
-    Rings grow: who has k partners within the radius, or all that the frame has, is settled; the others look further.
+    In frames of at most SMALL partners all of them are compared. In others rings grow: who has k partners within the radius,
+    or all that the frame has, is settled; the others look further.
     """
     scratch = Scratch(left.sparkSession, "nearest")
     there = right.groupBy("dataset", (F.col("t") - frames).alias("t")).agg(F.count("*").alias("there"))
     own = F.lit(1) if frames == 0 else F.lit(0)
     open_ = left.select("dataset", "t", "node_id", *AXES).join(there, ["dataset", "t"]).where(F.col("there") > own)
-    open_, radius, done = scratch.keep(open_, "open"), start_um, None
+    open_, radius = scratch.keep(open_, "open"), start_um
+    at = lambda rows, p: rows.select("dataset", "t", F.col("node_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in AXES])
+    few = at(open_.where(F.col("there") <= SMALL), "a").join(at(right.withColumn("t", F.col("t") - frames), "b"), ["dataset", "t"]).where("a_id <> b_id")
+    done = nearest(few.select("dataset", "t", "a_id", "b_id", distance("a_", "b_").alias("um")), k=k)
+    open_ = open_.where(F.col("there") > SMALL)
     while open_.limit(1).count():
         pairs = radius_pairs(open_, right, radius, frames, width=2).where("a_id <> b_id").select("dataset", "t", "a_id", "b_id", "um")
         near = scratch.keep(nearest(pairs, k=k), "near")
         got = near.groupBy(F.col("a_id").alias("node_id")).agg(F.count("*").alias("got"))
         rows = scratch.keep(open_.join(got, "node_id", "left").withColumn("settled", F.coalesce("got", F.lit(0)) >= F.least(F.lit(k), F.col("there") - own)).drop("got"), "rows")
-        part = near.join(rows.where("settled").select(F.col("node_id").alias("a_id")), "a_id", "left_semi")
-        done = part if done is None else done.unionByName(part)
+        done = done.unionByName(near.join(rows.where("settled").select(F.col("node_id").alias("a_id")), "a_id", "left_semi"))
         open_, radius = rows.where("not settled").drop("settled"), radius * growth
-    empty = left.limit(0).select("dataset", "t", F.col("node_id").alias("a_id"), F.col("node_id").alias("b_id"), F.lit(0.0).alias("um"), F.lit(0).alias("rank"))
-    return empty if done is None else done.select("dataset", "t", "a_id", "b_id", "um", "rank")
+    return done.select("dataset", "t", "a_id", "b_id", "um", "rank")
 
 
 def mutual(pairs: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
+import math
+import random
+
 import pytest
 
 from stemline.operators import repair, spatial
 
+SCALE = (1.625, 0.40625, 0.40625)
 U = 1 / 0.40625
 NODE = "dataset string, t int, node_id long, z double, y double, x double"
 
@@ -35,3 +39,18 @@ def test_wide_cells_give_the_same_pairs(spark):
     det = spark.createDataFrame([("m_1", t, 100 * t + i, i % 3 * 1.0, (i * 37 % 50) * 1.0 - 20, (i * 17 % 60) * 1.0 - 30) for t in range(2) for i in range(60)], NODE)
     of = lambda w: {(r.a_id, r.b_id) for r in spatial.radius_pairs(det, det, 5.5, width=w).collect()}
     assert of(4) == of(1) and of(1)
+
+
+def test_nearest_anywhere_as_brute_force(spark):
+    rnd = random.Random(6)
+    rows = [("m", 0, i, 0.0, round(rnd.gauss(0, 400) * 8) / 8, round(rnd.gauss(0, 400) * 8) / 8) for i in range(150)] + [("m", 1, 200 + i, 0.0, float(i * i), 3.0) for i in range(90)]
+    rows += [("s", 0, 900, 0.0, 0.0, 0.0), ("s", 0, 901, 0.0, 9e6, 0.0), ("s", 1, 902, 0.0, 5.0, 0.0), ("lone", 0, 990, 0.0, 0.0, 0.0)]
+    n = spark.createDataFrame(rows, "dataset string, t int, node_id long, z double, y double, x double")
+    um = lambda a, b: math.dist([v * s for v, s in zip(a[3:], SCALE)], [v * s for v, s in zip(b[3:], SCALE)])
+    for frames, k in ((1, 1), (0, 3)):
+        got = {(r.a_id, r.rank, r.b_id) for r in spatial.nearest_anywhere(n, n, frames, k, start_um=4.0).collect()}
+        want = set()
+        for a in rows:
+            near = sorted((um(a, b), b[2]) for b in rows if a[0] == b[0] and b[1] == a[1] + frames and a[2] != b[2])[:k]
+            want |= {(a[2], j + 1, b) for j, (_, b) in enumerate(near)}
+        assert got == want
