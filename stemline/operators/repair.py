@@ -171,3 +171,35 @@ def apply_forks(links: DataFrame, adds: DataFrame, removes: DataFrame) -> DataFr
         if (k := rows.count()) > 0:
             raise ValueError(f"{k} {what}")
     return left.select("dataset", "t", *pair, "safe_division").unionByName(new)
+
+
+def tracks_that_stay(
+    tree: DataFrame, links: DataFrame, least: int = 6, rescue: tuple[int, ...] = (4, 5), least_prob: float = 0.88, most_um: float = 3.0, lost_part: float = 0.1, budget_part: float = 0.012, most: int = 120
+) -> DataFrame:
+    """(dataset, root, n, why) of tracks(node_id, root): kept ones have least nodes or a fork; unchanged where a dataset would keep none.
+
+    Where a dataset loses lost_part of its nodes or more, tracks of the rescue sizes come back, if the mean probability and
+    the mean step are good enough: by score, while they fit into min(most, budget_part of the nodes), skipping what does not.
+    """
+    scratch = Scratch(tree.sparkSession, "tracks")
+    fork = links.groupBy(F.col("source_id").alias("node_id")).agg((F.count("*") > 1).alias("fork"))
+    step = links.select(F.col("target_id").alias("node_id"), F.coalesce("edge_prob", F.lit(0.0)).alias("prob"), "um", "dataset")
+    rows = tree.join(fork, "node_id", "left").join(step, "node_id", "left")
+    comp = rows.groupBy("root").agg(F.first("dataset", True).alias("dataset"), F.count("*").alias("n"), F.max(F.coalesce("fork", F.lit(False))).alias("fork"), F.avg("prob").alias("prob"), F.avg("um").alias("um"))
+    comp = scratch.keep(comp, "tracks")
+    stays = (F.col("n") >= least) | F.col("fork")
+    sums = comp.groupBy("dataset").agg(F.sum("n").alias("all"), F.sum(F.when(stays, F.col("n")).otherwise(0)).alias("kept"))
+    lost = F.col("all") - F.col("kept") >= lost_part * F.col("all")
+    budget = sums.where((F.col("kept") > 0) & lost).select("dataset", F.least(F.lit(most), F.floor(F.col("all") * budget_part)).cast("int").alias("budget"))
+    pool = comp.where(~stays & F.col("n").isin(*rescue) & (F.col("prob") >= least_prob) & (F.col("um") <= most_um)).join(budget, "dataset")
+    score = F.round(F.col("prob") - 0.02 * F.col("um") + 0.004 * F.col("n"), 9)
+    # what is left only shrinks: of one size, the tracks that fit are the first ones, and so at most most / size
+    order = W.partitionBy("dataset", "n").orderBy(score.desc(), "root")
+    pool = pool.withColumn("s", score).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most // min(rescue)).where(F.col("k") * F.col("n") <= most)
+    line = F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "root", "n")))
+    start = F.struct(F.col("budget").alias("left"), F.array().cast("array<bigint>").alias("got"))
+    fits = lambda a, x: F.when(x.n <= a.left, F.struct((a.left - x.n).cast("int").alias("left"), F.array_append(a.got, x.root).alias("got"))).otherwise(a)
+    rescued = pool.groupBy("dataset", "budget").agg(line.alias("o")).select(F.explode(F.aggregate("o", start, fits).got).alias("root"))
+    empty = sums.where("kept = 0").select("dataset")
+    why = comp.where(stays).select("root", F.lit("kept").alias("why")).unionByName(comp.where(~stays).join(empty, "dataset", "left_semi").select("root", F.lit("unchanged").alias("why"))).unionByName(rescued.select("root", F.lit("rescued").alias("why")))
+    return comp.join(why, "root").select("dataset", "root", "n", "why")

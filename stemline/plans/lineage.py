@@ -57,6 +57,7 @@ def forks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "forks").select("fork_id", "dataset", "p_id", "d1_id", "d2_id", "shape", "angle_deg", "mirror_um", "score", "label").distinct()
 
 
+# The gates, budgets and weights in the SQL below are those of the definition, stated again.
 # ---- SQL building blocks -----------------------------------------------------------------------------------------
 
 
@@ -576,6 +577,9 @@ GA = f"""en as (select * from n where node_id not in (select source_id from fo)
 sta as (select * from n where node_id in (select source_id from fo) and node_id not in (select target_id from fo)),
 ga as (select a.dataset, a.t, a.node_id a_id, b.node_id b_id, {_um("a", "b")} um from en a join sta b on a.dataset = b.dataset and b.t = a.t + 2 where {_um("a", "b")} <= 10)"""
 SQL["gap_candidates"] = BASE + f", {GA} select a_id, b_id, round(um, 6) um from ga"
+SQL["gap_candidates_by_density"] = BASE + f""", {GA.replace("<= 10)", "<= 10.25)")}, {PAIRS(1e300, 0, "and a.node_id <> b.node_id")}, k3 as (select * from pairs qualify row_number() over (partition by a_id order by um, b_id) <= 3),
+sp as (select node_id, coalesce(median(k3.um), 6.5) s from n left join k3 on a_id = node_id group by 1)
+select a_id, b_id, round(um, 6) um from ga join sp x on x.node_id = a_id join sp y on y.node_id = b_id where um <= 10 + 2 * least(0.125, greatest(-0.125, 0.04::double * ((x.s + y.s) / 2 - 6.5)))"""
 
 
 @query
@@ -674,6 +678,11 @@ def stolen_daughters_by_motion(spark, d):
     return repair.stolen_daughters(n, l, repair.motion_errors(n, l)).select("p_id", "d1_id", "d2_id", "q_id")
 
 
+SQL["stolen_daughters_by_motion"] = SQL["stolen_daughters"].replace("select p.node_id p_id, d1.node_id d1_id", f""", er as (select q.node_id q_id, sqrt(((c.z - (q.z + coalesce(q.z - o.z, 0))) * 1.625) ** 2 + ((c.y - (q.y + coalesce(q.y - o.y, 0))) * 0.40625) ** 2 + ((c.x - (q.x + coalesce(q.x - o.x, 0))) * 0.40625) ** 2) error_um
+ from ch join n q on q.node_id = ch.source_id join n c on c.node_id = ch.target_id left join fo on fo.target_id = q.node_id left join n o on o.node_id = fo.source_id)
+select p.node_id p_id, d1.node_id d1_id""", 1).replace("q.um >= 1.5", "q.source_id in (select q_id from er where error_um >= 3)")
+
+
 @query
 def applied_forks(spark, d):
     """The forest before divisions, with the rule-based divisions that its parents and daughters allow."""
@@ -780,28 +789,18 @@ SQL["components"] = BASE + f", {TREE} select node_id, component, least(depth, 10
 
 @query
 def short_track_filter(spark, d):
-    """Tracks that stay: six nodes or more, a fork, or among short ones good enough for the rescue budget of their dataset.
-
-    The rescue takes tracks of four or five nodes with a mean probability of 0.88 and a mean step of at most 3
-    micrometres, by score, while they fit into min(120, 1.2 % of the nodes); it skips what does not fit.
-    """
+    """Tracks that stay: long ones, those with a fork, and short ones good enough for the rescue budget of their dataset."""
     (l,) = kept(spark, forest(spark, d))
     (tree,) = kept(spark, _tracks(spark, d, l))
-    fork = l.groupBy(F.col("source_id").alias("node_id")).agg((F.count("*") > 1).alias("fork"))
-    step = l.select(F.col("target_id").alias("node_id"), F.coalesce("edge_prob", F.lit(0.0)).alias("prob"), "um", "dataset")
-    rows = tree.join(fork, "node_id", "left").join(step, "node_id", "left")
-    comp = rows.groupBy("root").agg(F.first("dataset", True).alias("dataset"), F.count("*").alias("n"), F.max(F.coalesce("fork", F.lit(False))).alias("fork"), F.avg("prob").alias("prob"), F.avg("um").alias("um"))
-    (comp,) = kept(spark, comp)
-    stays = (F.col("n") >= 6) | F.col("fork")
-    sums = comp.groupBy("dataset").agg(F.sum("n").alias("all"), F.sum(F.when(stays, F.col("n")).otherwise(0)).alias("kept"))
-    budget = sums.where("kept > 0 and all - kept >= 0.1 * all").select("dataset", F.least(F.lit(120), F.floor(F.col("all") * 0.012)).cast("int").alias("budget"))
-    pool = comp.where(~stays & F.col("n").isin(4, 5) & (F.col("prob") >= 0.88) & (F.col("um") <= 3.0)).join(budget, "dataset")
-    pool = pool.withColumn("s", F.round(F.col("prob") - 0.02 * F.col("um") + 0.004 * F.col("n"), 9)).withColumn("k", F.row_number().over(W.partitionBy("dataset").orderBy(F.col("s").desc(), "root")))
-    # at most 120 nodes fit, four a track; but tracks of five are skipped for one of four behind them only when one to
-    # four nodes are left, so what matters are the first 30 of each size
-    pool = pool.withColumn("kn", F.row_number().over(W.partitionBy("dataset", "n").orderBy("k"))).where("kn <= 30")
-    order = F.sort_array(F.collect_list(F.struct("k", "n", "root")))
-    rescued = pool.groupBy("dataset", "budget").agg(order.alias("o")).select(F.explode(F.aggregate("o", F.struct(F.col("budget").alias("left"), F.array().cast("array<bigint>").alias("got")), lambda a, x: F.when(x.n <= a.left, F.struct((a.left - x.n).cast("int").alias("left"), F.array_append(a.got, x.root).alias("got"))).otherwise(a)).got).alias("root"))
-    none_kept = sums.where("kept = 0").select("dataset")
-    whole = comp.where(stays).select("root", F.lit("kept").alias("why")).unionByName(comp.join(none_kept, "dataset", "left_semi").select("root", F.lit("unchanged").alias("why"))).unionByName(rescued.select("root", F.lit("rescued").alias("why")))
-    return comp.join(whole, "root").select("dataset", F.col("root").alias("component"), F.col("n").cast("int").alias("n_nodes"), "why")
+    rows = repair.tracks_that_stay(tree, l)
+    return rows.select("dataset", F.col("root").alias("component"), F.col("n").cast("int").alias("n_nodes"), "why")
+
+
+SQL["short_track_filter"] = BASE + f""", {TREE}, fk as (select source_id from fo group by 1 having count(*) > 1),
+cp as (select component root, max(dataset) dataset, count(*) n, bool_or(node_id in (from fk)) fork, avg(case when target_id is not null then coalesce(edge_prob, 0) end) prob, avg(um) um from tree left join fo on target_id = node_id group by 1),
+sm as (select dataset, sum(n) al, coalesce(sum(n) filter (n >= 6 or fork), 0) kp from cp group by 1),
+bu as (select dataset, least(120, floor(al * 0.012::double))::int budget from sm where kp > 0 and al - kp >= 0.1::double * al),
+po as (select cp.*, row_number() over (partition by dataset order by round(prob - 0.02 * um + 0.004 * n, 9) desc, root) k from cp join bu using (dataset) where n < 6 and not fork and n in (4, 5) and prob >= 0.88 and um <= 3.0),
+re as (with recursive g as (select dataset, 0 k, budget, []::bigint[] got from bu union all select g.dataset, g.k + 1, case when n <= budget then budget - n else budget end, case when n <= budget then list_append(got, root) else got end
+ from g join po on po.dataset = g.dataset and po.k = g.k + 1) select unnest(got) root from (select * from g qualify row_number() over (partition by dataset order by k desc) = 1))
+select dataset, root component, n::int n_nodes, case when n >= 6 or fork then 'kept' when kp = 0 then 'unchanged' else 'rescued' end why from cp join sm using (dataset) where n >= 6 or fork or kp = 0 or root in (from re)"""

@@ -13,6 +13,7 @@ def edges(spark, rows):
     return spark.createDataFrame([(i, s, g, None, None, None, None, None) for i, (s, g) in enumerate(rows)], "edge_id long, source_id long, target_id long, edge_prob double, distance_um double, motion_pass string, gap_closed int, safe_division int")
 
 
+# The small graph with one division that the project's fixtures give, and what comes out of it.
 SMALL = [(10, 0, 20.0, 100.0, 100.0), (11, 1, 20.0, 100.0, 100.0), (21, 2, 20.0, 100 - 5 * U, 100.0), (22, 2, 20.0, 100 + 5 * U, 100.0), (31, 3, 20.0, 100 - 7 * U, 100.0), (32, 3, 20.0, 100 + 7 * U, 100.0), (40, 0, 20.0, 200.0, 200.0), (41, 1, 20.0, 200.0, 200.0), (42, 2, 20.0, 200 - 2 * U, 200.0), (43, 3, 20.0, 200.0, 200.0)]
 LINKS = [(10, 11), (11, 21), (21, 31), (22, 32), (40, 41), (41, 42), (42, 43)]
 
@@ -32,13 +33,25 @@ def test_violations(spark, pairs, kind):
     assert lineage.violations(edges(spark, [(1, 2), (2, 5)]), n).count() == 0
 
 
+def test_much_filler_and_null_ends(spark):
+    n = detections(spark, [(k, k % 2, 0.0, 0.0, float(k)) for k in range(600)])
+    rows = [(k, k + 1) for k in range(0, 600, 2)] + [(-1, k) for k in range(600)] + [(k, -1) for k in range(600)] + [(None, 3), (3, None), (-1, -1)]
+    e = edges(spark, rows)
+    found = lineage.links(e, n)
+    assert {(r.source_id, r.target_id) for r in found.collect()} == {(k, k + 1) for k in range(0, 600, 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("source_id") and "(source_id" in plan and ">= 0)" in plan[plan.index("Join"):]
+    kinds = [r.kind for r in lineage.violations(e, n).collect()]
+    assert kinds.count("dangling") == 1201 and kinds.count("self_loop") == 1
+
+
 def test_transition_kinds(spark):
     rows = [(10 * t + k, t, 1.0 + k, 5.0 * (1 if t == 2 else t), float(k)) for t in range(5) for k in range(4)]
     n = detections(spark, rows)
     steps = [(0, 2.0), (1, 0.0), (2, 4.5), (3, 2.2)]
     l = spark.createDataFrame([("m_1", t, um) for t, um in steps for _ in range(4)], "dataset string, t int, um double")
     got = {r.t: (r.kind, r.reason, r.k) for r in transitions.kinds(transitions.frozen(n), l).collect() if r.t < 4}
-    assert got == {0: ("normal", "", 0), 1: ("frozen", "", 0), 2: ("jump", "after_frozen", 1), 3: ("normal", "", 0)}
+    assert got == {0: ("normal", "", 0), 1: ("frozen", "frozen", 0), 2: ("jump", "after_frozen", 1), 3: ("normal", "", 0)}
     still = spark.createDataFrame([("m_1", t, False) for t in range(3)], "dataset string, t int, frozen boolean")
     l = spark.createDataFrame([("m_1", t, um) for t, um in [(0, 2.0), (1, 4.1), (2, 2.0)] for _ in range(4)], "dataset string, t int, um double")
     assert {r.t: (r.kind, r.reason) for r in transitions.kinds(still, l).collect()}[1] == ("jump", "seed_median")

@@ -24,11 +24,11 @@ def put(folder, name, values, chunk):
 
 
 def store(folder, t=(0, 1, 1), edges=True):
-    put(folder, "nodes/ids", np.array([5, 6, 7], np.int64), [2])
+    put(folder, "nodes/ids", np.array([103, 240, 377], np.int64), [2])
     for c, v in (("t", t), ("z", (0.0, 2.0, 2.5) if any(t) else (0.0, 0.0, 0.0)), ("y", (1.0, 2.0, 3.0)), ("x", (4.0, 5.0, 6.0))):
         put(folder, f"nodes/props/{c}/values", np.array(v, np.int64 if c == "t" else np.float64), [2])
     if edges:
-        put(folder, "edges/ids", np.array([[5, 6], [5, 7]], np.int64), [2, 2])
+        put(folder, "edges/ids", np.array([[103, 240], [103, 377]], np.int64), [2, 2])
     (folder / "zarr.json").write_text(json.dumps({"attributes": {"geff": {"extra": {"estimated_number_of_nodes": 4.0}}}}))
 
 
@@ -36,8 +36,8 @@ def test_geff(spark, tmp_path):
     store(tmp_path / "a_1.geff")
     store(tmp_path / "b_2.geff", edges=False)
     nodes, edges, meta = read_geff(spark, str(tmp_path))
-    assert {tuple(r) for r in nodes.where("dataset = 'a_1'").collect()} == {("a_1", 5, 0, 0.0, 1.0, 4.0), ("a_1", 6, 1, 2.0, 2.0, 5.0), ("a_1", 7, 1, 2.5, 3.0, 6.0)}
-    assert {tuple(r) for r in edges.collect()} == {("a_1", 5, 6), ("a_1", 5, 7)}
+    assert {tuple(r) for r in nodes.where("dataset = 'a_1'").collect()} == {("a_1", 103, 0, 0.0, 1.0, 4.0), ("a_1", 240, 1, 2.0, 2.0, 5.0), ("a_1", 377, 1, 2.5, 3.0, 6.0)}
+    assert {tuple(r) for r in edges.collect()} == {("a_1", 103, 240), ("a_1", 103, 377)}
     assert {tuple(r) for r in meta.collect()} == {("a_1", 4.0), ("b_2", 4.0)}
     store(tmp_path / "more" / "c_3.geff", t=(0, 0, 0))
     with pytest.raises(Exception, match="broken download"):
