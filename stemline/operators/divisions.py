@@ -151,7 +151,9 @@ def choose_forks(cands: DataFrame, tau: float, frames: int = 1, radius_um: float
         taken = picks if taken is None else taken.unionByName(picks)
         # settled parents, those near an accepted one, and used daughters leave
         shut = near.join(picks.select(F.col("p_id").alias("other")), "other", "left_semi").select("p_id").union(picks.select("p_id")).distinct()
-        open_ = keep(open_.join(shut, "p_id", "left_anti").join(picks.select("d2_id"), "d2_id", "left_anti"), "open")
+        rest = keep(open_.join(shut, "p_id", "left_anti").join(picks.select("d2_id"), "d2_id", "left_anti"), "open")
+        scratch.drop(open_)
+        open_ = rest
     chosen = pool.limit(0).select("p_id", "d2_id") if taken is None else taken
     return parents.select("p_id", "dataset", "t", "s").join(chosen, "p_id").select("dataset", "t", "p_id", "d2_id", F.col("s").alias("score"))
 

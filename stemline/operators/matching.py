@@ -27,7 +27,9 @@ def greedy_matching(pairs: DataFrame, left: str = "a_id", right: str = "b_id", c
         if not picks.limit(1).count():
             break
         taken = picks if taken is None else taken.unionByName(picks)
-        open_ = scratch.keep(open_.join(picks.select(left), left, "left_anti").join(picks.select(right), right, "left_anti"), "pairs")
+        rest = scratch.keep(open_.join(picks.select(left), left, "left_anti").join(picks.select(right), right, "left_anti"), "pairs")
+        scratch.drop(open_)
+        open_ = rest
     return (open_ if taken is None else taken).drop("_r")
 
 

@@ -15,6 +15,8 @@ near pairs and added to the prediction.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from stemline.functions.geometry import AXES, SCALE
 from stemline.functions.pairing import best_pairs
 from stemline.functions.places import Places, first_of_groups, group_medians
+from stemline.operators.lineage import keep_and_fill
 from stemline.operators.matching import assignment
 from stemline.operators.spatial import radius_pairs
 from stemline.store import Scratch
@@ -33,6 +36,27 @@ SEED, TIGHT, RELAXED, TIGHT_ALONE = 5.5, 7.0, 10.0, 5.5
 #: Samples of the field at a place, their reach, the distance below which a sample is one's own, and the least number.
 FLOW_K, FLOW_REACH, FLOW_OWN, FLOW_LEAST = 12, 40.0, 1.5, 4
 OWN_STEP = 0.5
+#: Fixed value: the widest gate of confident matches in a jump.
+WIDEST_SEED = 15.0
+
+
+@dataclass(frozen=True)
+class Variant:
+    """bonus: weight of learned probabilities; keep: existing links stay, and others come only between free ends; in jumps,
+    shift: add the common shift to the prediction; widen: confident matches within (k + 1) gates; rounds: of the field."""
+
+    bonus: float = 1.0
+    keep: bool = False
+    shift: bool = False
+    widen: bool = False
+    rounds: int = 1
+
+
+#: The variants by name.
+VARIANTS = {
+    "base": Variant(), "bonus0": Variant(bonus=0.0), "bonus05": Variant(bonus=0.5), "bonus2": Variant(bonus=2.0), "bonus4": Variant(bonus=4.0), "keep_ilp": Variant(keep=True),
+    "b1b": Variant(widen=True, rounds=2), "b1c": Variant(shift=True), "b1d": Variant(shift=True, widen=True, rounds=2),
+}
 
 
 def flow_at(at: np.ndarray, start: np.ndarray, step: np.ndarray, own: float) -> np.ndarray:
@@ -82,16 +106,18 @@ def common_shift(src: np.ndarray, tgt: np.ndarray, reach: float = 16.0, band: fl
     return steps[-1] if len(steps) > 1 else None
 
 
-def solve_transition(src: np.ndarray, tgt: np.ndarray, bonus: tuple[np.ndarray, np.ndarray, np.ndarray], start: np.ndarray, step: np.ndarray, own: np.ndarray, jump: bool):
+def solve_transition(src: np.ndarray, tgt: np.ndarray, bonus: tuple[np.ndarray, np.ndarray, np.ndarray], start: np.ndarray, step: np.ndarray, own: np.ndarray, jump: int | None, variant: Variant = VARIANTS["b1c"]):
     """(source, target, raw, motion, bonus, pass) of one transition, as indices and micrometres.
 
     bonus: (source, target, value), each pair once; start, step: the field of the transition before; own: the last step of
-    each source, NaN without one.
+    each source, NaN without one; jump: frozen transitions before a jump, None where this is none.
     """
     m = max(1, len(tgt))
     order = np.argsort(bonus[0] * m + bonus[1])
     keys, values = (bonus[0] * m + bonus[1])[order], bonus[2][order]
-    grid = Places(tgt, RELAXED)
+    leaps = jump is not None
+    seed_gate = min(SEED * (jump + 1), WIDEST_SEED) if leaps and variant.widen else SEED
+    grid = Places(tgt, max(RELAXED, seed_gate))
 
     def attempt(free_s, free_g, gate, flow, predicted):
         i, j, _ = grid.pairs(src, gate)
@@ -105,30 +131,34 @@ def solve_transition(src: np.ndarray, tgt: np.ndarray, bonus: tuple[np.ndarray,
             at = np.minimum(np.searchsorted(keys, i * m + j), len(keys) - 1)
             extra = np.where(keys[at] == i * m + j, values[at], 0.0)
         motion = np.sqrt(((predicted[i] - tgt[j]) ** 2).sum(axis=1))
-        got = best_pairs(i, j, motion - extra)
+        got = best_pairs(i, j, motion - variant.bonus * extra)
         raw = np.sqrt(((src[i] - tgt[j]) ** 2).sum(axis=1))
         return i[got], j[got], raw[got], motion[got], extra[got]
 
     alone = src + np.where(np.isnan(own), 0.0, OWN_STEP * own)
     before = flow_at(src, start, step, 0.0)
     seed_prediction, has_prior = np.where(np.isnan(before), alone, src + before), len(start) >= FLOW_LEAST
-    if jump:
+    if leaps and variant.shift:
         base = np.where(np.isnan(before), 0.0, before)
         shift = common_shift(src + base, tgt)
         if shift is not None:
             seed_prediction, has_prior = src + base + shift, True
     free_s, free_g = np.ones(len(src), bool), np.ones(len(tgt), bool)
-    s0, g0, *_ = attempt(free_s, free_g, SEED, has_prior, seed_prediction)
-    o = np.argsort(s0)
-    s0, g0 = s0[o], g0[o]
-    field = flow_at(src, src[s0], tgt[g0] - src[s0], FLOW_OWN)
-    known = len(s0) >= FLOW_LEAST
-    predicted = np.where(np.isnan(field), alone, src + field)
-    out = []
-    for name, gate in (("tight", TIGHT if known else TIGHT_ALONE), ("relaxed", RELAXED)):
-        i, j, raw, motion, extra = attempt(free_s, free_g, gate, known, predicted)
-        free_s[i], free_g[j] = False, False
-        out += [(*row, name) for row in zip(i.tolist(), j.tolist(), raw.tolist(), motion.tolist(), extra.tolist())]
+    s0, g0, *_ = attempt(free_s, free_g, seed_gate, has_prior, seed_prediction)
+    for k in range(variant.rounds if leaps else 1):
+        o = np.argsort(s0)
+        s0, g0 = s0[o], g0[o]
+        known = len(s0) >= FLOW_LEAST
+        if k and not known:  # too few matches to refine the field
+            break
+        field = flow_at(src, src[s0], tgt[g0] - src[s0], FLOW_OWN)
+        predicted = np.where(np.isnan(field), alone, src + field)
+        free_s, free_g, out = np.ones(len(src), bool), np.ones(len(tgt), bool), []
+        for name, gate in (("tight", TIGHT if known else TIGHT_ALONE), ("relaxed", RELAXED)):
+            i, j, raw, motion, extra = attempt(free_s, free_g, gate, known, predicted)
+            free_s[i], free_g[j] = False, False
+            out += [(*row, name) for row in zip(i.tolist(), j.tolist(), raw.tolist(), motion.tolist(), extra.tolist())]
+        s0, g0 = (np.array([r[c] for r in out], np.int64) for c in (0, 1))
     return out
 
 
@@ -149,11 +179,11 @@ def seed_steps(det: DataFrame, probs: DataFrame | None = None) -> DataFrame:
 ROWS = "dataset string, t int, source_id long, target_id long, um double, motion_um double, motion_pass string, edge_prob double"
 
 
-def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | None = None, most: int = MOST_IN_FRAME, existing: DataFrame | None = None) -> DataFrame:
+def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | None = None, most: int = MOST_IN_FRAME, existing: DataFrame | None = None, variant: Variant = VARIANTS["b1c"]) -> DataFrame:
     """(dataset, t, source_id, target_id, um, motion_um, motion_pass, edge_prob) of the links that motion supports.
 
-    probs(source_id, target_id, prob), each pair once: learned probabilities, a bonus; kinds(dataset, t, kind): transitions of kind jump
-    get the common shift of the frame, frozen and normal ones do not. existing(dataset, t, source_id, target_id, um, edge_prob):
+    probs(source_id, target_id, prob), each pair once: learned probabilities, a bonus; kinds(dataset, t, kind[, k]): what the
+    variant says of jumps holds for transitions of kind jump, with k frozen ones before (0 if not given). existing(dataset, t, source_id, target_id, um, edge_prob):
     links that movies keep which are too crowded to relink, with the pass raw and no motion_um.
     """
     scratch = Scratch(det.sparkSession, "relink")
@@ -169,7 +199,8 @@ def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | No
         known = probs.join(at, "source_id").select("dataset", "t", F.col("source_id").alias("id"), F.col("target_id").alias("other"), F.col("prob").alias("z"), zero.alias("y"), zero.alias("x"), zero.alias("dz"), zero.alias("dy"), zero.alias("dx"))
         parts = parts.unionByName(role(3, known))
     if kinds is not None:
-        jumps = kinds.where("kind = 'jump'").select("dataset", "t", F.lit(-1).cast("long").alias("id"), *[zero.alias(c) for c in AXES]).withColumns(blank)
+        jumps = kinds.where("kind = 'jump'").select("dataset", "t", F.lit(-1).cast("long").alias("id"), *[zero.alias(c) for c in AXES], (F.col("k") if "k" in kinds.columns else F.lit(0)).cast("long").alias("k")).withColumns(blank)
+        jumps = jumps.withColumn("other", F.col("k"))
         parts = parts.unionByName(role(4, jumps))
     whole = n.select("dataset", "t").distinct().join(n.select("dataset", (F.col("t") - 1).alias("t")).distinct(), ["dataset", "t"], "left_semi")
     parts = scratch.keep(parts.join(whole, ["dataset", "t"], "left_semi"), "parts")
@@ -190,7 +221,7 @@ def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | No
         k = near(sid, id_[prior])
         mine = sid[k] == id_[prior]
         own[k[mine]] = step[prior][mine]
-        found = solve_transition(at[s], at[g], (i[ok], j[ok], at[known][ok, 0]), at[prior], step[prior], own, bool((role_ == 4).any()))
+        found = solve_transition(at[s], at[g], (i[ok], j[ok], at[known][ok, 0]), at[prior], step[prior], own, next((int(k) for k in other[role_ == 4]), None), variant)
         return pd.DataFrame([(key[0], key[1], sid[a], gid[b], r, m, name, p) for a, b, r, m, p, name in found], columns=[c.split()[0] for c in ROWS.split(", ")])
 
     # so many partitions even for few rows: the work lies in Python
@@ -216,8 +247,13 @@ def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | No
         old = links.join(active, ["dataset", "t"], "left_semi")
         both = signed(old).withColumnRenamed("sign", "was").join(signed(fresh), ["dataset", "t"], "full")
         changed = scratch.keep(both.where("not (was <=> sign)").select("dataset", "t"), "changed")
-        links = scratch.keep(links.join(active, ["dataset", "t"], "left_anti").unionByName(fresh), "links")
+        new = scratch.keep(links.join(active, ["dataset", "t"], "left_anti").unionByName(fresh), "links")
+        scratch.drop(links, fresh, active)
+        links = new
     if existing is None:
         return links
     raw = existing.join(crowded, "dataset", "left_semi").select("dataset", "t", "source_id", "target_id", "um", F.lit(None).cast("double").alias("motion_um"), F.lit("raw").alias("motion_pass"), F.coalesce("edge_prob", F.lit(0.0)).alias("edge_prob"))
+    if variant.keep:
+        there = existing.select("dataset", "t", "source_id", "target_id", "um", F.lit(None).cast("double").alias("motion_um"), F.lit("raw").alias("motion_pass"), F.coalesce("edge_prob", F.lit(0.0)).alias("edge_prob"))
+        return keep_and_fill(there, links)
     return links.unionByName(raw)

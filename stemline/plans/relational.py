@@ -63,7 +63,7 @@ SQL["largest_orders"] = "select * from (select o_custkey, o_orderkey, (row_numbe
 
 @query
 def idle_customers(spark, d):
-    """Customers without an order that is still open."""
+    """Customers without an open order above 400,000."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus = 'O' and o_totalprice > 400000")
     return c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 

@@ -430,20 +430,38 @@ def head_evaluation(spark, d):
 # ---- run statistics ------------------------------------------------------------------------------------------------
 
 
+#: Counters of detections, of links, and of links of the forest: a name, and what counts (all rows where empty).
+OF_NODES = {"nodes": "", "synthetic_nodes": "gap_synthetic = 1", "readmitted_nodes": "readmitted = 1"}
+OF_LINKS = {"links": "", "gap_closed_links": "gap_closed = 1", "safe_division_links": "safe_division = 1", "strict_links": "motion_pass = 'strict'", "relaxed_links": "motion_pass = 'relaxed'",
+            "division_links": "motion_pass = 'division'", "links_without_pass": "motion_pass is null", "links_without_prob": "edge_prob is null", "long_links": "um > 10"}
+OF_FOREST = {"forest_links": "", "forest_gap_closed_links": "gap_closed = 1", "forest_safe_division_links": "safe_division = 1", "forest_long_links": "um > 10"}
+
+
 def _stats(spark, d):
     n, l = kept(spark, det(spark, d), links(spark, d))
-    one = lambda rows, name: rows.groupBy("dataset").agg(F.count("*").alias("value")).select("dataset", F.lit(name).alias("metric"), "value")
-    parts = [one(n, "nodes"), one(n.where("gap_synthetic = 1"), "synthetic_nodes"), one(n.where("readmitted = 1"), "readmitted_nodes"), one(l, "links"), one(ln.best_parent(l), "single_parent_links"), one(ln.forest(l), "forest_links"), one(l.where("gap_closed = 1"), "gap_closed_links")]
+    (best, fo) = kept(spark, ln.best_parent(l), ln.forest(l))
+
+    def counts(rows, names):  # one pass for all counters of a table
+        hit = {k: F.count_if(F.coalesce(F.expr(v), F.lit(False))) if v else F.count("*") for k, v in names.items()}
+        return rows.groupBy("dataset").agg(*[c.alias(k) for k, c in hit.items()]).unpivot("dataset", list(names), "metric", "value").where("value > 0")
+
+    role = ln.ends_of_tracks(n, fo).groupBy("dataset", F.concat("kind", F.lit("_nodes")).alias("metric")).agg(F.count("*").alias("value"))
+    forked = fo.groupBy("dataset", "source_id").agg(F.count("*").alias("n")).where("n = 2")
+    parts = [counts(n, OF_NODES), counts(l, OF_LINKS), counts(best, {"single_parent_links": ""}), counts(fo, OF_FOREST), role, counts(forked, {"divisions": ""})]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-STATS = """ss as (select dataset, 'nodes' metric, count(*) as value from n group by 1 union all select dataset, 'synthetic_nodes', count(*) from n where gap_synthetic = 1 group by 1
- union all select dataset, 'readmitted_nodes', count(*) from n where readmitted = 1 group by 1 union all select dataset, 'links', count(*) from l group by 1 union all select dataset, 'single_parent_links', count(*) from bp group by 1
- union all select dataset, 'forest_links', count(*) from fo group by 1 union all select dataset, 'gap_closed_links', count(*) from l where gap_closed = 1 group by 1)"""
-METRICS = ["nodes", "synthetic_nodes", "readmitted_nodes", "links", "single_parent_links", "forest_links", "gap_closed_links"]
+def _counts_sql(names: dict[str, str], source: str) -> str:
+    return " union all ".join(f"select dataset, '{k}' metric, count(*) as value from {source} {'where ' + v if v else ''} group by 1" for k, v in names.items())
+
+
+STATS = f"""ss as ({_counts_sql(OF_NODES, "n")} union all {_counts_sql(OF_LINKS, "l")} union all {_counts_sql({"single_parent_links": ""}, "bp")} union all {_counts_sql(OF_FOREST, "fo")}
+ union all select dataset, case when not s and not g then 'isolated_nodes' when not g then 'start_nodes' else 'end_nodes' end, count(*) from (select dataset, node_id in (select source_id from fo) s, node_id in (select target_id from fo) g from n) where not s or not g group by all
+ union all select dataset, 'divisions', count(*) from (select dataset, source_id from fo group by all having count(*) = 2) group by 1)"""
+METRICS = [*OF_NODES, *OF_LINKS, "single_parent_links", *OF_FOREST, "start_nodes", "end_nodes", "isolated_nodes", "divisions"]
 
 
 @query

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from stemline.operators import transitions
-from stemline.operators.relink import common_shift, relink, seed_steps, solve_transition
+from stemline.operators.relink import VARIANTS, common_shift, relink, seed_steps, solve_transition
 
 SCALE = np.array([1.625, 0.40625, 0.40625])
 
@@ -32,7 +32,7 @@ def one_by_one(p):
     for t in range(len(p) - 1):
         own = np.array([last.get(i, [np.nan] * 3) for i in range(p.shape[1])])
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        found = solve_transition(p[t], p[t + 1], none, start, step, own, False)
+        found = solve_transition(p[t], p[t + 1], none, start, step, own, None)
         a, b = [m[0] for m in found], [m[1] for m in found]
         start, step = p[t][a], p[t + 1][b] - p[t][a]
         # samples in the order of the ids that they lead to
@@ -99,3 +99,18 @@ def test_crowded_movies_keep_their_links(spark):
     existing = spark.createDataFrame(had, "dataset string, t int, source_id long, target_id long, um double, edge_prob double")
     got = {(r.dataset, r.source_id, r.target_id, r.motion_pass, r.edge_prob) for r in relink(n, most=3, existing=existing).collect()}
     assert got == {("m_1", 0, 10, "raw", 0.0), ("m_1", 1, 12, "raw", 0.5), ("m_2", 100, 101, "tight", 0.0)}
+
+
+def test_variants(spark):
+    p = movie(5, freeze_at=5)
+    n = table(spark, p)
+    kinds = spark.createDataFrame([("m_1", 5, "frozen", 0), ("m_1", 6, "jump", 1)], "dataset string, t int, kind string, k int")
+    share = {v: right(relink(n, kinds=kinds, variant=VARIANTS[v]).collect(), 6) for v in ("base", "b1d")}
+    assert share["base"] < 0.5 and share["b1d"] >= 0.9
+    # a wrong link of high probability wins only with a large bonus; what is there stays where it is kept
+    two = spark.createDataFrame([("m", 0, 1, 0.0, 0.0, 0.0), ("m", 1, 2, 0.0, 0.0, 2.0), ("m", 1, 3, 0.0, 0.0, 6.0)], "dataset string, t int, node_id long, z double, y double, x double")
+    probs = spark.createDataFrame([(1, 3, 0.9)], "source_id long, target_id long, prob double")
+    pick = lambda v, **more: {(r.source_id, r.target_id, r.motion_pass) for r in relink(two, probs, variant=VARIANTS[v], **more).collect()}
+    assert pick("base") == pick("bonus0") == {(1, 2, "tight")} and pick("bonus4") == {(1, 3, "tight")}
+    had = spark.createDataFrame([("m", 0, 1, 3, 2.4, None)], "dataset string, t int, source_id long, target_id long, um double, edge_prob double")
+    assert pick("keep_ilp", existing=had) == {(1, 3, "raw")}
