@@ -227,10 +227,10 @@ def shared(spark: SparkSession, path: str = VOCABULARY):
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """The rows, over enough partitions where the input has few: one row group is one task however long its texts are."""
+    """The rows, over enough partitions where the input has fewer than there are cores: one row group is one task however long its texts are."""
     spark = rows.sparkSession
-    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows if rows.rdd.getNumPartitions() >= 2 * parallel else rows.repartition(parallel, F.xxhash64(*rows.columns))
+    cores, parts = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(max(cores, parts), F.xxhash64(*rows.columns))
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
