@@ -10,6 +10,10 @@ import numpy as np
 from stemline.functions.sweep import expand
 
 
+#: Places times points that are all compared, as a grid would cost more.
+FEW = 1 << 16
+
+
 class Places:
     """Points, kept by the cube that they lie in."""
 
@@ -29,6 +33,11 @@ class Places:
         """(i, j, distance) of each place i and point j at most reach apart, in blocks of bounded size."""
         if not len(at) or not len(self.points):
             return
+        if len(at) * len(self.points) <= FEW:
+            d = np.sqrt(((at[:, None, :] - self.points[None, :, :]) ** 2).sum(axis=2))
+            i, j = np.nonzero(d <= reach)
+            yield i, j, d[i, j]
+            return
         cube, k = np.floor(at / self.width).astype(np.int64) - self.low, int(np.ceil(reach / self.width))
         for step in product(range(-k, k + 1), repeat=3):
             there = cube + np.array(step)

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from stemline.functions import places
 from stemline.operators import transitions
 from stemline.operators.relink import VARIANTS, common_shift, relink, seed_steps, solve_transition
 
@@ -114,3 +115,15 @@ def test_variants(spark):
     assert pick("base") == pick("bonus0") == {(1, 2, "tight")} and pick("bonus4") == {(1, 3, "tight")}
     had = spark.createDataFrame([("m", 0, 1, 3, 2.4, None)], "dataset string, t int, source_id long, target_id long, um double, edge_prob double")
     assert pick("keep_ilp", existing=had) == {(1, 3, "raw")}
+
+
+def test_places_with_and_without_a_grid(monkeypatch):
+    rng = np.random.default_rng(3)
+    points, at = rng.uniform(-30, 30, (90, 3)), rng.uniform(-35, 35, (40, 3))
+    few = places.Places(points, 5.0)
+    dense = [few.pairs(at, r) for r in (2.0, 5.0, 13.0)], few.nearest(at)
+    monkeypatch.setattr(places, "FEW", 0)
+    grid = [few.pairs(at, r) for r in (2.0, 5.0, 13.0)], few.nearest(at)
+    for a, b in zip(dense[0], grid[0]):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
+    assert len(dense[0][2][0]) > 100 and np.array_equal(dense[1], grid[1]) and len(places.Places(points[:0], 5.0).pairs(at, 2.0)[0]) == 0
