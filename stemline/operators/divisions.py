@@ -64,7 +64,8 @@ def safe_divisions(det: DataFrame, links: DataFrame, most_child=10.0, most_new=9
     near = radius_pairs(parents, free, most_new).select("dataset", "t", F.col("a_id").alias("p_id"), F.col("b_id").alias("d2_id"), F.col("um").alias("p_d2_um"))
     rows = near.join(children.select(F.col("source_id").alias("p_id"), F.col("target_id").alias("d1_id"), F.col("um").alias("p_d1_um")), "p_id").join(closest, ["d1_id", "d2_id"])
     rows = _grandchildren(rows, det, children).where(F.col("t2_um") - F.col("sister_um") >= least_gain)
-    rows = rows.where(F.abs(F.col("p_d1_um") - F.col("p_d2_um")) / ((F.col("p_d1_um") + F.col("p_d2_um")) / 2) <= asymmetry)
+    # daughters that both lie where the parent does have no asymmetry, and are none
+    rows = rows.where(F.try_divide(F.abs(F.col("p_d1_um") - F.col("p_d2_um")), (F.col("p_d1_um") + F.col("p_d2_um")) / 2) <= asymmetry)
     return rows.select("dataset", "t", "p_id", "d1_id", "d2_id", (F.col("p_d2_um") + 0.15 * F.col("sister_um")).alias("score"))
 
 

@@ -26,6 +26,17 @@ def test_fork_candidates(spark):
     assert divisions.safe_divisions(n, lineage.links(edges(spark, LINKS), n)).count() == 1
 
 
+#: Of track 110 the parent and both daughters lie in one place.
+STILL = [(110, 1, 20.0, 300.0, 300.0), (121, 2, 20.0, 300.0, 300.0), (122, 2, 20.0, 300.0, 300.0), (131, 3, 20.0, 300 - 2 * U, 300.0), (132, 3, 20.0, 300 + 2 * U, 300.0)]
+STILL_LINKS = [(110, 121), (121, 131), (122, 132)]
+
+
+def test_daughters_in_the_place_of_their_parent(spark):
+    n = detections(spark, SMALL + STILL)
+    l = lineage.links(edges(spark, LINKS + STILL_LINKS), n)
+    assert [(r.p_id, r.d1_id, r.d2_id) for r in divisions.safe_divisions(n, l).collect()] == [(11, 21, 22)]
+
+
 @pytest.mark.parametrize("pairs,kind", [([(1, 3), (2, 3)], "dt"), ([(1, 2), (1, 3), (1, 4)], "multi_branch"), ([(1, 5)], "dt"), ([(1, 1)], "self_loop"), ([(1, 99)], "dangling"), ([(1, 3), (6, 3)], "merge")])
 def test_violations(spark, pairs, kind):
     n = detections(spark, [(1, 0, 0.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0), (3, 1, 0.0, 0.0, 0.0), (4, 1, 0.0, 0.0, 0.0), (5, 2, 0.0, 0.0, 0.0), (6, 0, 0.0, 0.0, 0.0)])
