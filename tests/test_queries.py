@@ -2,6 +2,7 @@ import pytest
 
 from stemline.plans import catalog
 from tests.oracle import same
+from tests.test_lineage import LINKS, SMALL, STILL, STILL_LINKS, detections, edges
 
 SOME = ["p4_found", "p5_found", "links_14um", "forest_violations", "best_parents", "knn3_spacing", "fork_candidates", "transition_kinds", "line_fit", "components", "score_report", "ranking_quality", "run_stats_pivot", "user_sessions", "hourly_events_stream"]
 
@@ -13,3 +14,11 @@ def test_against_sql(spark, name):
 
 def test_catalogue():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and catalog.FLAGSHIP in catalog.QUERIES
+
+
+def test_applied_forks_where_daughters_lie_in_the_place_of_their_parent(spark, tmp_path):
+    detections(spark, SMALL + STILL).write.parquet(f"{tmp_path}/nodes.parquet")
+    edges(spark, LINKS + STILL_LINKS).write.parquet(f"{tmp_path}/edges.parquet")
+    same(spark, catalog.QUERIES["applied_forks"], catalog.SQL["applied_forks"], str(tmp_path))
+    rows = catalog.QUERIES["applied_forks"](spark, str(tmp_path)).where("safe_division = 1").collect()
+    assert [(r.source_id, r.target_id) for r in rows] == [(11, 22)]
