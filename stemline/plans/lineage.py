@@ -698,7 +698,14 @@ select dataset, t, source_id, target_id, 0 safe_division from fo union all selec
 
 def _probabilities(spark, d):
     """(source_id, target_id, prob): the learned probability of each link that has one."""
-    return ln.deliveries(edges(spark, d)).where("edge_prob is not null").groupBy("source_id", "target_id").agg(F.max(clean_probability(F.col("edge_prob"))).alias("prob"))
+    # the highest of repeated deliveries is the same as of single ones
+    return edges(spark, d).where("edge_prob is not null").groupBy("source_id", "target_id").agg(F.max(clean_probability(F.col("edge_prob"))).alias("prob"))
+
+
+def _with_probabilities(spark, d):
+    """Detections, and the learned probabilities with the dataset and t of their source, both written."""
+    (n,) = kept(spark, det(spark, d))
+    return n, *kept(spark, relink.placed(n, _probabilities(spark, d)))
 
 
 def _seed_kinds(n, probs):
@@ -708,14 +715,14 @@ def _seed_kinds(n, probs):
 @query
 def seed_transition_kinds(spark, d):
     """The kinds of transitions by the steps of seed matches; transition_kinds has them by the steps of links."""
-    n, probs = kept(spark, det(spark, d), _probabilities(spark, d))
+    n, probs = _with_probabilities(spark, d)
     return _seed_kinds(n, probs)
 
 
 @query
 def relinked(spark, d):
     """Links by motion, with the learned probabilities as a bonus and the shifts of jumps as a prior; movies too crowded keep the forest's."""
-    n, probs = kept(spark, det(spark, d), _probabilities(spark, d))
+    n, probs = _with_probabilities(spark, d)
     existing = forest(spark, d).withColumn("edge_prob", clean_probability(F.col("edge_prob")))
     return relink.relink(n, probs, _seed_kinds(n, probs), existing=existing)
 
@@ -745,7 +752,8 @@ select node_id, round(coalesce(0.2 * z + 0.8 * fz, z), 6) z, round(coalesce(0.2
 
 
 def _smooth(spark, d):
-    n, l, probs = kept(spark, det(spark, d), forest(spark, d), _probabilities(spark, d))
+    n, probs = _with_probabilities(spark, d)
+    (l,) = kept(spark, forest(spark, d))
     (k,) = kept(spark, _seed_kinds(n, probs))
     return n, l, k, smoothing.line_fit(n, l, k, _shifts(l, k))
 

@@ -3,7 +3,7 @@ import pytest
 
 from stemline.functions import places
 from stemline.operators import transitions
-from stemline.operators.relink import VARIANTS, common_shift, relink, seed_steps, solve_transition
+from stemline.operators.relink import PASSES, VARIANTS, common_shift, relink, seed_steps, solve_transition, solve_transitions
 
 SCALE = np.array([1.625, 0.40625, 0.40625])
 
@@ -127,3 +127,45 @@ def test_places_with_and_without_a_grid(monkeypatch):
     for a, b in zip(dense[0], grid[0]):
         assert all(np.array_equal(x, y) for x, y in zip(a, b))
     assert len(dense[0][2][0]) > 50 and np.array_equal(dense[1], grid[1]) and len(places.Places(points[:0], 5.0).pairs(at, 2.0)[0]) == 0
+
+
+@pytest.mark.parametrize("variant", ["b1c", "b1d", "bonus2"])
+def test_movies_side_by_side_as_each_alone(variant):
+    rng = np.random.default_rng(11)
+    movies, jumps = [], {}
+    for g in range(40):  # the last two are compared by a grid
+        n = int(rng.integers(0, 30)) if g < 38 else 300
+        src = rng.uniform(0, 12 * max(n, 1) ** (1 / 3), (n, 3))
+        far = 9.0 if g % 5 == 0 else 1.0
+        tgt = (src + [far, 0.5, 0.0] + rng.normal(0, 0.5, src.shape))[rng.random(n) < 0.9]
+        some = rng.random(n) < 0.7
+        start, step = src[some] - [1.0, 0, 0], np.tile([1.0, 0.2, 0.0], (int(some.sum()), 1)) + rng.normal(0, 0.2, (int(some.sum()), 3))
+        own = np.full((n, 3), np.nan)
+        own[some] = step
+        pairs = np.array([(i, j) for i in range(n) for j in range(len(tgt)) if rng.random() < 0.05], np.int64).reshape(-1, 2)
+        movies.append((src, tgt, (pairs[:, 0], pairs[:, 1], rng.random(len(pairs))), start, step, own))
+        if g % 5 == 0:
+            jumps[g] = 1
+    first = [np.cumsum([0] + [len(m[c]) for m in movies]) for c in range(2)]
+    of = lambda c: np.repeat(np.arange(40), [len(m[c]) for m in movies])
+    whole = lambda c: np.concatenate([m[c] for m in movies])
+    bonus = tuple(np.concatenate([m[2][c] + (first[c][g] if c < 2 else 0) for g, m in enumerate(movies)]) for c in range(3))
+    got = solve_transitions(of(0), whole(0), of(1), whole(1), bonus, of(3), whole(3), whole(4), whole(5), jumps, VARIANTS[variant])
+    got = sorted((*row, PASSES[p]) for *row, p in zip(*[c.tolist() for c in got]))
+    alone = [(i + first[0][g], j + first[1][g], *rest) for g, m in enumerate(movies) for i, j, *rest in solve_transition(*m, jumps.get(g), VARIANTS[variant])]
+    assert len(got) > 400 and got == sorted(alone) and {r[5] for r in got} == set(PASSES)
+
+
+def test_seeds_of_vast_frames(spark):
+    n = table(spark, movie(3, n=24, frames=4))
+    probs = spark.createDataFrame([(1000 * t + i, 1000 * t + 1000 + i, 0.4) for t in range(3) for i in range(24)], "source_id long, target_id long, prob double")
+    few, vast = ([(r.t, round(r.um, 9)) for r in seed_steps(n, probs, **more).collect()] for more in ({}, {"most": 10}))
+    assert len(few) > 60 and sorted(few) == sorted(vast)
+
+
+def test_missing_frames_and_ids_of_two_movies(spark):
+    # movie b lacks frame 2, so that nothing leads over it; its ids are between those of a
+    rows = [(d, t, 10 * t + k, 0.0, 0.0, 2.0 * t) for d, k in (("a", 0), ("b", 1), ("a", 2)) for t in range(5) if (d, t) != ("b", 2)]
+    n = spark.createDataFrame([(d, t, i, z, 50.0 * (i % 10), x) for d, t, i, z, y, x in rows], "dataset string, t int, node_id long, z double, y double, x double")
+    got = {(r.dataset, r.t, r.source_id, r.target_id) for r in relink(n).collect()}
+    assert got == {("a", t, 10 * t + k, 10 * t + 10 + k) for t in range(4) for k in (0, 2)} | {("b", t, 10 * t + 1, 10 * t + 11) for t in (0, 3)}
