@@ -77,15 +77,27 @@ def best_pairs(i: np.ndarray, j: np.ndarray, cost: np.ndarray) -> np.ndarray:
     alone = (np.bincount(i)[i] == 1) & (np.bincount(j)[j] == 1)
     taken, rest = [np.flatnonzero(alone)], np.flatnonzero(~alone)
     label = component_labels(i[rest], j[rest])
-    order = rest[np.lexsort((j[rest], i[rest], label))]
-    label = np.sort(label)
-    for part in np.split(order, np.flatnonzero(np.diff(label)) + 1) if len(order) else []:
-        rows, r = np.unique(i[part], return_inverse=True)
-        columns, c = np.unique(j[part], return_inverse=True)
-        price = cost[part] - cost[part].min()  # the same for each pair: of most pairs, the least stays the least
-        options: list[list[tuple[int, float]]] = [[] for _ in rows]
-        for a, b, p in zip(r.tolist(), c.tolist(), price.tolist()):
-            options[a].append((b, p))
-        got = np.array(_solve(options, len(columns), 1.0 + 2.0 * float(price.sum())))
-        taken.append(part[got[r] == c])
+    at = np.lexsort((j[rest], i[rest], label))
+    order, label = rest[at], label[at]
+    if not len(order):
+        return taken[0]
+    first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+    size = np.diff(np.r_[first, len(label)])
+    price = cost[order] - np.repeat(np.minimum.reduceat(cost[order], first), size)  # the same for each pair: of most pairs, the least stays the least
+    rank = lambda x: np.cumsum(np.r_[True, (x[1:] != x[:-1]) | (label[1:] != label[:-1])]) - 1
+    row, by_column = rank(i[order]), np.lexsort((j[order], label))
+    column = np.empty(len(order), np.int64)
+    column[by_column] = rank(j[order][by_column])
+    inner = lambda x: x - np.repeat(np.minimum.reduceat(x, first), size)
+    row, column = inner(row), inner(column)
+    rows, columns = (np.maximum.reduceat(x, first) + 1 for x in (row, column))
+    r, c, p = row.tolist(), column.tolist(), price.tolist()
+    won: list[int] = []
+    for at, n, n_rows, n_columns in zip(first.tolist(), size.tolist(), rows.tolist(), columns.tolist()):
+        options: list[list[tuple[int, float]]] = [[] for _ in range(n_rows)]
+        for k in range(at, at + n):
+            options[r[k]].append((c[k], p[k]))
+        got = _solve(options, n_columns, 1.0 + 2.0 * float(price[at : at + n].sum()))
+        won += [k for k in range(at, at + n) if got[r[k]] == c[k]]
+    taken.append(order[np.array(won, np.int64)])
     return np.concatenate(taken)

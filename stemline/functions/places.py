@@ -10,8 +10,10 @@ import numpy as np
 from stemline.functions.sweep import expand
 
 
-#: Places times points that are all compared, as a grid would cost more; the same for one of many groups.
-FEW, FEW_OF_GROUP = 1 << 16, 1 << 14
+#: Places times points that are all compared, as a grid would cost more.
+FEW = 1 << 16
+#: The same for one of many groups: those that are compared together, and those that are compared by themselves.
+TOGETHER, ALONE = 1 << 14, 1 << 18
 
 
 class Places:
@@ -72,7 +74,7 @@ class Places:
 def group_pairs(of_at: np.ndarray, at: np.ndarray, of_point: np.ndarray, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All (i, j, distance) of places and points of one group at most reach apart, by i, then distance, then j; the groups ascend."""
     low, high = np.searchsorted(of_point, of_at), np.searchsorted(of_point, of_at, side="right")
-    many = np.bincount(of_at)[of_at] * (high - low) > FEW_OF_GROUP if len(of_at) else np.zeros(0, bool)
+    many = np.bincount(of_at)[of_at] * (high - low) > TOGETHER if len(of_at) else np.zeros(0, bool)
     few, blocks = np.flatnonzero(~many), []
     for i, j in expand(few, low[few], high[few]):
         x, y, z = ((at[i, c] - points[j, c]) ** 2 for c in range(3))
@@ -81,7 +83,13 @@ def group_pairs(of_at: np.ndarray, at: np.ndarray, of_point: np.ndarray, points:
         blocks.append((i[ok], j[ok], d[ok]))
     for g in np.unique(of_at[many]):
         (a, b), (p, q) = (np.searchsorted(x, [g, g + 1]) for x in (of_at, of_point))
-        blocks += [(i + a, j + p, d) for i, j, d in Places(points[p:q], reach).around(at[a:b], reach)]
+        if (b - a) * (q - p) <= ALONE:
+            x, y, z = ((at[a:b, None, c] - points[None, p:q, c]) ** 2 for c in range(3))
+            d = np.sqrt(x + y + z)
+            i, j = np.nonzero(d <= reach)
+            blocks.append((i + a, j + p, d[i, j]))
+        else:
+            blocks += [(i + a, j + p, d) for i, j, d in Places(points[p:q], reach).around(at[a:b], reach)]
     i, j, d = (np.concatenate([b[c] for b in blocks]) if blocks else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, float)))
     o = np.lexsort((j, d, i))
     return i[o], j[o], d[o]
