@@ -54,18 +54,28 @@ def fork_candidates(det: DataFrame, links: DataFrame, most_pd1: float = 12.0, mo
     )
 
 
-def safe_divisions(det: DataFrame, links: DataFrame, most_child=10.0, most_new=9.0, most_sister=14.0, least_gain=2.25, asymmetry=0.6) -> DataFrame:
-    """(dataset, t, p_id, d1_id, d2_id, score) of rule-based divisions; a lower score is better."""
-    children = only_children(links)
-    free = orphans_of_frames(det, links)
-    kids = det.join(children.where(F.col("um") <= most_child).select(F.col("target_id").alias("node_id")), "node_id", "left_semi")
-    closest = nearest(radius_pairs(kids, free, most_sister, 0)).select(F.col("a_id").alias("d1_id"), F.col("b_id").alias("d2_id"), F.col("um").alias("sister_um"))
-    parents = det.join(children.select(F.col("source_id").alias("node_id")), "node_id", "left_semi")
-    near = radius_pairs(parents, free, most_new).select("dataset", "t", F.col("a_id").alias("p_id"), F.col("b_id").alias("d2_id"), F.col("um").alias("p_d2_um"))
-    rows = near.join(children.select(F.col("source_id").alias("p_id"), F.col("target_id").alias("d1_id"), F.col("um").alias("p_d1_um")), "p_id").join(closest, ["d1_id", "d2_id"])
-    rows = _grandchildren(rows, det, children).where(F.col("t2_um") - F.col("sister_um") >= least_gain)
+def safe_divisions(det: DataFrame, links: DataFrame, most_child=10.0, most_new=9.0, most_sister=14.0, least_gain=2.25, asymmetry=0.6, children: DataFrame | None = None) -> DataFrame:
+    """(dataset, t, p_id, d1_id, d2_id, score) of rule-based divisions; a lower score is better.
+
+    A fork can only be that of an only child d1 and the parentless d2 nearest to it, so one search in frames finds all of
+    them; whether they have children is asked before places are looked up. children: only_children(links), if they are known.
+    """
+    children = only_children(links) if children is None else children
+    near = children.where(F.col("um") <= most_child)
+    mark = lambda rows, kid: rows.select(F.col("target_id").alias("node_id"), F.lit(kid).alias("kid"))
+    marks = mark(links, False).unionByName(mark(near, True)).groupBy("node_id").agg(F.max("kid").alias("kid"))
+    # neither side of the search has to be shuffled by id again
+    places = Scratch(det.sparkSession, "safe", tidy=True).keep(det.select("dataset", "t", "node_id", *AXES).join(marks, "node_id", "left").where("coalesce(kid, true)"), "places")
+    free, kids = places.where("kid is null"), places.where("kid")
+    # the fewer ones are copied into the cells around theirs
+    closest = nearest(radius_pairs(free, kids, most_sister, 0, width=4), "b_id", "a_id").select("dataset", (F.col("t") - 1).alias("t"), F.col("b_id").alias("d1_id"), F.col("a_id").alias("d2_id"), F.col("um").alias("sister_um"))
+    child = lambda of, to: children.select(F.col("source_id").alias(of), F.col("target_id").alias(to))
+    rows = closest.join(child("d2_id", "c2"), "d2_id").join(child("d1_id", "c1"), "d1_id")
+    rows = rows.join(near.select(F.col("source_id").alias("p_id"), F.col("target_id").alias("d1_id"), F.col("um").alias("p_d1_um")), "d1_id")
+    rows = rows.join(_at(det, "d2_id", "d2_"), "d2_id").join(_at(det, "p_id", "p_"), "p_id").withColumn("p_d2_um", distance("p_", "d2_")).where(F.col("p_d2_um") <= most_new)
     # daughters that both lie where the parent does have no asymmetry, and are none
     rows = rows.where(F.try_divide(F.abs(F.col("p_d1_um") - F.col("p_d2_um")), (F.col("p_d1_um") + F.col("p_d2_um")) / 2) <= asymmetry)
+    rows = rows.join(_at(det, "c1", "c1_"), "c1").join(_at(det, "c2", "c2_"), "c2").where(distance("c1_", "c2_") - F.col("sister_um") >= least_gain)
     return rows.select("dataset", "t", "p_id", "d1_id", "d2_id", (F.col("p_d2_um") + 0.15 * F.col("sister_um")).alias("score"))
 
 

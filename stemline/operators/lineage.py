@@ -78,6 +78,25 @@ def forest(rows: DataFrame) -> DataFrame:
     return best_per(best_parent(rows), "source_id", 2)
 
 
+def bare_forest(edges: DataFrame, det: DataFrame, most_um: float = MAX_LINK_UM) -> DataFrame:
+    """(dataset, t, source_id, target_id, um, only) of the forest of all links; only: whether it is its source's only one.
+
+    No column goes along that the choice does not need. A target keeps one link, so repeated deliveries, unless an end is
+    frequent, leave there and not in a shuffle of their own. Dataset and frame are compared so that they are no keys of the
+    join: both ends then read one shuffle of the detections, and the links of a target stay where they are.
+    """
+    both = edges.where("source_id >= 0 and target_id >= 0")
+    hot = hot_ends(both, ["source_id", "target_id"])
+    rows = both.select("edge_id", "source_id", "target_id", "edge_prob")
+    rows = rows.distinct() if any(hot.values()) else rows
+    for p, key in (("s_", "source_id"), ("g_", "target_id")):
+        rows = lookup(rows, place(det, p, key), key, F.col("edge_id"), "inner", hot[key], merge=False)
+    rows = rows.where("s_dataset <= g_dataset and s_dataset >= g_dataset and cast(g_t as long) - cast(s_t as long) = 1").withColumn("um", distance("s_", "g_")).where(F.col("um") <= most_um)
+    rows = forest(rows.select("edge_id", "source_id", "target_id", "edge_prob", F.col("s_dataset").alias("dataset"), F.col("s_t").alias("t"), "um"))
+    only = F.count("*").over(W.partitionBy("source_id")) == 1
+    return rows.select("dataset", "t", "source_id", "target_id", "um", only.alias("only"))
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(edge_id, field, node_id) of ends that are no node at all."""
     once = deliveries(edges)

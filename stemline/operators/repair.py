@@ -164,8 +164,9 @@ def apply_forks(links: DataFrame, adds: DataFrame, removes: DataFrame) -> DataFr
     absent = drop.join(links.where("safe_division = 1"), pair, "left_anti")
     left = links.join(drop.withColumn("gone", F.lit(True)), pair, "left").where("gone is null or coalesce(safe_division, 0) <> 1").drop("gone")
     new = adds.select("dataset", "t", F.col("p_id").alias("source_id"), F.col("d2_id").alias("target_id"), F.lit(1).alias("safe_division"))
-    parented = new.join(left.select("target_id"), "target_id", "left_semi")
-    count = left.groupBy("source_id").agg(F.count("*").alias("n"))
+    # of the links only those at an addition matter, and these are few
+    parented = new.join(left.select("target_id").join(new.select("target_id"), "target_id", "left_semi"), "target_id", "left_semi")
+    count = left.select("source_id").join(new.select("source_id"), "source_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("n"))
     wrong = new.join(count, "source_id", "left").where("coalesce(n, 0) <> 1")
     for rows, what in ((absent, "removals that are not there"), (parented, "daughters that have a parent"), (wrong, "parents without exactly one child")):
         if (k := rows.count()) > 0:

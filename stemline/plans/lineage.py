@@ -41,9 +41,13 @@ def forest(spark: SparkSession, d: str) -> DataFrame:
     return ln.forest(links(spark, d))
 
 
+#: Links that are there before divisions are added.
+BEFORE_DIVISIONS = "motion_pass is null or motion_pass <> 'division'"
+
+
 def pre_forest(spark: SparkSession, d: str) -> DataFrame:
     """The forest before divisions are added."""
-    return ln.forest(links(spark, d).where("motion_pass is null or motion_pass <> 'division'"))
+    return ln.forest(links(spark, d).where(BEFORE_DIVISIONS))
 
 
 def kept(spark: SparkSession, *tables: DataFrame) -> list[DataFrame]:
@@ -686,8 +690,14 @@ select p.node_id p_id, d1.node_id d1_id""", 1).replace("q.um >= 1.5", "q.source_
 @query
 def applied_forks(spark, d):
     """The forest before divisions, with the rule-based divisions that its parents and daughters allow."""
-    n, l = kept(spark, det(spark, d), pre_forest(spark, d))
-    (adds,) = kept(spark, dv.safe_divisions(n, l, least_gain=0.25).withColumn("k", F.row_number().over(W.partitionBy("d2_id").orderBy("score", "p_id"))).where("k = 1").withColumn("k", F.row_number().over(W.partitionBy("p_id").orderBy("score", "d2_id"))).where("k = 1"))
+    scratch = Scratch(spark, "lineage", tidy=True)
+    # no column of a detection is null; said beforehand, the filter and so the shuffle is the same one in every join
+    n = scratch.keep(det(spark, d), "detections").where(" and ".join(f"{c} is not null" for c in ("dataset", "node_id", "t", *AXES)))
+    l = scratch.keep(ln.bare_forest(edges(spark, d).where(BEFORE_DIVISIONS), n), "links")
+    safe = dv.safe_divisions(n, l, least_gain=0.25, children=l.where("only"))
+    for key, order in (("d2_id", ("score", "p_id")), ("p_id", ("score", "d2_id"))):
+        safe = safe.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("k = 1")
+    adds = scratch.keep(safe, "additions")
     before = l.select("dataset", "t", "source_id", "target_id", F.lit(0).alias("safe_division"))
     return repair.apply_forks(before, adds.select("dataset", "t", "p_id", "d2_id"), adds.limit(0).select("p_id", "d2_id"))
 

@@ -32,11 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+#: Whether Spark deletes the shuffle files of a query at its end, and not when the driver happens to collect its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Named tables of one operator call."""
+    """Named tables of one operator call. tidy: the shuffle files of a table are deleted as soon as it is written."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, label: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
 
@@ -44,7 +48,14 @@ class Scratch:
         """Write df, and give the written table."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(TIDY, None)
+        if self.tidy:
+            self.spark.conf.set(TIDY, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(TIDY) if before is None else self.spark.conf.set(TIDY, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._stemline_path = path
         return kept

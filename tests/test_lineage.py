@@ -56,6 +56,19 @@ def test_much_filler_and_null_ends(spark):
     assert kinds.count("dangling") == 1201 and kinds.count("self_loop") == 1
 
 
+@pytest.mark.parametrize("hot", [0, 600])
+def test_bare_forest(spark, hot):
+    n = detections(spark, [(k, k % 3, 0.0, 0.0, float(k % 7)) for k in range(900)])
+    rows = [(k, g) for k in range(900) if k % 3 < 2 for g in (k + 1, k + 4, k + 10)] + [(3, 3 * k + 1) for k in range(hot)] + [(0, 1)] * hot + [(-1, 1), (None, 1), (1, 900)]
+    e = edges(spark, rows + rows[:50])
+    found, want = lineage.bare_forest(e, n), lineage.forest(lineage.links(e, n))
+    columns = ["dataset", "t", "source_id", "target_id", "um"]
+    got = [tuple(r[c] for c in columns) for r in found.collect()]
+    assert sorted(got) == sorted(tuple(r) for r in want.select(columns).collect()) and len({r[3] for r in got}) == len(got) > 300
+    children = {s: sum(r[2] == s for r in got) for s in {r[2] for r in got}}
+    assert {r.source_id for r in found.where("only").collect()} == {s for s, k in children.items() if k == 1}
+
+
 def test_transition_kinds(spark):
     rows = [(10 * t + k, t, 1.0 + k, 5.0 * (1 if t == 2 else t), float(k)) for t in range(5) for k in range(4)]
     n = detections(spark, rows)
