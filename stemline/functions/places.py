@@ -14,6 +14,8 @@ from stemline.functions.sweep import expand
 FEW = 1 << 16
 #: The same for one of many groups: those that are compared together, and those that are compared by themselves.
 TOGETHER, ALONE = 1 << 14, 1 << 18
+#: The same for a group whose pairs are not all held where only the nearest ones are asked for.
+WIDENED = 1 << 23
 
 
 class Places:
@@ -65,8 +67,9 @@ class Places:
         first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
         out[i[first]] = j[first]
         far = np.flatnonzero(out < 0)
-        for lo in range(0, len(far), 256):
-            part = far[lo : lo + 256]
+        size = max(1, (1 << 20) // max(1, len(self.points)))
+        for lo in range(0, len(far), size):
+            part = far[lo : lo + size]
             out[part] = ((at[part][:, None, :] - self.points[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
         return out
 
@@ -95,6 +98,71 @@ def group_pairs(of_at: np.ndarray, at: np.ndarray, of_point: np.ndarray, points:
     return i[o], j[o], d[o]
 
 
+def group_nearest(of_at: np.ndarray, at: np.ndarray, of_point: np.ndarray, points: np.ndarray, reach: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each place of group_pairs(). In large groups the reach grows up to the given one, for places that are not settled."""
+    sizes = np.searchsorted(of_point, of_at, side="right") - np.searchsorted(of_point, of_at)
+    large = np.bincount(of_at)[of_at] * sizes > WIDENED if len(of_at) else np.zeros(0, bool)
+    blocks = []
+    for open_, radii in ((np.flatnonzero(~large), (reach,)), (np.flatnonzero(large), (reach / 3, reach / 1.6, reach))):
+        for r in radii if len(open_) else ():
+            i, j, d = group_pairs(of_at[open_], at[open_], of_point, points, r)
+            settled = (np.bincount(i, minlength=len(open_)) >= k) | (r == reach)
+            own = np.flatnonzero(settled[i] & first_of_groups(i, k))
+            blocks.append((open_[i[own]], j[own], d[own]))
+            open_ = open_[~settled]
+    i, j, d = (np.concatenate([b[c] for b in blocks]) if blocks else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, float)))
+    o = np.argsort(i, kind="stable")
+    return i[o], j[o], d[o]
+
+
+def fullest(points: np.ndarray, band: float) -> int:
+    """The first of the points that have most others within the band. Callers bound how far the points lie apart, in bands.
+
+    Counts of cubes bound those of points from below and above; distances are taken only of points that can still be the
+    first, and only to cubes that are partly within the band.
+    """
+    left, most = np.arange(len(points)), 0
+    for parts in (2, 6):
+        width, k = band / parts, parts + 1
+        cube = np.floor(points / width).astype(np.int64)
+        cube += k - cube.min(axis=0)
+        span = cube.max(axis=0) + k + 1
+        code = (cube[:, 0] * span[1] + cube[:, 1]) * span[2] + cube[:, 2]
+        count = np.bincount(code, minlength=int(span.prod()))
+        there, of = np.unique(code[left], return_inverse=True)
+        low, high, partly = np.zeros(len(there), np.int64), np.zeros(len(there), np.int64), []
+        for step in product(range(-k, k + 1), repeat=3):
+            away, by = np.abs(step), (step[0] * span[1] + step[1]) * span[2] + step[2]
+            if width * np.sqrt((np.maximum(away - 1, 0) ** 2).sum()) > band * (1 + 1e-9):
+                continue
+            here = count[there + by]
+            high += here
+            if width * np.sqrt(((away + 1) ** 2).sum()) < band * (1 - 1e-9):
+                low += here
+            else:
+                partly.append(by)
+        most = max(most, int(low.max()))
+        ok = high[of] >= most
+        left, low, high = left[ok], low[of[ok]], high[of[ok]]
+    order = np.argsort(code, kind="stable")
+    stop = np.cumsum(count)
+    best, o, size = len(points), np.argsort(-high, kind="stable"), 256
+    while len(o):
+        part, o, size = o[:size], o[size:], size * 4
+        rows, got = left[part], low[part].copy()
+        for by in partly:
+            at = code[rows] + by
+            for i, j in expand(np.arange(len(rows)), stop[at] - count[at], stop[at]):
+                d = np.sqrt(((points[rows[i]] - points[order[j]]) ** 2).sum(axis=1))
+                got += np.bincount(i[d <= band], minlength=len(rows))
+        top = int(got.max())
+        if top >= most:
+            first = int(rows[got == top].min())
+            best, most = (min(best, first) if top == most else first), top
+        o = o[high[o] >= most]
+    return best
+
+
 def first_of_groups(i: np.ndarray, k: int) -> np.ndarray:
     """Of sorted group numbers, which rows are among the first k of their group."""
     start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)

@@ -5,8 +5,7 @@ matched again where the field predicts them, tightly and then more loosely. The
 the field of the transition before, which makes the definition sequential in time.
 
 Here a task goes through the times of its movies, and solves the transitions of all of them at one time together, as arrays:
-small frames are many, and each would cost Python milliseconds. It holds two frames of each of its movies. Movies with a frame of more than MOST_IN_FRAME detections are not relinked, as the definition has
-it; they keep the links that they had, where these are given.
+small frames are many, and each would cost Python milliseconds. It holds two frames of each of its movies, of any size.
 
 Ties: by detection ids. Where a jump of the whole frame is known (kinds), its common shift is estimated by votes of all
 near pairs and added to the prediction.
@@ -24,14 +23,15 @@ from pyspark.sql import functions as F
 
 from stemline.functions.geometry import AXES, SCALE
 from stemline.functions.pairing import best_pairs
-from stemline.functions.places import Places, first_of_groups, group_medians, group_pairs
+from stemline.functions.places import Places, first_of_groups, fullest, group_medians, group_nearest, group_pairs
 from stemline.functions.runs import whole_groups
 from stemline.operators.lineage import keep_and_fill
 from stemline.operators.matching import assignment
 from stemline.operators.spatial import radius_pairs
 from stemline.store import Scratch
 
-MOST_IN_FRAME = 2600
+#: Votes for a step that are all compared; of more, cubes are counted first, with the same result.
+MOST_COUNTED = 10_000
 #: Detections of a frame that a task may hold when it matches seeds.
 MOST_HELD = 100_000
 PASSES = ("tight", "relaxed")
@@ -68,8 +68,8 @@ def flow_at(of_at: np.ndarray, at: np.ndarray, of_start: np.ndarray, start: np.n
     some = np.flatnonzero(np.bincount(of_start)[of_start] >= FLOW_LEAST) if len(start) else np.zeros(0, np.int64)
     if not len(some):
         return np.full((len(at), 3), np.nan)
-    i, j, d = group_pairs(of_at, at, of_start[some], start[some], FLOW_REACH)
-    keep = np.flatnonzero(first_of_groups(i, FLOW_K + 1) & (d >= own))  # one's own is among the nearest
+    i, j, d = group_nearest(of_at, at, of_start[some], start[some], FLOW_REACH, FLOW_K + 1)
+    keep = np.flatnonzero(d >= own)  # one's own is among the nearest
     keep = keep[first_of_groups(i[keep], FLOW_K)]
     i, j = i[keep], some[j[keep]]
     return group_medians(len(at), i, step[j], FLOW_K)
@@ -78,10 +78,15 @@ def flow_at(of_at: np.ndarray, at: np.ndarray, of_start: np.ndarray, start: np.n
 def densest(votes: np.ndarray, band: float) -> np.ndarray:
     """The median of the votes around the one that has most others within the band; of equal ones the least by z, y, x."""
     votes = votes[np.lexsort((votes[:, 2], votes[:, 1], votes[:, 0]))]
-    near, count = Places(votes, band), np.zeros(len(votes), np.int64)
-    for i, _, _ in near.around(votes, band):
-        count += np.bincount(i, minlength=len(votes))
-    _, j, _ = near.pairs(votes[[int(count.argmax())]], band)
+    near = Places(votes, band)
+    if len(votes) > MOST_COUNTED:
+        first = fullest(votes, band)
+    else:
+        count = np.zeros(len(votes), np.int64)
+        for i, _, _ in near.around(votes, band):
+            count += np.bincount(i, minlength=len(votes))
+        first = int(count.argmax())
+    _, j, _ = near.pairs(votes[[first]], band)
     return np.median(votes[j], axis=0)
 
 
@@ -295,15 +300,18 @@ def _seed_steps_of_tables(det: DataFrame, probs: DataFrame | None) -> DataFrame:
 ROWS = "dataset string, t int, source_id long, target_id long, um double, motion_um double, motion_pass string, edge_prob double"
 
 
-def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | None = None, most: int = MOST_IN_FRAME, existing: DataFrame | None = None, variant: Variant = VARIANTS["b1c"]) -> DataFrame:
+def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | None = None, most: int | None = None, existing: DataFrame | None = None, variant: Variant = VARIANTS["b1c"]) -> DataFrame:
     """(dataset, t, source_id, target_id, um, motion_um, motion_pass, edge_prob) of the links that motion supports.
 
     probs(source_id, target_id, prob), each pair once: learned probabilities, a bonus; kinds(dataset, t, kind[, k]): what the
-    variant says of jumps holds for transitions of kind jump, with k frozen ones before (0 if not given). existing(dataset, t, source_id, target_id, um, edge_prob):
-    links that movies keep which are too crowded to relink, with the pass raw and no motion_um.
+    variant says of jumps holds for transitions of kind jump, with k frozen ones before (0 if not given). All movies are
+    relinked, whatever their size, unless most is given: then those with a frame of more detections are not, and keep the links
+    existing(dataset, t, source_id, target_id, um, edge_prob), with the pass raw and no motion_um. Variants that keep links take them from there.
     """
-    crowded = Scratch(det.sparkSession, "relink").keep(det.groupBy("dataset", "t").count().where(F.col("count") > most).select("dataset").distinct(), "crowded")
-    some = crowded.limit(1).count() > 0
+    some = False
+    if most is not None:
+        crowded = Scratch(det.sparkSession, "relink").keep(det.groupBy("dataset", "t").count().where(F.col("count") > most).select("dataset").distinct(), "crowded")
+        some = crowded.limit(1).count() > 0
 
     def solve(batches):
         names, last, field = {}, None, None
@@ -326,8 +334,6 @@ def relink(det: DataFrame, probs: DataFrame | None = None, kinds: DataFrame | No
     links = parts(det, probs, kinds, crowded if some else None).mapInArrow(solve, ROWS)
     if existing is None or not (some or variant.keep):
         return links
-    raw = existing.join(crowded, "dataset", "left_semi").select("dataset", "t", "source_id", "target_id", "um", F.lit(None).cast("double").alias("motion_um"), F.lit("raw").alias("motion_pass"), F.coalesce("edge_prob", F.lit(0.0)).alias("edge_prob"))
-    if variant.keep:
-        there = existing.select("dataset", "t", "source_id", "target_id", "um", F.lit(None).cast("double").alias("motion_um"), F.lit("raw").alias("motion_pass"), F.coalesce("edge_prob", F.lit(0.0)).alias("edge_prob"))
-        return keep_and_fill(there, links)
-    return links.unionByName(raw)
+    there = existing if variant.keep else existing.join(crowded, "dataset", "left_semi")
+    there = there.select("dataset", "t", "source_id", "target_id", "um", F.lit(None).cast("double").alias("motion_um"), F.lit("raw").alias("motion_pass"), F.coalesce("edge_prob", F.lit(0.0)).alias("edge_prob"))
+    return keep_and_fill(there, links) if variant.keep else links.unionByName(there)

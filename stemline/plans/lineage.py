@@ -731,10 +731,9 @@ def seed_transition_kinds(spark, d):
 
 @query
 def relinked(spark, d):
-    """Links by motion, with the learned probabilities as a bonus and the shifts of jumps as a prior; movies too crowded keep the forest's."""
+    """Links by motion, with the learned probabilities as a bonus and the shifts of jumps as a prior; of all movies, however crowded."""
     n, probs = _with_probabilities(spark, d)
-    existing = forest(spark, d).withColumn("edge_prob", clean_probability(F.col("edge_prob")))
-    return relink.relink(n, probs, _seed_kinds(n, probs), existing=existing)
+    return relink.relink(n, probs, _seed_kinds(n, probs))
 
 
 # ---- smoothing -----------------------------------------------------------------------------------------------------
